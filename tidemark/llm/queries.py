@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, mixing, token_files, topk_search
+from tidemark.llm import decontamination, html_text, jaccard_join, language_model, mixing, quality, token_files, topk_search, toxicity
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,14 @@ def op2_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.top_k(table(spark, folder, "embeddings"))
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents"))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_and_read(table(spark, folder, "documents"), tokenizer_path())
 
@@ -27,15 +35,32 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op2_topk_search": op2_topk_search,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
+    "op7_html_text": op7_html_text,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE = {
