@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, html_text, jaccard_join, language_model, mixing, quality, token_files, topk_search, toxicity
+from tidemark.llm import decontamination, html_text, jaccard_join, language_model, mixing, quality, secret_scan, token_files, topk_search, toxicity
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
 def op2_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.top_k(table(spark, folder, "embeddings"))
 
@@ -52,6 +56,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_quality": op4_quality,
