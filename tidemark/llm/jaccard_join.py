@@ -17,7 +17,8 @@ Finding links without losing one:
    second round only pairs of different components are left to look at. Lists that have become
    one component go before they are gathered anywhere.
 4. Candidates are first tested on parity sketches (512 bits; their distance never exceeds the
-   sets' distance), then verified on the whole sets.
+   sets' distance), in the second round before they leave their list, and then verified on the
+   whole sets.
 
 Components come from minimum labels with pointer jumping. Copies are never expanded into pairs.
 
@@ -214,9 +215,10 @@ def _pairs_by_leader(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("_set", "_l_set").alias("_a"), F.greatest("_set", "_l_set").alias("_b")).distinct()
 
 
-def list_pairs(size: np.ndarray, at: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list whose components differ and whose positions leave room. Entries
-    must be sorted by size; blocks that can't reach any entry of another block are skipped."""
+def list_pairs(size: np.ndarray, at: np.ndarray, component: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one list whose components differ, whose positions leave room and whose
+    sketches are near enough. Entries must be sorted by size; blocks that can't reach any entry
+    of another block are skipped."""
     room, found = (size - at).astype(np.int64), []
     edges = list(range(0, len(size), BLOCK))
     most = [int(room[k : k + BLOCK].max()) for k in edges]
@@ -231,13 +233,16 @@ def list_pairs(size: np.ndarray, at: np.ndarray, component: np.ndarray, percent:
             fits = (100 + percent) * np.minimum(room[a, None], room[None, b]) >= percent * (size[a, None].astype(np.int64) + size[None, b])
             fits &= component[a, None] != component[None, b]
             p, q = np.nonzero(np.triu(fits, 1) if x == y else fits)
-            found.append((p + i, q + j))
+            p, q = p + i, q + j
+            apart = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (size[p].astype(np.int64) + size[q])
+            found.append((p[near], q[near]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _pairs_across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _pairs_across(entries: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that meet in a list, once."""
     named = cut(entries.join(labels.withColumnRenamed("_node", "_set"), "_set", "left").withColumn("_label", F.coalesce("_label", "_set")))
     mixed = named.groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low <> _high")
@@ -246,11 +251,12 @@ def _pairs_across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFr
         rest = None
 
         def lists(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, sets, size, at, label = (c.to_numpy() for c in part.columns)
+            key, sets, size, at, label, *bits = (c.to_numpy() for c in part.columns)
+            sketches = np.stack(bits, 1).view(np.uint64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             pairs = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                p, q = list_pairs(size[a:b], at[a:b], label[a:b], percent)
+                p, q = list_pairs(size[a:b], at[a:b], label[a:b], sketches[a:b], percent)
                 own = sets[a:b]
                 pairs.append(np.stack([np.minimum(own[p], own[q]), np.maximum(own[p], own[q])]))
             unique = np.unique(np.concatenate(pairs, 1), axis=1)
@@ -267,8 +273,9 @@ def _pairs_across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFr
         if rest is not None and rest.num_rows:
             yield from lists(rest)
 
-    columns = ["_key", "_set", "_size", "_at", "_label"]
-    sorted_lists = named.join(mixed, "_key").select(*columns).repartition("_key").sortWithinPartitions("_key", "_size", "_set")
+    bits = [f"_s{k}" for k in range(SKETCH)]
+    columns = ["_key", "_set", "_size", "_at", "_label", *bits]
+    sorted_lists = named.join(mixed, "_key").join(known.select("_set", *bits), "_set").select(*columns).repartition("_key").sortWithinPartitions("_key", "_size", "_set")
     return sorted_lists.mapInArrow(run, "_a long, _b long").distinct()
 
 
@@ -333,7 +340,7 @@ def _links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
     first = cut(first)
     links = _verified(first, docs, known, n, percent)
     labels = components(links)
-    second = _pairs_across(entries, labels, percent).join(first, ["_a", "_b"], "left_anti")
+    second = _pairs_across(entries, labels, known, percent).join(first, ["_a", "_b"], "left_anti")
     more = _verified(cut(second), docs, known, n, percent)
     return components(links.union(more))
 
