@@ -1,16 +1,18 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))  # for Spark's workers
 
 
 @pytest.fixture(scope="session")
 def spark():
     from tidemark.session import local_session
-    from tidemark.streaming.limiter import CONF
 
-    session = local_session("4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", **CONF})
+    session = local_session("4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     yield session
     session.stop()

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from tidemark import catalog
 from tidemark.sources import feeds, jsonstat, registry, rest, snapshots
@@ -82,15 +83,15 @@ def test_registry(spark):
     assert [r.n for r in registry.with_defaults(rows, {"n": ("name", "-")}).collect()] == ["Rīgas iela", "-", "OSTA"]
 
 
-def local_payload(dataset, chosen):
-    return json.dumps({"dataset": dataset, "asked": chosen})
-
-
-def test_rest_source_pushes_the_dataset(spark):
+def test_rest_source_pushes_the_dataset(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(json.dumps({"of": name}))
     rest.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    rows = spark.read.format("statistics").options(**{"datasets": "a,b,c", "fetch": "json:loads_missing"}).load().where("dataset = 'zz'")
-    assert rows.count() == 0  # nothing is fetched for a dataset that isn't asked for
+    rows = spark.read.format("statistics").options(datasets="a,b", folder=str(tmp_path)).load()
+    assert sorted(r.value for r in rows.collect()) == ['{"of": "a"}', '{"of": "b"}']
+    reader = rest.StatisticsReader({"datasets": "a,b,c"})
+    assert len(list(reader.pushFilters([EqualTo(("dataset",), "b")]))) == 1  # Spark checks it again
+    assert [p.value for p in reader.partitions()] == ["b"]
     assert rest.selection([("SEX", ["T"])])["query"][0]["selection"] == {"filter": "item", "values": ["T"]}
 
 
