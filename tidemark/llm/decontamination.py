@@ -111,8 +111,9 @@ def hits_by_document(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "do
 
 
 def _with_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col))).alias("d")
-    return keyed.join(hits.alias("h"), F.col(f"d.{id_col}").eqNullSafe(F.col("h._id")) & (F.col("_key") == F.col("h._text")), "left")
+    """Rows as one value _doc, so their columns can't clash, with their hits if any."""
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col)).alias("_key"))
+    return keyed.join(hits, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
 
 
 def _contaminated(hits: Column, words: Column) -> Column:
@@ -138,8 +139,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the contaminated documents; all others stay as they are."""
     hits = hits_by_document(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = F.coalesce(_contaminated(F.col("_hits"), F.when(F.col("_hits") > 0, F.size(tokens(F.col(text_col))))), F.lit(False))
-    return _with_hits(docs, hits, id_col, text_col).where(~bad).select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])
+    bad = F.coalesce(_contaminated(F.col("_hits"), F.when(F.col("_hits") > 0, F.size(tokens(F.col("_doc").getField(text_col))))), F.lit(False))
+    return _with_hits(docs, hits, id_col, text_col).where(~bad).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -147,13 +148,13 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     hits = hits_by_document(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     # each piece is a word with what stands before it; the tail after the last word stays
     piece = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    text = F.col(f"d.{text_col}")
+    text = F.col("_doc").getField(text_col)
     parts = F.regexp_extract_all(text, F.lit(piece), 0)
     clear = lambda k: ~F.exists("_spans", lambda s: (s["_at"] <= k) & (k < s["_at"] + s["_len"]))
     indexed = F.transform(parts, lambda word, k: F.when(clear(k), word).otherwise(F.lit("")))
     tail = F.regexp_extract(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
     cleaned = F.when(F.col("_hits") > 0, F.concat(F.array_join(indexed, ""), tail)).otherwise(text)
-    return _with_hits(docs, hits, id_col, text_col).select(*[(cleaned if c == text_col else F.col(f"d.{c}")).alias(c) for c in docs.columns])
+    return _with_hits(docs, hits, id_col, text_col).select(*[(cleaned if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -42,6 +42,9 @@ HINTS = frozenset(
     "comment comments commentlist respond reply replies disqus discussion pager pagination toolbar complementary contentinfo skip".split()
 )
 
+#: The size of a negative weight.
+FAINT = 0.01
+
 _TOKEN = re.compile(
     r"<!--(?:.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S
 )
@@ -179,8 +182,9 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[list[tuple[str, str, boo
 
 
 def learn_weights(pages: list[list[tuple[str, str, bool]]], rounds: int = 12) -> dict[str, float]:
-    """Structured perceptron from weights of +1 a word and -1 a tag; words of a kind that stands
-    outside of content keep at most -1, plain words at least 1."""
+    """Structured perceptron from weights of +1 a word and -1 a tag. At the end negative weights
+    are held near zero: an advert or form within an article, or its tags, must not outweigh the
+    few words of content that follow."""
     weights: dict[str, float] = {"<other": -0.05, "words:plain": 1.0}
     read = []
     for page in pages:
@@ -212,12 +216,11 @@ def learn_weights(pages: list[list[tuple[str, str, bool]]], rounds: int = 12) ->
         if kind == "words:plain":
             weights[kind] = max(1.0, weights[kind])
         elif kind.startswith("words:"):
-            weights[kind] = min(-1.0, weights[kind])
+            weights[kind] = float(np.clip(weights[kind], -FAINT, -FAINT / 5)) if weights[kind] < 0 else -FAINT
         else:
-            # tags within an article must not outweigh a word beside them
-            weights[kind] = float(np.clip(weights[kind], -0.2, -0.01))
+            weights[kind] = float(np.clip(weights[kind], -5 * FAINT, -FAINT))
     for name in OUTSIDE | {"hint", "hidden"}:
-        weights.setdefault(f"words:{name}", -1.0)
+        weights.setdefault(f"words:{name}", -FAINT)
     return weights
 
 

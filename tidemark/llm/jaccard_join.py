@@ -374,18 +374,20 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     groups = cut(named.join(chosen, "_label").select("_id", "_set", (row == F.col("_kept")).alias("_stays")))
     gone = groups.where("NOT _stays").select(F.col("_id").alias("_gone"), F.col("_set").alias("_gone_set")).distinct()
     again = groups.where("_stays").groupBy("_id", "_set").count().where("count > 1").select(F.col("_id").alias("_gone"), F.col("_set").alias("_gone_set"))
-    place = docs.columns.index(text_col)
+    place, extra = docs.columns.index(text_col), "_set"
+    while extra in docs.columns:
+        extra += "_"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
             sets = [s for _, part in pieces(texts) for s in shingle_sets(words_of(part), shingle)]
             prints = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, extra])
 
-    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_set") == F.col("_gone_set"))
+    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())]))
+    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col(extra) == F.col("_gone_set"))
     kept = rows.join(gone, same, "left_anti")
     if not again.isEmpty():  # rows that repeat the one that stays
-        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, "_set"]))
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, extra]))
     return kept.select(*docs.columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cut
+from tidemark.llm.common import BLANK, WORD, cut
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -135,17 +135,21 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that is taken in part keeps its first words, up to the number taken, as they stand."""
     sized = cut(_sized(docs, id_col, text_col, source_col, seed))
     shares = mixture(sized, weights, max_epochs)
-    rows = docs.withColumns({"_source": F.col(source_col), "_size": word_count(F.col(text_col)), "_key": order_key(F.col(id_col), seed)})
+    # the whole row is one value, so its columns can't clash with those added here
+    own = F.col("_doc").getField(text_col)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), order_key(F.col(id_col), seed).alias("_key"))
     joined = rows.join(shares, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_more", _extra())
     # 0 stands for a copy in full, a positive number for that many words
-    full = F.array_repeat(F.lit(0).cast("long"), (F.col("_whole") + (F.col("_more") == F.col("_size")).cast("long") * (F.col("_size") > 0).cast("long")).cast("int"))
+    again = ((F.col("_more") == F.col("_size")) & (F.col("_size") > 0)).cast("long")
+    full = F.array_repeat(F.lit(0).cast("long"), (F.col("_whole") + again).cast("int"))
     part = F.when((F.col("_more") > 0) & (F.col("_more") < F.col("_size")), F.array(F.col("_more"))).otherwise(F.array().cast("array<long>"))
     copies = joined.withColumn("_words", F.explode(F.concat(full, part)))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(rf"[{WORD[2:-2]}]*{WORD}"), 0), 1, F.col("_words").cast("int")), "")
-    text = F.when(F.col("_words") > 0, head).otherwise(F.col(text_col))
-    counted = {"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {}
-    kept = {k: F.when(F.col("_words") > 0, v).otherwise(F.col(k)) for k, v in counted.items()}
-    return copies.withColumns({**kept, text_col: text}).select(*docs.columns)
+    head = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(rf"[{BLANK}]*{WORD}"), 0), 1, F.col("_words").cast("int")), "")
+    text = F.when(F.col("_words") > 0, head).otherwise(own)
+    changed = {text_col: text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_words") > 0, F.length(head).cast("long")).otherwise(F.col("_doc").getField("n_chars"))
+    return copies.select(*[changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
