@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +121,14 @@ def hash_of(word: str) -> int:
     return int(words_of([word.encode()]).hash[0])
 
 
+def texts_of(column: pa.Array) -> Iterator[bytes]:
+    """The texts of an Arrow column (null: empty), a few rows at a time, so that a batch of long
+    texts is never copied whole."""
+    for k in range(0, len(column), 256):
+        for text in column.slice(k, 256).to_pylist():
+            yield text.encode() if isinstance(text, str) else text or b""
+
+
 def pieces(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts) with about PIECE bytes each."""
     part: list[bytes] = []

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Words, cut, mix, pieces, signed, words_of
+from tidemark.llm.common import Words, cut, mix, pieces, signed, texts_of, words_of
 
 SHINGLE = 4
 PERCENT = 85
@@ -89,10 +89,10 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Sets of about a megabyte of text at a time, with the rows they belong to."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column("_text").to_pylist()]
-        sets = [s for _, part in pieces(texts) for s in shingle_sets(words_of(part), n)]
-        yield batch, sets
+        for at, part in pieces(texts_of(batch.column("_text"))):
+            yield batch.slice(at, len(part)), list(shingle_sets(words_of(part), n))
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -380,8 +380,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
-            sets = [s for _, part in pieces(texts) for s in shingle_sets(words_of(part), shingle)]
+            sets = (s for _, part in pieces(texts_of(batch.column(place))) for s in shingle_sets(words_of(part), shingle))
             prints = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, extra])
 

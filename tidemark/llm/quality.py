@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, cut, mix, pieces, words_of
+from tidemark.llm.common import crc_mod, cut, mix, pieces, texts_of, words_of
 
 FEATURES = 256
 SEED = 20
@@ -43,10 +43,10 @@ _KINDS[128:, -1] = 1
 N_STATS = _KINDS.shape[1] + 14
 
 
-def statistics(texts: list[bytes]) -> np.ndarray:
+def statistics(column: pa.Array) -> np.ndarray:
     """A row of N_STATS numbers for each text."""
-    out = np.zeros((len(texts), N_STATS), np.float32)
-    for at, part in pieces(texts):
+    out = np.zeros((len(column), N_STATS), np.float32)
+    for at, part in pieces(texts_of(column)):
         w = words_of(part)
         length = (w.end - w.start).astype(float)
         last = w.data[w.end - 1] if len(w.end) else w.data[:0]
@@ -88,7 +88,7 @@ def statistics_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = statistics([t or b"" for t in batch.column(1).to_pylist()])
+            stats = statistics(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1, dtype=np.int32) * N_STATS), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["_id", "_stats"])
 
@@ -225,7 +225,6 @@ def without_rejected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(model(statistics(texts)) >= 0.5))
+            yield batch.filter(pa.array(model(statistics(batch.column(place))) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
