@@ -52,6 +52,25 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def most_frequent(counts: DataFrame, most: int, column: str) -> DataFrame:
+    """The rows of the highest counts, ``most`` at most: all above a threshold, which is read off
+    a histogram of sixteenths of octaves (a thousand bins at most reach the driver)."""
+    level = F.floor(F.log2(F.col(column)) * 16)
+    taken, low = 0, None
+    for b, n in sorted(map(tuple, counts.groupBy(level).count().collect()), reverse=True):
+        if taken + n > most:
+            break
+        taken, low = taken + n, b
+    return counts.where(F.lit(False) if low is None else level >= low)
+
+
+def hash_share(key: Column, wanted: int, there: int) -> Column:
+    """Whether a key falls in the share of hashes that holds about ``wanted`` of ``there`` keys."""
+    if there <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * wanted / there)
+
+
 # ---- words as arrays, inside tasks ----
 
 _IS_BLANK = np.zeros(256, bool)
