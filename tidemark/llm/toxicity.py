@@ -10,7 +10,7 @@ A hit's strength is its term's log-odds, halved for an edit. Hits between quotat
 ``NEAR`` words on both sides, or after a word of reporting, count as quotation and are summed
 apart from the rest. A logistic model weighs these sums.
 
-Learning looks at ``SAMPLE`` labelled rows at most (in hash order of the id), none of the fold
+Learning looks at about ``SAMPLE`` labelled rows (a share of the ids' hashes), none of the fold
 crc32(doc_id as text) mod 4 = 2. Half of them choose the lexicon, half fit the logistic model.
 Labels, language, source and id never enter a score. Scoring covers every whole text.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, cut
+from tidemark.llm.common import crc_mod, cut, hash_share
 
 SAMPLE = 20_000
 TERMS = 4_000
@@ -162,7 +162,8 @@ def _learning(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     """_text, _y and _half (which one learns the lexicon) of the labelled rows that are learned from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), FOLDS) != HELD_OUT))
     known = known.groupBy(F.col(id_col).alias("_doc")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-    few = F.broadcast(cut(known.orderBy(F.xxhash64("_doc"), "_doc").limit(sample)))  # sample rows at most
+    known = cut(known)
+    few = F.broadcast(cut(known.where(hash_share(F.col("_doc"), sample, known.count())).limit(2 * sample)))  # bounded
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(few, F.col("_id") == F.col("_doc"))
     return joined.select(F.coalesce("_text", F.lit("")).alias("_text"), "_y", (F.xxhash64("_id", F.lit(7)) % 2 == 0).alias("_half"))
 
