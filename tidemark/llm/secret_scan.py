@@ -30,7 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, most_frequent
 
 SHORTEST = 12
 WORDS = 20_000
@@ -94,7 +94,7 @@ def features(text: str, start: int, end: int, words: frozenset[str]) -> list[flo
 def dictionary(docs: DataFrame, text_col: str, words: int = WORDS) -> frozenset[str]:
     """The most frequent words of letters, with the words that keys are named by."""
     found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]{3,20}"), 0)).alias("word"))
-    top = found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words)
+    top = most_frequent(cut(found.groupBy("word").count()), words, "count")
     return frozenset(r[0] for r in top.select("word").collect()) | frozenset(KEY_WORDS)
 
 
