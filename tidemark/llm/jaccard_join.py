@@ -14,8 +14,8 @@ Finding links without losing one:
    whose best entry can't reach the needed overlap is passed over.
 3. Answer-level skipping: each list's leader (the set with least rare shingles) is joined first.
    A set that links with a leader takes over its component, hence the leader's answers; in a
-   second round only pairs of different components are left to look at. Lists that have become
-   one component go before they are gathered anywhere.
+   second round only pairs of different components are left to look at, each set's nearest
+   first. Lists that have become one component go before they are gathered anywhere.
 4. Candidates are first tested on parity sketches (512 bits; their distance never exceeds the
    sets' distance), in the second round before they leave their list, and then verified on the
    whole sets.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,7 @@ OWNER_BITS = 27
 FREQUENT = 8
 SKETCH = 8
 BLOCK = 256
+LINKS_A_TASK = 200_000
 
 
 def shingle_sets(w: Words, n: int) -> Iterator[np.ndarray]:
@@ -242,8 +243,15 @@ def list_pairs(size: np.ndarray, at: np.ndarray, component: np.ndarray, sketches
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def first_shared(earlier_a: np.ndarray, earlier_b: np.ndarray) -> bool:
+    """Whether two sets that meet in a list share none of their lists before it."""
+    return not len(earlier_a) or not len(earlier_b) or not np.isin(earlier_a, earlier_b).any()
+
+
 def _pairs_across(entries: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that meet in a list, once."""
+    """Pairs of sets of different components that meet in a list, with their sketches' distance.
+    Each comes from the first list that the two share, so once. An entry carries the set's lists
+    before it for that; they are fewer than the set's own shingles."""
     named = cut(entries.join(labels.withColumnRenamed("_node", "_set"), "_set", "left").withColumn("_label", F.coalesce("_label", "_set")))
     mixed = named.groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low <> _high")
 
@@ -251,16 +259,22 @@ def _pairs_across(entries: DataFrame, labels: DataFrame, known: DataFrame, perce
         rest = None
 
         def lists(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, sets, size, at, label, *bits = (c.to_numpy() for c in part.columns)
+            key, sets, size, at, label, *bits = (c.to_numpy() for c in part.columns[:-1])
             sketches = np.stack(bits, 1).view(np.uint64)
+            before = part.columns[-1].combine_chunks() if isinstance(part.columns[-1], pa.ChunkedArray) else part.columns[-1]
+            offsets, keys = before.offsets.to_numpy(), before.values.to_numpy()
+            earlier = lambda k: keys[offsets[k] : offsets[k + 1]]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             pairs = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 p, q = list_pairs(size[a:b], at[a:b], label[a:b], sketches[a:b], percent)
-                own = sets[a:b]
-                pairs.append(np.stack([np.minimum(own[p], own[q]), np.maximum(own[p], own[q])]))
-            unique = np.unique(np.concatenate(pairs, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(unique[0]), pa.array(unique[1])], names=["_a", "_b"])
+                p, q = p + a, q + a
+                here = np.array([first_shared(earlier(x), earlier(y)) for x, y in zip(p.tolist(), q.tolist(), strict=True)], bool)
+                p, q = p[here], q[here]
+                apart = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1, dtype=np.int64)
+                pairs.append(np.stack([np.minimum(sets[p], sets[q]), np.maximum(sets[p], sets[q]), apart]))
+            found = np.concatenate(pairs, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(row) for row in found], names=["_a", "_b", "_apart"])
 
         for batch in batches:
             whole = pa.Table.from_batches([batch])
@@ -275,8 +289,10 @@ def _pairs_across(entries: DataFrame, labels: DataFrame, known: DataFrame, perce
 
     bits = [f"_s{k}" for k in range(SKETCH)]
     columns = ["_key", "_set", "_size", "_at", "_label", *bits]
-    sorted_lists = named.join(mixed, "_key").join(known.select("_set", *bits), "_set").select(*columns).repartition("_key").sortWithinPartitions("_key", "_size", "_set")
-    return sorted_lists.mapInArrow(run, "_a long, _b long").distinct()
+    before = Window.partitionBy("_set").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    met = named.join(mixed, "_key").withColumn("_before", F.collect_list("_key").over(before))
+    sorted_lists = met.join(known.select("_set", *bits), "_set").select(*columns, "_before").repartition("_key").sortWithinPartitions("_key", "_size", "_set")
+    return sorted_lists.mapInArrow(run, "_a long, _b long, _apart long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
@@ -314,14 +330,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, perce
 
 def components(links: DataFrame) -> DataFrame:
     """_node and _label (the smallest node reachable) for each node of the links _a, _b."""
-    edges = cut(links.select("_a", "_b").union(links.select("_b", "_a")).distinct().toDF("_node", "_to"))
-    labels = cut(edges.groupBy("_node").agg(F.least(F.col("_node"), F.min("_to")).alias("_label")))
+    parts = 1 + links.count() // LINKS_A_TASK  # a small graph needs few tasks and files
+    edges = cut(links.select("_a", "_b").union(links.select("_b", "_a")).distinct().toDF("_node", "_to").coalesce(parts))
+    labels = cut(edges.groupBy("_node").agg(F.least(F.col("_node"), F.min("_to")).alias("_label")).coalesce(parts))
     while True:
         reach = labels.select(F.col("_node").alias("_to"), F.col("_label").alias("_reached"))
         nearest = edges.join(reach, "_to").groupBy("_node").agg(F.min("_reached").alias("_reached"))
         lower = labels.join(nearest, "_node").select("_node", F.col("_label").alias("_old"), F.least("_label", "_reached").alias("_mid"))
         jump = labels.select(F.col("_node").alias("_mid"), F.col("_label").alias("_far"))
-        moved = cut(lower.join(jump, "_mid").select("_node", "_old", F.least("_mid", "_far").alias("_label")))
+        moved = cut(lower.join(jump, "_mid").select("_node", "_old", F.least("_mid", "_far").alias("_label")).coalesce(parts))
         labels = moved.select("_node", "_label")
         if moved.where("_label <> _old").isEmpty():
             return labels
@@ -340,9 +357,18 @@ def _links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
     first = cut(first)
     links = _verified(first, docs, known, n, percent)
     labels = components(links)
-    second = _pairs_across(entries, labels, known, percent).join(first, ["_a", "_b"], "left_anti")
-    more = _verified(cut(second), docs, known, n, percent)
-    return components(links.union(more))
+    second = cut(_pairs_across(entries, labels, known, percent).join(first, ["_a", "_b"], "left_anti"))
+    # the nearest of each set first; what they join need not be looked at again
+    near_a = second.groupBy("_a").agg(F.min_by("_b", F.struct("_apart", "_b")).alias("_b"))
+    near_b = second.groupBy("_b").agg(F.min_by("_a", F.struct("_apart", "_a")).alias("_a")).select("_a", "_b")
+    nearest = cut(near_a.unionByName(near_b).distinct())
+    links = cut(links.union(_verified(nearest, docs, known, n, percent)))
+    labels = components(links)
+    a, b = (labels.select(F.col("_node").alias(side), F.col("_label").alias(f"_label{side}")) for side in ("_a", "_b"))
+    rest = second.join(nearest, ["_a", "_b"], "left_anti").join(a, "_a", "left").join(b, "_b", "left")
+    apart = F.coalesce("_label_a", "_a") != F.coalesce("_label_b", "_b")
+    more = _verified(cut(rest.where(apart).select("_a", "_b")), docs, known, n, percent)
+    return labels if more.isEmpty() else components(links.union(more))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
