@@ -83,3 +83,20 @@ def test_sketch_never_exceeds_the_distance():
         a, b = (np.unique(chance.integers(0, 300, int(chance.integers(1, 200)))) for _ in range(2))
         apart = int(np.bitwise_count((j.sketch(a) ^ j.sketch(b)).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_long_lists_are_spread_in_tiles(spark):
+    chance = np.random.default_rng(3)
+    bits = [f"_s{k} long" for k in range(j.SKETCH)]
+    labels = [0 if k < 30 else k for k in range(60)]  # one large component, and strays
+    size, at = chance.integers(20, 24, 60).tolist(), chance.integers(0, 3, 60).tolist()
+    entries = spark.createDataFrame([(key, k, size[k], at[k]) for key in (5, 6) for k in range(60) if key == 5 or k < 4 or k > 55], "_key long, _set long, _size int, _at int")
+    named = spark.createDataFrame(list(enumerate(labels)), "_node long, _label long")
+    known = spark.createDataFrame([(k, *[0] * j.SKETCH) for k in range(60)], "_set long, " + ", ".join(bits))
+    got = [tuple(r) for r in j._pairs_across(entries, named, known, 85, tile=8).collect()]
+    room = [s - a for s, a in zip(size, at, strict=True)]
+    want = {(a, b, 0) for a in range(60) for b in range(a + 1, 60) if labels[a] != labels[b] and 185 * min(room[a], room[b]) >= 85 * (size[a] + size[b])}
+    assert len(got) == len(set(got)) and set(got) == want
+    rows = entries.where("_key = 5").join(named.withColumnRenamed("_node", "_set"), "_set").select("_key", "_set", "_size", "_at", "_label")
+    parts = j._tile_pairs(rows, 85, 8).groupBy("_p", "_q", "_side").count().collect()
+    assert max(r["count"] for r in parts) <= 8 and len({(r._p, r._q) for r in parts}) > 10

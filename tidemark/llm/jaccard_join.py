@@ -15,7 +15,8 @@ Finding links without losing one:
 3. Answer-level skipping: each list's leader (the set with least rare shingles) is joined first.
    A set that links with a leader takes over its component, hence the leader's answers; in a
    second round only pairs of different components are left to look at, each set's nearest
-   first. Lists that have become one component go before they are gathered anywhere.
+   first. Lists that have become one component go before they are gathered anywhere; the rest
+   are sorted by component, and long ones are spread over tasks as pairs of tiles.
 4. Candidates are first tested on parity sketches (512 bits; their distance never exceeds the
    sets' distance), in the second round before they leave their list, and then verified on the
    whole sets.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +50,8 @@ OWNER_BITS = 27
 FREQUENT = 8
 SKETCH = 8
 BLOCK = 256
+#: Entries of a list that a task takes at once; longer lists go as pairs of tiles.
+TILE = 4096
 LINKS_A_TASK = 200_000
 
 
@@ -216,83 +219,157 @@ def _pairs_by_leader(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("_set", "_l_set").alias("_a"), F.greatest("_set", "_l_set").alias("_b")).distinct()
 
 
-def list_pairs(size: np.ndarray, at: np.ndarray, component: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list whose components differ, whose positions leave room and whose
-    sketches are near enough. Entries must be sorted by size; blocks that can't reach any entry
-    of another block are skipped."""
-    room, found = (size - at).astype(np.int64), []
-    edges = list(range(0, len(size), BLOCK))
-    most = [int(room[k : k + BLOCK].max()) for k in edges]
-    one = [component[k] if (component[k : k + BLOCK] == component[k]).all() else None for k in edges]
-    for x, i in enumerate(edges):
-        for y in range(x, len(edges)):
-            j = edges[y]
-            least_sum = int(size[i]) + int(size[j])  # sizes ascend
-            if (100 + percent) * min(most[x], most[y]) < percent * least_sum or (one[x] is not None and one[x] == one[y]):
+def block_pairs(left: tuple, right: tuple, percent: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of two pieces of a list (same: one piece with itself) and their sketches'
+    distance, block by block: components differ, positions leave room and sketches are near
+    enough. A piece is its size, at, component and sketches. Blocks that can't reach any entry of
+    another block, or hold its one component only, are skipped; pieces sorted by component gain."""
+
+    def blocks(piece: tuple) -> list[tuple]:
+        size, at, component, _ = piece
+        room, out = size.astype(np.int64) - at, []
+        for k in range(0, len(size), BLOCK):
+            own = slice(k, k + BLOCK)
+            one = component[k] if (component[own] == component[k]).all() else None
+            out.append((k, own, int(room[own].max()), int(size[own].min()), one, size[own].astype(np.int64), room[own], component[own]))
+        return out
+
+    ours = blocks(left)
+    theirs = ours if same else blocks(right)
+    for x, (i, _, most, least, one, size, room, component) in enumerate(ours):
+        for y, (j, _, most_y, least_y, one_y, size_y, room_y, component_y) in enumerate(theirs):
+            if (same and y < x) or (100 + percent) * min(most, most_y) < percent * (least + least_y) or (one is not None and one == one_y):
                 continue
-            a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
-            fits = (100 + percent) * np.minimum(room[a, None], room[None, b]) >= percent * (size[a, None].astype(np.int64) + size[None, b])
-            fits &= component[a, None] != component[None, b]
-            p, q = np.nonzero(np.triu(fits, 1) if x == y else fits)
-            p, q = p + i, q + j
-            apart = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1, dtype=np.int64)
-            near = (100 + percent) * apart <= (100 - percent) * (size[p].astype(np.int64) + size[q])
-            found.append((p[near], q[near]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            fits = (100 + percent) * np.minimum(room[:, None], room_y[None]) >= percent * (size[:, None] + size_y[None])
+            fits &= component[:, None] != component_y[None]
+            p, q = np.nonzero(np.triu(fits, 1) if same and x == y else fits)
+            apart = np.bitwise_count(left[3][p + i] ^ right[3][q + j]).sum(1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (size[p] + size_y[q])
+            if near.any():
+                yield p[near] + i, q[near] + j, apart[near]
 
 
-def first_shared(earlier_a: np.ndarray, earlier_b: np.ndarray) -> bool:
-    """Whether two sets that meet in a list share none of their lists before it."""
-    return not len(earlier_a) or not len(earlier_b) or not np.isin(earlier_a, earlier_b).any()
+def list_pairs(size: np.ndarray, at: np.ndarray, component: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs that block_pairs finds in one list."""
+    piece = (size, at, component, sketches)
+    found = [(np.zeros(0, np.int64),) * 2, *((p, q) for p, q, _ in block_pairs(piece, piece, percent, True))]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _pairs_across(entries: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that meet in a list, with their sketches' distance.
-    Each comes from the first list that the two share, so once. An entry carries the set's lists
-    before it for that; they are fewer than the set's own shingles."""
-    named = cut(entries.join(labels.withColumnRenamed("_node", "_set"), "_set", "left").withColumn("_label", F.coalesce("_label", "_set")))
-    mixed = named.groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low <> _high")
+def _tile_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Lists of many entries as pairs of tiles of at most ``tile`` entries of a list: each row
+    once for every pair of its tile, with the pair (_p, _q) and its side of it. Tiles follow the
+    components, so that most pairs of tiles within a component fall away here."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def lists(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, sets, size, at, label, *bits = (c.to_numpy() for c in part.columns[:-1])
-            sketches = np.stack(bits, 1).view(np.uint64)
-            before = part.columns[-1].combine_chunks() if isinstance(part.columns[-1], pa.ChunkedArray) else part.columns[-1]
-            offsets, keys = before.offsets.to_numpy(), before.values.to_numpy()
-            earlier = lambda k: keys[offsets[k] : offsets[k + 1]]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            pairs = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                p, q = list_pairs(size[a:b], at[a:b], label[a:b], sketches[a:b], percent)
-                p, q = p + a, q + a
-                here = np.array([first_shared(earlier(x), earlier(y)) for x, y in zip(p.tolist(), q.tolist(), strict=True)], bool)
-                p, q = p[here], q[here]
-                apart = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1, dtype=np.int64)
-                pairs.append(np.stack([np.minimum(sets[p], sets[q]), np.maximum(sets[p], sets[q]), apart]))
-            found = np.concatenate(pairs, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(row) for row in found], names=["_a", "_b", "_apart"])
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        made, last, inside = TaskContext.get().partitionId() << 40, None, 0
         for batch in batches:
-            whole = pa.Table.from_batches([batch])
-            whole = pa.concat_tables([rest, whole]) if rest is not None else whole
-            key = whole.column(0).to_numpy()
-            edge = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last list may go on
-            rest = whole.slice(edge).combine_chunks()
-            if edge:
-                yield from lists(whole.slice(0, edge).combine_chunks())
-        if rest is not None and rest.num_rows:
-            yield from lists(rest)
-
-    bits = [f"_s{k}" for k in range(SKETCH)]
-    columns = ["_key", "_set", "_size", "_at", "_label", *bits]
-    before = Window.partitionBy("_set").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    met = named.join(mixed, "_key").withColumn("_before", F.collect_list("_key").over(before))
-    sorted_lists = met.join(known.select("_set", *bits), "_set").select(*columns, "_before").repartition("_key").sortWithinPartitions("_key", "_size", "_set")
-    return sorted_lists.mapInArrow(run, "_a long, _b long, _apart long")
+            key = batch.column(0).to_numpy()
+            tiles = np.empty(len(key), np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if key[a] != last:
+                    made, last, inside = made + 1, key[a], 0
+                place = inside + np.arange(b - a)
+                tiles[a:b] = made + place // tile
+                made, inside = made + (inside + b - a) // tile, (inside + b - a) % tile
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles)], names=[*batch.schema.names, "_tile"])
+
+    ranged = rows.repartitionByRange("_key", "_label", "_size", "_set").sortWithinPartitions("_key", "_label", "_size", "_set")
+    tiled = cut(ranged.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("_tile", T.LongType())])))
+    about = tiled.groupBy("_key", "_tile").agg(
+        F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.min("_size").alias("_least"), F.max(F.col("_size") - F.col("_at")).alias("_most")
+    )
+    left, right = (about.select("_key", *[F.col(c).alias(f"{c}_{side}") for c in about.columns[1:]]) for side in "pq")
+    one = (F.col("_low_p") == F.col("_high_p")) & (F.col("_low_q") == F.col("_high_q")) & (F.col("_low_p") == F.col("_low_q"))
+    reach = (100 + percent) * F.least("_most_p", "_most_q").cast("long") >= percent * (F.col("_least_p") + F.col("_least_q")).cast("long")
+    pairs = left.join(right, "_key").where((F.col("_tile_p") <= F.col("_tile_q")) & ~one & reach).select(F.col("_tile_p").alias("_p"), F.col("_tile_q").alias("_q"))
+    pairs = cut(pairs)
+    sides = pairs.select("_p", "_q", F.col("_p").alias("_tile"), F.lit(0).alias("_side")).union(
+        pairs.where("_p <> _q").select("_p", "_q", F.col("_q").alias("_tile"), F.lit(1).alias("_side"))
+    )
+    return tiled.join(sides, "_tile").drop("_tile")
+
+
+def _near_in_parts(rows: DataFrame, percent: int) -> DataFrame:
+    """Near pairs of each part (_p, _q) of rows: of its entries, or of those of its two sides.
+    A pair comes from each list that finds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
+            sets, size, at, label = rows[3:7]
+            piece = (size, at, label, np.stack(rows[7:], 1).view(np.uint64))
+            second = int(np.searchsorted(rows[2], 1))
+            if second == len(sets):
+                for p, q, apart in block_pairs(piece, piece, percent, True):
+                    yield np.stack([np.minimum(sets[p], sets[q]), np.maximum(sets[p], sets[q]), apart])
+            else:
+                for p, q, apart in block_pairs(tuple(c[:second] for c in piece), tuple(c[second:] for c in piece), percent, False):
+                    x, y = sets[p], sets[q + second]
+                    yield np.stack([np.minimum(x, y), np.maximum(x, y), apart])
+
+        def out(found: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(row) for row in np.concatenate(found, 1)], names=["_a", "_b", "_apart"])
+
+        held: list[list[np.ndarray]] = []  # of the part that may go on
+        found: list[np.ndarray] = []
+        size = 0
+
+        def parts() -> Iterator[list[np.ndarray]]:
+            nonlocal held
+            for batch in batches:
+                columns = [c.to_numpy() for c in batch.columns]
+                p, q = columns[:2]
+                if not len(p):
+                    continue
+                if held and (held[-1][0][-1] != p[0] or held[-1][1][-1] != q[0]):
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                    held = []
+                edges = np.concatenate([[0], np.flatnonzero((np.diff(p) != 0) | (np.diff(q) != 0)) + 1, [len(p)]]).tolist()
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    held.append([c[a:b] for c in columns])
+                    if b < len(p):
+                        yield [np.concatenate(c) for c in zip(*held, strict=True)] if len(held) > 1 else held[0]
+                        held = []
+            if held:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+        for rows in parts():
+            for some in part(rows):
+                found.append(some)
+                size += some.shape[1]
+                if size > 50_000:
+                    yield out(found)
+                    found, size = [], 0
+        if found:
+            yield out(found)
+
+    order = ["_p", "_q", "_side", "_label", "_size", "_set"]
+    columns = ["_p", "_q", "_side", "_set", "_size", "_at", "_label", *(f"_s{k}" for k in range(SKETCH))]
+    ordered = rows.select(*columns).repartition("_p", "_q").sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "_a long, _b long, _apart long")
+
+
+def _pairs_across(entries: DataFrame, labels: DataFrame, known: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Pairs of sets of different components that meet in a list, once, with their sketches'
+    distance. A list of up to ``tile`` entries is one part; longer ones are spread over tasks as
+    pairs of tiles, so no task holds more than two tiles of a list."""
+    named = cut(entries.join(labels.withColumnRenamed("_node", "_set"), "_set", "left").withColumn("_label", F.coalesce("_label", "_set")))
+    lists = named.groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.count("*").alias("_owners"))
+    mixed = cut(lists.where("_low <> _high").select("_key", "_owners"))
+    bits = known.select("_set", *[f"_s{k}" for k in range(SKETCH)])
+    parts = named.join(mixed.where(F.col("_owners") <= tile).select("_key"), "_key")
+    parts = parts.select("_set", "_size", "_at", "_label", F.col("_key").alias("_p"), F.lit(0).cast("long").alias("_q"), F.lit(0).alias("_side"))
+    found = _near_in_parts(parts.join(bits, "_set"), percent)
+    long = mixed.where(F.col("_owners") > tile).select("_key")
+    if not long.isEmpty():
+        tiles = _tile_pairs(named.join(long, "_key").select("_key", "_set", "_size", "_at", "_label"), percent, tile)
+        found = found.union(_near_in_parts(tiles.join(bits, "_set"), percent))
+    return found.distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
