@@ -136,3 +136,19 @@ def test_secrets_are_found_and_false_positives_go(spark):
     assert [r.text for r in clean.orderBy("doc_id").collect()] == ["the key is [secret] here", 'token = "[secret]" ok']
     assert found.where(F.col("doc_id") == 1).first().start == 11
     assert secret_scan.scan(frame.limit(0)).count() == 0
+
+
+def test_candidates_of_any_letters(spark):
+    values = ["Tr0ub4dor&3x!", "AKIA" + "QWERTZUIOPASDFGH", "kqzvxwplmtrhgjd", "QKZVXWPLMTRHGJD", "correct-horse-battery-staple"]
+    texts = ["password=Tr0ub4dor&3x! and more", f"the key {values[1]} here", f"passwd: '{values[2]}'", f'pwd = "{values[3]}"', f"password={values[4]}"]
+    for text, value in zip(texts, values, strict=True):
+        assert [text[a:b] for a, b in secret_scan.candidates(text)] == [value]
+    text = "Authorization: Bearer abcDEF123ghiJKL456mno, ok"
+    assert [text[a:b] for a, b in secret_scan.candidates(text)] == ["abcDEF123ghiJKL456mno"]
+    for lead in ("token=", "token: Bearer "):
+        assert list(secret_scan.candidates(lead + "aB3" * 200)) == [(len(lead), len(lead) + 600)]
+    # among a corpus, for words of five texts alone would make a dictionary of the secrets
+    docs = tables(spark)[0].select((F.col("doc_id") + 10).alias("doc_id"), "text")
+    frame = docs.union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r.doc_id: r.is_secret for r in secret_scan.scan(frame).where("doc_id < 5").collect()}
+    assert found == dict.fromkeys(range(5), True)

@@ -1,7 +1,9 @@
 """Secret scan: candidate strings, sorted into secrets and false positives by a random forest.
 
-Candidates are unbroken runs of at least ``SHORTEST`` characters of keys and tokens with a digit
-or mixed case. Each is described by its length, its transitions between kinds of characters, its
+Candidates are: the value after a key word and ``=`` or ``:`` (quoted, or up to white space;
+any characters, ``SHORTEST_VALUE`` at least); known forms of issued keys, whatever their letters;
+and other unbroken runs of at least ``SHORTEST`` characters of keys and tokens with a digit or
+mixed case. Where they overlap, the first of these three kinds is taken. Each is described by its length, its transitions between kinds of characters, its
 entropy, how much of it dictionary words cover, whether it stands in a path or address, and by
 the words beside it. The forest is Spark's; it is trained on labelled findings (candidates with
 a label). ``labelled_findings`` makes the findings used by default, from the forms in which keys
@@ -18,6 +20,7 @@ columns are left alone. A finding tells where it stands and how long it is, neve
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import string
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, most_frequent
 
 SHORTEST = 12
+SHORTEST_VALUE = 6
 WORDS = 20_000
 TREES = 40
 DEPTH = 10
@@ -45,6 +49,15 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % SHORTEST)
 _LETTERS = re.compile(r"[A-Za-z]{3,}")
 # fixed values: words that stand beside secrets, and beside what is mistaken for them
 KEY_WORDS = tuple("password passwd pwd secret token key api apikey auth bearer credential private access aws client".split())
+_VALUE = re.compile(
+    r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|auth|bearer|credentials?|(?:private|access|secret)[_-]?key)[A-Za-z0-9_\-]{0,20}[\"']?\s{0,3}(?:=|:)\s{0,3}"
+    r"(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|((?![\"'])\S{%d,}))" % ((SHORTEST_VALUE,) * 3),
+    re.I,
+)
+_UNBROKEN = re.compile(r"\S*")
+_SCHEME = re.compile(r"(?:bearer|basic|token)\s+(?=\S)", re.I)
+# fixed values: forms in which keys are issued
+_FORM = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])")
 OTHER_WORDS = tuple("sha sha1 sha256 md5 hash commit checksum digest etag uuid guid id version build revision integrity mail href src url file image".split())
 N_FEATURES = 22
 
@@ -54,12 +67,40 @@ def _kind(c: str) -> int:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each candidate."""
+    """Start and end of each candidate, in order and apart from one another."""
+    taken: list[tuple[int, int]] = []
+    for m in _VALUE.finditer(text):
+        group = m.lastindex
+        start, end = m.span(group)
+        if group == 3:  # marks that end a sentence or list aren't part of it
+            end = start + len(m[3].rstrip(",;.)]}>\"'"))
+        if scheme := _SCHEME.match(text, start):  # Authorization: Bearer ...
+            start = scheme.end()
+            end = max(end, start + len(_UNBROKEN.match(text, start)[0].rstrip(",;.)]}>\"'")))
+        if end - start >= SHORTEST_VALUE:
+            taken.append((start, end))
+    plain = []
     for m in _CANDIDATE.finditer(text):
         s = m[0]
         digits, lower, upper = (any(test(c) for c in s) for test in (str.isdigit, str.islower, str.isupper))
         if digits or (lower and upper and any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False))):
-            yield m.start(), m.end()
+            plain.append(m.span())
+    for more in ([m.span() for m in _FORM.finditer(text)], plain):
+        taken = _apart(taken)
+        starts = [a for a, _ in taken]
+        free = [(a, b) for a, b in more if not (k := bisect.bisect_left(starts, b)) or taken[k - 1][1] <= a]
+        taken = taken + free
+    taken = _apart(taken)
+    yield from taken
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, without those that begin within an earlier one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
 
 
 def features(text: str, start: int, end: int, words: frozenset[str]) -> list[float]:
@@ -113,6 +154,7 @@ def labelled_findings(words: frozenset[str], n: int = EXAMPLES, seed: int = SEED
     alnum, hexes, base64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     digest = lambda: hashlib.sha1(random.bytes(8)).hexdigest()
     name = lambda: str(random.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret", "access_key"]))
+    named = lambda: str(random.choice(["password", "passwd", "pwd", "DB_PASSWORD", "secret", "api_key"]))
     sign = lambda: str(random.choice(["=", ": ", " = ", ":", "=\"", " = \"", ": \""]))
     secrets = [
         lambda: ("", "AKIA" + pick(string.ascii_uppercase + "234567" + "0189", 16)),
@@ -124,6 +166,12 @@ def labelled_findings(words: frozenset[str], n: int = EXAMPLES, seed: int = SEED
         lambda: ("Authorization: Bearer ", pick(alnum + "_-", 24, 60)),
         lambda: ("", "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24)),
         lambda: ("", "AIza" + pick(alnum + "_-", 35)),
+        lambda: ("", "AKIA" + pick(string.ascii_uppercase, 16)),
+        lambda: (named() + sign(), pick(alnum + "!#$%&*+-?@^_~", 8, 20)),
+        lambda: (named() + sign(), some(1, 1).capitalize() + pick("0123456789!@#$%&*", 2, 5) + some(1, 1) + pick("!?$#%&", 1, 2)),
+        lambda: (named() + sign(), pick(string.ascii_lowercase, 14, 40)),
+        lambda: (named() + sign(), pick(string.ascii_uppercase, 14, 40)),
+        lambda: (str(random.choice(["password", "passwd", "pwd", "passphrase"])) + "=", some(3, 5, "-")),
     ]
     others = [
         lambda: (str(random.choice(["commit ", "sha256: ", "md5 = ", "checksum ", "etag: ", "sha1 ", "hash "])), pick(hexes, int(random.choice([32, 40, 64])))),
@@ -135,6 +183,8 @@ def labelled_findings(words: frozenset[str], n: int = EXAMPLES, seed: int = SEED
         lambda: ("", pick(string.digits, 12, 20)),
         lambda: ("", f"2{pick(string.digits, 3)}-{pick(string.digits, 2)}-{pick(string.digits, 2)}T{pick(string.digits, 6)}"),
         lambda: (name() + sign(), str(random.choice(["your-password-here1", "changeme12345", "xxxxxxxxxxxxxxxx1", "example_token_123", "placeholder_key1", "000000000000000000"]))),
+        lambda: (name() + ": ", str(random.choice([w for w in plain if len(w) >= SHORTEST_VALUE] or ["required"]))),
+        lambda: (name() + sign(), str(random.choice(["${PASSWORD}", "<your-password>", "os.environ['KEY']", "getenv(KEY)", "required", "********", "changeme", "undefined", "{{ secret }}", "None,null"]))),
         lambda: ("version ", f"release-{random.integers(1, 9)}-{random.integers(0, 40)}-{some(1, 1)}"),
         lambda: ("", some(1, 1) + pick(string.digits, 2, 3) + "_" + some(1, 2, "_")),
         lambda: ("", some(1, 1) + str(random.choice(["-", "/", "_"])) + some(2, 3, "-") + pick(string.digits, 1)),
