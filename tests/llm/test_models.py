@@ -152,3 +152,26 @@ def test_candidates_of_any_letters(spark):
     frame = docs.union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     found = {r.doc_id: r.is_secret for r in secret_scan.scan(frame).where("doc_id < 5").collect()}
     assert found == dict.fromkeys(range(5), True)
+
+
+def test_every_token_is_trained_on(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), language_model.LogBilinear.train
+
+    def counted(self, before, target, *args, **options):
+        seen.add(len(target))
+        return plain(self, before, target, *args, **options)
+
+    rows = spark.createDataFrame([(k, bytearray(b"one two three four five six")) for k in range(40)], "_id long, _text binary")
+    counts = np.ones(1 + language_model.BUCKETS)
+    classes = language_model.Classes(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+
+    class Counted(language_model.LogBilinear):
+        train = counted
+
+        def unpack(self, flat):
+            out = super().unpack(flat)
+            return Counted(out.left, out.right, out.scale, out.bias, out.noise)
+
+    monkeypatch.setattr(language_model, "LogBilinear", Counted)
+    language_model.train(rows, classes, counts, 40)
+    assert seen.value == (2 + 1) * 40 * 7  # twice for the start on the driver, then once over all

@@ -9,8 +9,7 @@ unseen word. So P(word | context) = P(class | context) * P(word | class) sums to
 1. Counting: every training token is counted, by partition and then by a shuffle on the word's
    64-bit hash.
 2. Training: a bounded sample of about ``START_DOCS`` documents gives the driver a starting point;
-   then every partition trains on every ``STRIDE``-th token of its documents, and the partitions'
-   parameters are averaged by tokens. All sums are made by Spark; the driver gets one model.
+   then every partition trains on every token of its documents, and the partitions' parameters are averaged by tokens. All sums are made by Spark; the driver gets one model.
 3. Scoring: tasks multiply batches of context vectors with all class vectors and normalise. The
    counts of the ``FREQUENT`` most frequent words are broadcast (a fixed bound); all other words
    are joined with the counts by hash.
@@ -41,7 +40,6 @@ BUCKETS = 64
 CONTEXT = 4
 DIM = 16
 NOISE = 8
-STRIDE = 16
 START_DOCS = 600
 FREQUENT = 1 << 17
 FOLDS = 5
@@ -222,9 +220,8 @@ def train(rows: DataFrame, classes: Classes, counts: np.ndarray, n_rows: int) ->
         chance = np.random.default_rng([SEED, TaskContext.get().partitionId()])
         for batch in batches:
             for before, target in _token_batches(texts_of(batch.column(0)), classes):
-                chosen = slice(int(chance.integers(STRIDE)), None, STRIDE)
-                past = own.train(before[chosen], target[chosen], chance, rate=0.03, past=past)
-                seen += len(target[chosen])
+                past = own.train(before, target, chance, rate=0.03, past=past)
+                seen += len(target)
         if seen:
             flat = own.pack()
             yield pa.RecordBatch.from_pydict({"_at": np.arange(len(flat)), "_sum": flat * seen, "_seen": np.full(len(flat), float(seen))})
