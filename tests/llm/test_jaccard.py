@@ -85,18 +85,116 @@ def test_sketch_never_exceeds_the_distance():
         assert apart <= len(np.setxor1d(a, b))
 
 
+def test_many_lists_at_once_keep_all_that_can_link():
+    chance = np.random.default_rng(4)
+    lengths = [*chance.integers(1, 9, 40), 63, 64, 65, 150, 1, 2]
+    key = np.repeat(np.arange(len(lengths)), lengths)
+    size = chance.integers(5, 60, len(key)).astype(np.int32)
+    at, component = (chance.integers(0, 6, len(key)) % size).astype(np.int32), chance.integers(0, 4, len(key))
+    found = [np.stack(x) for x in j.pairs_in_lists(key, size, at, component, np.zeros((len(key), j.SKETCH), np.uint64), 85)]
+    got = [tuple(sorted(x)) for x in np.concatenate(found, 1)[:2].T.tolist()]
+    room = (size - at).astype(int)
+    want = {(a, b) for a in range(len(key)) for b in range(a + 1, len(key)) if key[a] == key[b] and component[a] != component[b] and 185 * min(room[a], room[b]) >= 85 * (int(size[a]) + int(size[b]))}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_long_lists_are_spread_in_tiles(spark):
     chance = np.random.default_rng(3)
-    bits = [f"_s{k} long" for k in range(j.SKETCH)]
     labels = [0 if k < 30 else k for k in range(60)]  # one large component, and strays
     size, at = chance.integers(20, 24, 60).tolist(), chance.integers(0, 3, 60).tolist()
-    entries = spark.createDataFrame([(key, k, size[k], at[k]) for key in (5, 6) for k in range(60) if key == 5 or k < 4 or k > 55], "_key long, _set long, _size int, _at int")
-    named = spark.createDataFrame(list(enumerate(labels)), "_node long, _label long")
-    known = spark.createDataFrame([(k, *[0] * j.SKETCH) for k in range(60)], "_set long, " + ", ".join(bits))
-    got = [tuple(r) for r in j._pairs_across(entries, named, known, 85, tile=8).collect()]
+    keys = [[key for key in (5, 6) if key == 5 or k < 4 or k > 55] for k in range(60)]
+    named = spark.createDataFrame([(k, size[k], labels[k], *[0] * j.SKETCH, keys[k], [at[k]] * len(keys[k])) for k in range(60)], "_node long, _n int, _label long, " + ", ".join(f"{b} long" for b in j.BITS) + ", _keys array<long>, _ats array<int>")
+    scratch = j.Scratch(spark)
+    got = [tuple(r) for r in j._pairs_across(named, 85, scratch, tile=8).collect()]
     room = [s - a for s, a in zip(size, at, strict=True)]
     want = {(a, b, 0) for a in range(60) for b in range(a + 1, 60) if labels[a] != labels[b] and 185 * min(room[a], room[b]) >= 85 * (size[a] + size[b])}
     assert len(got) == len(set(got)) and set(got) == want
-    rows = entries.where("_key = 5").join(named.withColumnRenamed("_node", "_set"), "_set").select("_key", "_set", "_size", "_at", "_label")
-    parts = j._tile_pairs(rows, 85, 8).groupBy("_p", "_q", "_side").count().collect()
+    rows = j._entries(named, "_label").where("_key = 5")
+    parts = j._tile_pairs(rows, 85, 8, scratch).groupBy("_p", "_q", "_side").count().collect()
     assert max(r["count"] for r in parts) <= 8 and len({(r._p, r._q) for r in parts}) > 10
+    scratch.drop()
+
+
+def test_components_in_one_task_and_over_many(spark):
+    chance = random.Random(5)
+    links = [(chance.randrange(400), chance.randrange(400)) for _ in range(230)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    frame, scratch = spark.createDataFrame(links, "_a long, _b long"), j.Scratch(spark)
+    for most in (1000, 10):
+        assert {tuple(r) for r in j.components(frame, scratch, most).collect()} == {(x, find(x)) for x in parent}
+    scratch.drop()
+
+
+def test_tables_hold_exact_counts(spark):
+    keys = [k % 50 for k in range(300)] + [7] * 100 + [1000]
+    frame = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    tables = j.tables_of(frame, lambda b, _: (b.column(0).to_numpy(), None), 2)
+    asked = np.array([*range(50), 1000, 2000])
+    assert tables.owned(asked).tolist() == [True] * 50 + [False] * 2
+    assert tables.level(asked)[:8].tolist() == [0] * 7 + [6]
+
+
+def test_a_large_group_of_near_copies_against_brute_force(spark):
+    chance = random.Random(11)
+    say = lambda n: [f"w{chance.randrange(3000)}" for _ in range(n)]
+    base, passage, rows = say(120), say(50), []
+    for k in range(420):
+        if k % 3:
+            copy = list(base) if k % 2 else list(rows[-1] if rows and len(rows[-1]) > 90 else base)
+            for _ in range(chance.randrange(0, 6)):  # near 0.85 from both sides
+                copy[chance.randrange(len(copy))] = f"v{chance.randrange(10**6)}"
+            rows.append(copy)
+        else:
+            rows.append(passage + say(chance.randrange(5, 25)))
+    docs = [(k, " ".join(r), "x") for k, r in enumerate(rows)] + [(1000 + k, " ".join(base), "x") for k in range(100)]
+    sets, root, lowest = groups(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(7)
+    got = {r[0]: (r[1], r[2]) for r in j.near_duplicates(frame).collect()}
+    assert got == {i: (len(sets[k]), lowest[root[k]]) for k, (i, _, _) in enumerate(docs)}
+    assert 1 < len({c for _, c in got.values()}) < 300
+
+
+def test_bounds_from_a_leader_never_contradict_the_sets(spark):
+    chance = np.random.default_rng(6)
+    base = chance.choice(10**6, 100, replace=False)
+    sets = []
+    for k in range(30):
+        own = base.copy()
+        swap = chance.choice(100, int(chance.integers(0, 14)), replace=False)
+        own[swap] = chance.integers(10**7, 10**8, len(swap))
+        sets.append(set(own.tolist()))
+    apart = lambda a, b: len(sets[a] ^ sets[b])
+    links = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    answers = [(k, 0, apart(k, 0), links(k, 0)) for k in range(1, 30)]
+    pairs = [(a, b) for a in range(1, 30) for b in range(1, 30) if a != b]
+    found = j._derived(
+        spark.createDataFrame(pairs, "_a long, _b long"), spark.createDataFrame(answers, "_a long, _b long, _d long, _linked boolean"),
+        spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "_node long, _n int"), 85,
+    ).collect()
+    assert found and {r._known for r in found} == {True, False} or {r._known for r in found} == {True}
+    assert all(r._known == links(r._a, r._b) for r in found)
+
+
+def test_clashing_columns_long_texts_and_repeated_rows(spark):
+    long = " ".join(f"w{k % 9973}" for k in range(300_000))
+    rows = [(3, long, 1), (2, long + " more", 2), (2, long + " more", 3), (9, "a b c d e", 4), (9, "a b c d e", 5), (8, None, 6), (None, "a b c d e", 7)]
+    columns = ["_gone long", "_text string", "_set int"]
+    frame = spark.createDataFrame(rows, ", ".join(columns))
+    for more in ("_doc", "_own", "_hash", "_node", "_id", "_label", "_gone_set"):
+        frame = frame.withColumn(more, frame["_set"])
+    got = j.one_of_each(frame, id_col="_gone", text_col="_text").collect()
+    assert sorted((str(r._gone), len(r._text or "")) for r in got) == [("2", len(long) + 5), ("8", 0), ("9", 9)]
+    assert sorted(r.component_id or -1 for r in j.near_duplicates(frame.withColumnRenamed("_gone", "doc_id").withColumnRenamed("_text", "text")).withColumnRenamed("doc_id", "x").collect()) == [2, 2, 2, 8, 9, 9, 9]
+
+
+def test_empty_tables_of_groups(spark):
+    assert j.one_of_each(spark.createDataFrame([], "doc_id long, text string, _gone int")).count() == 0

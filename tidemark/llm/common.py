@@ -41,6 +41,28 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+class Scratch:
+    """Tables written into the shared folder on the way to a result, and deleted at its end.
+
+    They stand on shared storage, so lost executors don't take them along."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def keep(self, frame: DataFrame, label: str = "part") -> DataFrame:
+        """The frame, computed once and read again."""
+        self.folders.append(folder := new_folder(self.spark, label))
+        frame.write.parquet(folder)
+        return self.spark.read.schema(frame.schema).parquet(folder)
+
+    def drop(self) -> None:
+        """Deletes all tables; nothing that is still to be computed may read them."""
+        for folder in self.folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders = []
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() does just that for ASCII texts and is faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -1,37 +1,44 @@
 """Exact n-gram Jaccard join that skips by set relations.
 
-A document's set are the 64-bit hashes of its distinct shingles. Equal sets are one class. Two
-classes link when 100 * intersection >= ``PERCENT`` * union; components follow the links.
+A document's set are the 64-bit hashes of its distinct shingles. Equal sets are one class, known
+by the hash of one of its texts. Two classes link when 100 * intersection >= ``PERCENT`` * union;
+components follow the links.
 
-Finding links without losing one:
+Texts are cut into shingles once. Each row keeps its fingerprint, a parity sketch and the part of
+its set that can stand in a prefix: the shingles of the lowest share of all hashes. Then:
 
-1. All sets order their shingles alike, frequent ones last. Frequencies are counted over all
-   documents (for the shingles in each set's lowest share) and kept in a table of fixed size, so
-   two shingles may share a slot; this affects the order, never the result. Two linked sets must
-   share one of their first shingles (prefix filter), and only shingles with two owners go on.
+1. All sets order their shingles alike: those of the lowest share first, frequent ones last among
+   them. Frequencies are exact counts over all documents, kept in a table of fixed size, so two
+   shingles may share a slot; this affects the order, never the result. Two linked sets share
+   one of their first shingles (prefix filter), and only shingles with two owners go on.
 2. Index-level skipping: entries of a shingle's list carry size and position. A pair at positions
    i, j can share min(size - position) shingles at most; lists are kept in blocks, and a block
    whose best entry can't reach the needed overlap is passed over.
-3. Answer-level skipping: each list's leader (the set with least rare shingles) is joined first.
-   A set that links with a leader takes over its component, hence the leader's answers; in a
-   second round only pairs of different components are left to look at, each set's nearest
-   first. Lists that have become one component go before they are gathered anywhere; the rest
-   are sorted by component, and long ones are spread over tasks as pairs of tiles.
-4. Candidates are first tested on parity sketches (512 bits; their distance never exceeds the
-   sets' distance), in the second round before they leave their list, and then verified on the
-   whole sets.
-
-Components come from minimum labels with pointer jumping. Copies are never expanded into pairs.
+3. Answer-level skipping: each list's leader (the set with least rare shingles) is joined first,
+   and the exact distances of these pairs are kept. A set that links with a leader takes over its
+   component. For pairs of different components the leader's answers are adjusted by the known
+   difference: with x near its leader L, the distance of x and y lies between
+   |d(L, y) - d(L, x)| and d(L, y) + d(L, x). What these bounds decide is not compared again; of
+   the rest, each set's nearest pair goes first.
+4. Candidates are tested on parity sketches (512 bits; their distance never exceeds the sets'
+   distance), in the second round before they leave their list, and then verified on whole sets.
+   Lists of one component go before they are gathered anywhere, and long ones are spread over
+   tasks as pairs of tiles.
+
+Components come from minimum labels with pointer jumping; links that fit one task
+(``LINKS_A_TASK``) are joined there. Copies are never expanded into pairs.
 
 Cases: a null or wordless text has an empty set and links with nothing, not even its like; with
 fewer words than a shingle the whole sequence is the one shingle; rows that repeat belong
 together; a component whose ids are all null has a null id; an empty table gives an empty
-result; other columns are left alone. Sets are told apart by 64-bit hashes.
+result; other columns are left alone, whatever their names. Sets and texts are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,169 +46,280 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Words, cut, mix, pieces, signed, texts_of, words_of
+from tidemark.llm.common import Scratch, Words, mix, pieces, signed, texts_of, words_of
 
 SHINGLE = 4
 PERCENT = 85
-#: log2 of the slots of the frequency table (a byte each) and of the ownership bitmap (a bit each).
+#: log2 of the slots of the level table (a byte each) and of the ownership bitmap (a bit each).
 LEVEL_BITS = 22
 OWNER_BITS = 27
 #: A shingle counts as frequent from so many documents on.
 FREQUENT = 8
 SKETCH = 8
+BITS = [f"_s{k}" for k in range(SKETCH)]
 BLOCK = 256
-#: Entries of a list that a task takes at once; longer lists go as pairs of tiles.
+#: Lists up to this length are compared together, a shift at a time.
+SHORT = 64
+#: Entries of a list that a task takes at once (a power of two); longer lists go as pairs of tiles.
 TILE = 4096
+#: Links that one task joins.
 LINKS_A_TASK = 200_000
+#: Keys that a task counts before it passes them on.
+FLUSH = 2_000_000
+
+
+# ---- sets of texts ----
+
+
+@dataclass
+class Sets:
+    """Sets end to end, each sorted; first: where each begins, plus the end."""
+
+    keys: np.ndarray
+    first: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    @property
+    def rows(self) -> np.ndarray:
+        """The set each key belongs to."""
+        return np.repeat(np.arange(len(self.first) - 1), self.sizes)
+
+    @property
+    def places(self) -> np.ndarray:
+        return np.arange(len(self.keys)) - np.repeat(self.first[:-1], self.sizes)
 
 
-def shingle_sets(w: Words, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(w: Words, n: int) -> Sets:
+    """The distinct shingle hashes of each text."""
     h, size = w.hash, len(w.hash)
     multipliers = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(n)]
     whole = np.zeros(max(0, size - n + 1), np.uint64)
     for k in range(n if size >= n else 0):
         whole += h[k : size - n + 1 + k] * multipliers[k]
-    whole = mix(whole)
+    whole, out = signed(mix(whole)), []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= n:
-            yield np.unique(signed(whole[a : b - n + 1]))
+            own = np.sort(whole[a : b - n + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
             short = sum((h[a + k : a + k + 1] * multipliers[k] for k in range(b - a)), np.zeros(1, np.uint64))
-            yield signed(mix(short + np.uint64(b - a)))
+            out.append(signed(mix(short + np.uint64(b - a))))
         else:
-            yield np.zeros(0, np.int64)
+            out.append(np.zeros(0, np.int64))
+    return Sets(np.concatenate(out or [np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(s) for s in out], dtype=np.int64)]))
 
 
-def prefix(n: int, percent: int) -> int:
-    """How many first shingles of a set of n must meet those of any linked set."""
-    return n + (-percent * n) // 100 + 1 if n else 0
+def fingerprints(s: Sets) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    scrambled = mix(s.keys.view(np.uint64) + np.uint64(0xA0761D6478BD642F))
+    none = np.zeros(1, np.uint64)
+    total = np.concatenate([none, np.cumsum(scrambled, dtype=np.uint64)])[s.first]
+    parity = np.concatenate([none, np.bitwise_xor.accumulate(scrambled)])[s.first]
+    return signed(mix((total[1:] - total[:-1]) ^ ((parity[1:] ^ parity[:-1]) * np.uint64(3) + s.sizes.astype(np.uint64))))
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """A 64-bit hash of the set."""
-    scrambled = mix(shingles.view(np.uint64) + np.uint64(0xA0761D6478BD642F))
-    both = np.array([scrambled.sum(dtype=np.uint64), np.bitwise_xor.reduce(scrambled)])
-    return int(signed(mix(both[:1] ^ (both[1:] * np.uint64(3) + np.uint64(len(shingles)))))[0])
+def sketches(s: Sets) -> np.ndarray:
+    """512 parity bits of each set as 8 longs: bit k is the parity of the shingles with place k."""
+    places = (mix(s.keys.view(np.uint64) ^ np.uint64(0x589965CC75374CC3)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    places += s.rows * (64 * SKETCH)
+    out, step = np.zeros((len(s.first) - 1, SKETCH), np.int64), 1024
+    for a in range(0, len(out), step):
+        b = min(a + step, len(out))
+        some = places[s.first[a] : s.first[b]] - a * 64 * SKETCH
+        bits = np.bincount(some, minlength=(b - a) * 64 * SKETCH) & 1
+        out[a:b] = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(-1, SKETCH)
+    return out
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """512 parity bits as 8 longs: bit k is the parity of the shingles with place k."""
-    places = (mix(shingles.view(np.uint64) ^ np.uint64(0x589965CC75374CC3)) % np.uint64(64 * SKETCH)).astype(np.int64)
-    bits = np.bincount(places, minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """The parity bits of one set."""
+    return sketches(Sets(shingles, np.array([0, len(shingles)])))[0]
+
+
+def prefixes(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many first shingles of sets of n must meet those of any linked set."""
+    return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
+
+
+def low_end(percent: int) -> int:
+    """Hashes below this are the share that is counted: twice a prefix's share of a set."""
+    return -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100)
+
+
+def packed(keys: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of longs as one binary column."""
+    ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(keys))])
+
+
+def unpacked(column: pa.Array) -> Sets:
+    """The longs of such a column."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    keys = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].view(np.int64) if raw is not None and ends[-1] > ends[0] else np.zeros(0, np.int64)
+    return Sets(keys, (ends - ends[0]) // 8)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Sets of about a megabyte of text at a time, with the rows they belong to."""
-    for batch in batches:
-        for at, part in pieces(texts_of(batch.column("_text"))):
-            yield batch.slice(at, len(part)), list(shingle_sets(words_of(part), n))
+def _texts(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(*more, F.xxhash64(text).alias("_node"), text.cast("binary").alias("_text"))
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """_id, _n, _set and the parity sketch of each row."""
+def _described(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """_id, _node (hash of the text), _set (hash of the set), _n, sketch and _low of each row."""
+    end = low_end(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, n):
-            sketches = np.array([sketch(s) for s in sets]).reshape(len(sets), SKETCH)
-            columns = [batch.column("_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sketches[:, k]) for k in range(SKETCH))], names=["_id", "_n", "_set", *(f"_s{k}" for k in range(SKETCH))])
+        for batch in batches:
+            for at, part in pieces(texts_of(batch.column("_text"))):
+                s, rows = shingle_sets(words_of(part), n), batch.slice(at, len(part))
+                below = np.concatenate([[0], np.cumsum(s.keys < end)])[s.first]
+                most = np.minimum(s.sizes, np.maximum(prefixes(s.sizes, percent), below[1:] - below[:-1]))
+                low = packed(s.keys[s.places < np.repeat(most, s.sizes)], most)
+                bits = [pa.array(c) for c in sketches(s).T.copy()]
+                columns = [rows.column("_id"), rows.column("_node"), pa.array(fingerprints(s)), pa.array(s.sizes.astype(np.int32)), *bits, low]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_node", "_set", "_n", *BITS, "_low"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, _n int, _set long, " + ", ".join(f"_s{k} long" for k in range(SKETCH)))
+    sketched = ", ".join(f"{b} long" for b in BITS)
+    return _texts(docs, text_col, F.col(id_col).alias("_id")).mapInArrow(run, f"_id {kind}, _node long, _set long, _n int, {sketched}, _low binary")
 
 
-def slot_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of each hash."""
-    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def first_seen(sets: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Where a set stands for the first time in this task."""
+    unique, at = np.unique(sets, return_index=True)
+    new = np.array([x not in seen for x in unique.tolist()], bool)
+    seen.update(unique[new].tolist())
+    return np.sort(at[new])
 
 
-def slot_table(rows: DataFrame, bits: int, packed: bool) -> np.ndarray:
-    """The highest _level of the _keys in each of 2**bits slots, a byte each; packed: whether
-    there is any, a bit each. Chunks are made by tasks; the driver gets the table, whose size
-    doesn't depend on the rows."""
-    chunk = 13 if packed else 10
+# ---- tables of fixed size ----
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = slot_of(batch.column(0).to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(slots >> chunk), pa.array((slots & ((1 << chunk) - 1)).astype(np.int32)), batch.column(1)], names=["_chunk", "_at", "_level"])
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for at, level in zip(batch.column("_ats").to_pylist(), batch.column("_levels").to_pylist(), strict=True):
-                table = np.zeros(1 << chunk, np.uint8)
-                table[at] = level
-                out.append((np.packbits(table > 0) if packed else table).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_chunk"), pa.array(out, pa.binary())], names=["_chunk", "_bytes"])
+def slots_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    placed = rows.select("_key", "_level").mapInArrow(place, "_chunk long, _at int, _level int")
-    slots = placed.groupBy("_chunk", "_at").agg(F.max("_level").alias("_level"))
-    chunks = slots.groupBy("_chunk").agg(F.collect_list("_at").alias("_ats"), F.collect_list("_level").alias("_levels"))  # at most 2**chunk each
-    table = np.zeros(1 << (bits - 3 if packed else bits), np.uint8)
-    width = 1 << (chunk - 3 if packed else chunk)
-    for at, raw in chunks.mapInArrow(fill, "_chunk long, _bytes binary").toLocalIterator():
-        table[at * width : (at + 1) * width] = np.frombuffer(raw, np.uint8)
-    return table
 
+@dataclass
+class Tables:
+    """levels: log2 of the highest count in a slot (0 if it isn't frequent); owners: a bit for
+    each slot with a key of enough counts."""
 
-def owned(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys have their bit in a packed table."""
-    slots = slot_of(keys, len(table).bit_length() + 2)
-    return (table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+    levels: np.ndarray
+    owners: np.ndarray
 
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        return self.levels[slots_of(keys, LEVEL_BITS)]
 
-def first_shingles(s: np.ndarray, levels: np.ndarray | None, percent: int) -> np.ndarray:
-    """The prefix of a set, in the common order."""
-    p = prefix(len(s), percent)
-    if levels is None:
-        return s[:p]
-    own = levels[slot_of(s, LEVEL_BITS)]
-    return s[np.argsort(own, kind="stable")[:p]] if own.any() else s[:p]
+    def owned(self, keys: np.ndarray) -> np.ndarray:
+        slots = slots_of(keys, OWNER_BITS)
+        return (self.owners[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _prefix_counts(docs: DataFrame, n: int, percent: int, levels=None) -> DataFrame:
-    """_key and _n: in how many documents' prefixes a shingle stands."""
+def tables_of(rows: DataFrame, keys_in: Callable[[pa.RecordBatch, set[int]], tuple[np.ndarray, np.ndarray | None]], least: int) -> Tables:
+    """Exact counts of all keys, put into tables. Tasks add up their own keys and deal them out
+    by slot; each range of slots is filled by one task. The driver gets the tables, whose size
+    doesn't depend on the rows. keys_in: keys and counts (None: one each) of a batch."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = max(6, min(12, (parts - 1).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        table = levels.value if levels is not None else None
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts, size, seen = [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["_key", "_n"])
-
-        for _, sets in _sets(batches, n):
-            for s in sets:
-                held.append(first_shingles(s, table, percent))
-                size += len(held[-1])
-            if size > 1_000_000:
+            keys, n = totals(np.concatenate(held), np.concatenate(counts))
+            edges = np.searchsorted(keys >> np.uint64(64 - deal), np.arange((1 << deal) + 1, dtype=np.uint64)).tolist()
+            full = [k for k in range(1 << deal) if edges[k] < edges[k + 1]]
+            blobs = [[x[edges[k] : edges[k + 1]].tobytes() for k in full] for x in (keys, n)]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["_range", "_keys", "_counts"])
+
+        for batch in batches:
+            keys, n = keys_in(batch, seen)
+            held.append(mix(keys.view(np.uint64)))
+            counts.append(np.ones(len(keys), np.uint32) if n is None else n.astype(np.uint32))
+            size += len(keys)
+            if size > FLUSH:
                 yield flush()
-                held, size = [], 0
-        if held:
+                held, counts, size = [], [], 0
+        if size:
             yield flush()
 
-    return docs.mapInArrow(run, "_key long, _n long").groupBy("_key").agg(F.sum("_n").alias("_n"))
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, counts = None, [], []
+
+        def filled() -> pa.RecordBatch:
+            keys, n = totals(np.concatenate(held), np.concatenate(counts))
+            levels, owners = np.zeros(1 << (LEVEL_BITS - deal), np.uint8), np.zeros(1 << (OWNER_BITS - deal), np.uint8)
+            often = n >= FREQUENT
+            slots = (keys[often] >> np.uint64(64 - LEVEL_BITS)).astype(np.int64) & (len(levels) - 1)
+            np.maximum.at(levels, slots, np.log2(n[often]).astype(np.uint8))
+            owners[(keys[n >= least] >> np.uint64(64 - OWNER_BITS)).astype(np.int64) & (len(owners) - 1)] = 1
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (levels, np.packbits(owners)))], names=["_range", "_levels", "_owners"])
+
+        for batch in batches:
+            for k, keys, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if held and k != own:
+                    yield filled()
+                    held, counts = [], []
+                own = k
+                held.append(np.frombuffer(keys.as_buffer(), np.uint64))
+                counts.append(np.frombuffer(n.as_buffer(), np.uint32))
+        if held:
+            yield filled()
 
+    dealt = rows.mapInArrow(add_up, "_range int, _keys binary, _counts binary").repartition(parts, "_range").sortWithinPartitions("_range")
+    out = Tables(np.zeros(1 << LEVEL_BITS, np.uint8), np.zeros(1 << (OWNER_BITS - 3), np.uint8))
+    for k, levels, owners in dealt.mapInArrow(fill, "_range int, _levels binary, _owners binary").collect():
+        for table, raw in ((out.levels, levels), (out.owners, owners)):
+            table[k * len(raw) : (k + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
+    return out
 
-def _entries(docs: DataFrame, n: int, percent: int, levels, owners) -> DataFrame:
-    """_key, _set, _size and _at for each first shingle that has another owner."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, n):
-            found = []
-            for s in sets:
-                keys = first_shingles(s, levels.value, percent)
-                at = np.flatnonzero(owned(owners.value, keys)) if len(keys) else keys
-                if len(at):
-                    found.append((keys[at], np.full(len(at), fingerprint(s)), np.full(len(at), len(s), np.int32), at.astype(np.int32)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["_key", "_set", "_size", "_at"])
+def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with their summed counts (at most 2**32 - 1)."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(np.uint64)
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edges], np.minimum(np.add.reduceat(counts, edges) if len(edges) else counts, 0xFFFFFFFF).astype(np.uint32)
+
 
-    return docs.mapInArrow(run, "_key long, _set long, _size int, _at int").distinct()
+# ---- candidates ----
+
+
+def _classes(rows: DataFrame, percent: int, tables) -> DataFrame:
+    """A row for each class with a first shingle that has another owner: _node, _set, _n, sketch,
+    those shingles (_keys) and their positions (_ats)."""
+    end = low_end(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.take(pa.array(first_seen(batch.column("_set").to_numpy(), seen)))
+            s, known = unpacked(batch.column("_low")), tables.value
+            rank = np.where(s.keys < end, known.level(s.keys).astype(np.int64), 255)
+            row, place = s.rows, s.places
+            keys = s.keys[np.argsort(row * 256 + rank, kind="stable")]
+            keep = (place < np.repeat(prefixes(batch.column("_n").to_numpy().astype(np.int64), percent), s.sizes)) & known.owned(keys)
+            many = np.bincount(row[keep], minlength=len(batch))
+            some = np.flatnonzero(many)
+            ends = pa.array(np.concatenate([[0], np.cumsum(many[some])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys[keep], place[keep].astype(np.int32))]
+            rest = batch.select(["_node", "_set", "_n", *BITS]).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*rest.columns, *lists], names=[*rest.schema.names, "_keys", "_ats"])
+
+    sketched = ", ".join(f"{b} long" for b in BITS)
+    parts = rows.where("_n > 0").select("_node", "_set", "_n", *BITS, "_low").mapInArrow(run, f"_node long, _set long, _n int, {sketched}, _keys array<long>, _ats array<int>")
+    return parts.dropDuplicates(["_set"])
+
+
+def _entries(classes: DataFrame, *more: str) -> DataFrame:
+    """_key, _at, _node, _n for each first shingle of each class."""
+    return classes.select("_node", "_n", *more, F.explode(F.arrays_zip("_keys", "_ats")).alias("_e")).select(
+        F.col("_e._keys").alias("_key"), F.col("_e._ats").alias("_at"), "_node", "_n", *more
+    )
 
 
 def _may_link(size: Column, at: Column, other: Column, other_at: Column, percent: int) -> Column:
@@ -210,13 +328,19 @@ def _may_link(size: Column, at: Column, other: Column, other_at: Column, percent
     return (100 + percent) * F.least(size - at, other - other_at).cast("long") >= percent * both
 
 
-def _pairs_by_leader(entries: DataFrame, percent: int) -> DataFrame:
-    """Each set with the leader of each of its lists, once."""
-    leaders = entries.groupBy("_key").agg(F.count("*").alias("_owners"), F.min(F.struct("_at", "_size", "_set")).alias("_first"))
-    leaders = leaders.where("_owners > 1").select("_key", "_first.*").toDF("_key", "_l_at", "_l_size", "_l_set")
-    met = entries.join(leaders, "_key").where(F.col("_set") != F.col("_l_set"))
-    met = met.where(_may_link(F.col("_size"), F.col("_at"), F.col("_l_size"), F.col("_l_at"), percent))
-    return met.select(F.least("_set", "_l_set").alias("_a"), F.greatest("_set", "_l_set").alias("_b")).distinct()
+def _pairs_with_leaders(classes: DataFrame, percent: int) -> DataFrame:
+    """Each class (_a) with the leaders of its lists (_b), once, if their sketches are near."""
+    entries = _entries(classes)
+    leaders = entries.groupBy("_key").agg(F.count("*").alias("_owners"), F.min(F.struct("_at", "_n", "_node")).alias("_first"))
+    leaders = leaders.where("_owners > 1").select("_key", "_first.*").toDF("_key", "_l_at", "_l_n", "_l_node")
+    met = entries.join(leaders, "_key").where(F.col("_node") != F.col("_l_node"))
+    met = met.where(_may_link(F.col("_n"), F.col("_at"), F.col("_l_n"), F.col("_l_at"), percent))
+    # a class has as many leaders as first shingles at most
+    each = met.groupBy(F.col("_node").alias("_a")).agg(F.collect_set("_l_node").alias("_leaders"))
+    a, b = (classes.select(F.col("_node").alias(f"_{x}"), F.col("_n").alias(f"_n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in BITS]) for x in "ab")
+    both = each.join(a, "_a").select("*", F.explode("_leaders").alias("_b")).drop("_leaders").join(b, "_b")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS), F.lit(0))
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("_n_a") + F.col("_n_b"))).select("_a", "_b")
 
 
 def block_pairs(left: tuple, right: tuple, percent: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -256,7 +380,66 @@ def list_pairs(size: np.ndarray, at: np.ndarray, component: np.ndarray, sketches
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _tile_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
+def pairs_in_lists(key: np.ndarray, size: np.ndarray, at: np.ndarray, component: np.ndarray, sketches: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for many lists, one after another. Short ones are compared together: each entry
+    with the one k places on, as long as that is of its list."""
+    edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    lengths = np.diff(edges)
+    for a, b in zip(edges[:-1][lengths > SHORT].tolist(), edges[1:][lengths > SHORT].tolist(), strict=True):
+        piece = tuple(x[a:b] for x in (size, at, component, sketches))
+        for p, q, apart in block_pairs(piece, piece, percent, True):
+            yield p + a, q + a, apart
+    size = size.astype(np.int64)
+    room = size - at
+    stop = np.repeat(edges[1:], lengths)
+    here = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT), lengths))
+    for k in range(1, SHORT):
+        here = here[here + k < stop[here]]
+        if not len(here):
+            break
+        there = here + k
+        fits = (component[here] != component[there]) & ((100 + percent) * np.minimum(room[here], room[there]) >= percent * (size[here] + size[there]))
+        p, q = here[fits], there[fits]
+        apart = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1, dtype=np.int64)
+        near = (100 + percent) * apart <= (100 - percent) * (size[p] + size[q])
+        if near.any():
+            yield p[near], q[near], apart[near]
+
+
+def _out(found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row) for row in np.concatenate(found, 1)], names=["_a", "_b", "_apart"])
+
+
+def _near_in_lists(entries: DataFrame, percent: int) -> DataFrame:
+    """Near pairs of different components in each list, where no list is long. A pair comes from
+    each list that finds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, at, node, size, label = columns[:5]
+            bits = np.stack(columns[5:], 1).view(np.uint64)
+            for p, q, apart in pairs_in_lists(key, size, at, label, bits, percent):
+                yield _out([np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), apart])])
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            begun = int(np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))[-1])
+            yield from pairs([c[:begun] for c in columns])
+            held = [c[begun:] for c in columns]
+        if held is not None:
+            yield from pairs(held)
+
+    ordered = entries.select("_key", "_at", "_node", "_n", "_label", *BITS).repartition("_key").sortWithinPartitions("_key", "_label", "_n")
+    return ordered.mapInArrow(run, "_a long, _b long, _apart long")
+
+
+def _tile_pairs(rows: DataFrame, percent: int, tile: int, scratch: Scratch) -> DataFrame:
     """Lists of many entries as pairs of tiles of at most ``tile`` entries of a list: each row
     once for every pair of its tile, with the pair (_p, _q) and its side of it. Tiles follow the
     components, so that most pairs of tiles within a component fall away here."""
@@ -279,16 +462,17 @@ def _tile_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
                 made, inside = made + (inside + b - a) // tile, (inside + b - a) % tile
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles)], names=[*batch.schema.names, "_tile"])
 
-    ranged = rows.repartitionByRange("_key", "_label", "_size", "_set").sortWithinPartitions("_key", "_label", "_size", "_set")
-    tiled = cut(ranged.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("_tile", T.LongType())])))
+    order = ["_key", "_label", "_n", "_node"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    tiled = scratch.keep(ranged.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("_tile", T.LongType())])))
     about = tiled.groupBy("_key", "_tile").agg(
-        F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.min("_size").alias("_least"), F.max(F.col("_size") - F.col("_at")).alias("_most")
+        F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.min("_n").alias("_least"), F.max(F.col("_n") - F.col("_at")).alias("_most")
     )
     left, right = (about.select("_key", *[F.col(c).alias(f"{c}_{side}") for c in about.columns[1:]]) for side in "pq")
     one = (F.col("_low_p") == F.col("_high_p")) & (F.col("_low_q") == F.col("_high_q")) & (F.col("_low_p") == F.col("_low_q"))
     reach = (100 + percent) * F.least("_most_p", "_most_q").cast("long") >= percent * (F.col("_least_p") + F.col("_least_q")).cast("long")
     pairs = left.join(right, "_key").where((F.col("_tile_p") <= F.col("_tile_q")) & ~one & reach).select(F.col("_tile_p").alias("_p"), F.col("_tile_q").alias("_q"))
-    pairs = cut(pairs)
+    pairs = scratch.keep(pairs)
     sides = pairs.select("_p", "_q", F.col("_p").alias("_tile"), F.lit(0).alias("_side")).union(
         pairs.where("_p <> _q").select("_p", "_q", F.col("_q").alias("_tile"), F.lit(1).alias("_side"))
     )
@@ -301,23 +485,16 @@ def _near_in_parts(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def part(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
-            sets, size, at, label = rows[3:7]
+            nodes, size, at, label = rows[3:7]
             piece = (size, at, label, np.stack(rows[7:], 1).view(np.uint64))
             second = int(np.searchsorted(rows[2], 1))
-            if second == len(sets):
-                for p, q, apart in block_pairs(piece, piece, percent, True):
-                    yield np.stack([np.minimum(sets[p], sets[q]), np.maximum(sets[p], sets[q]), apart])
-            else:
-                for p, q, apart in block_pairs(tuple(c[:second] for c in piece), tuple(c[second:] for c in piece), percent, False):
-                    x, y = sets[p], sets[q + second]
-                    yield np.stack([np.minimum(x, y), np.maximum(x, y), apart])
-
-        def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(row) for row in np.concatenate(found, 1)], names=["_a", "_b", "_apart"])
+            whole = second == len(nodes)
+            left, right = (piece, piece) if whole else (tuple(c[:second] for c in piece), tuple(c[second:] for c in piece))
+            for p, q, apart in block_pairs(left, right, percent, whole):
+                x, y = nodes[p], nodes[q if whole else q + second]
+                yield np.stack([np.minimum(x, y), np.maximum(x, y), apart])
 
         held: list[list[np.ndarray]] = []  # of the part that may go on
-        found: list[np.ndarray] = []
-        size = 0
 
         def parts() -> Iterator[list[np.ndarray]]:
             nonlocal held
@@ -333,134 +510,191 @@ def _near_in_parts(rows: DataFrame, percent: int) -> DataFrame:
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     held.append([c[a:b] for c in columns])
                     if b < len(p):
-                        yield [np.concatenate(c) for c in zip(*held, strict=True)] if len(held) > 1 else held[0]
+                        yield [np.concatenate(c) for c in zip(*held, strict=True)]
                         held = []
             if held:
                 yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
         for rows in parts():
             for some in part(rows):
-                found.append(some)
-                size += some.shape[1]
-                if size > 50_000:
-                    yield out(found)
-                    found, size = [], 0
-        if found:
-            yield out(found)
-
-    order = ["_p", "_q", "_side", "_label", "_size", "_set"]
-    columns = ["_p", "_q", "_side", "_set", "_size", "_at", "_label", *(f"_s{k}" for k in range(SKETCH))]
-    ordered = rows.select(*columns).repartition("_p", "_q").sortWithinPartitions(*order)
+                yield _out([some])
+
+    columns = ["_p", "_q", "_side", "_node", "_n", "_at", "_label", *BITS]
+    ordered = rows.select(*columns).repartition("_p", "_q").sortWithinPartitions("_p", "_q", "_side", "_label", "_n", "_node")
     return ordered.mapInArrow(run, "_a long, _b long, _apart long")
 
 
-def _pairs_across(entries: DataFrame, labels: DataFrame, known: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Pairs of sets of different components that meet in a list, once, with their sketches'
-    distance. A list of up to ``tile`` entries is one part; longer ones are spread over tasks as
-    pairs of tiles, so no task holds more than two tiles of a list."""
-    named = cut(entries.join(labels.withColumnRenamed("_node", "_set"), "_set", "left").withColumn("_label", F.coalesce("_label", "_set")))
-    lists = named.groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.count("*").alias("_owners"))
-    mixed = cut(lists.where("_low <> _high").select("_key", "_owners"))
-    bits = known.select("_set", *[f"_s{k}" for k in range(SKETCH)])
-    parts = named.join(mixed.where(F.col("_owners") <= tile).select("_key"), "_key")
-    parts = parts.select("_set", "_size", "_at", "_label", F.col("_key").alias("_p"), F.lit(0).cast("long").alias("_q"), F.lit(0).alias("_side"))
-    found = _near_in_parts(parts.join(bits, "_set"), percent)
-    long = mixed.where(F.col("_owners") > tile).select("_key")
-    if not long.isEmpty():
-        tiles = _tile_pairs(named.join(long, "_key").select("_key", "_set", "_size", "_at", "_label"), percent, tile)
-        found = found.union(_near_in_parts(tiles.join(bits, "_set"), percent))
+def _pairs_across(classes: DataFrame, percent: int, scratch: Scratch, tile: int = TILE) -> DataFrame:
+    """Pairs of classes of different components (_label) that meet in a list, once, with their
+    sketches' distance. A list of fewer than ``tile`` entries is compared in one task; longer ones
+    are spread over tasks as pairs of tiles, so no task holds more than two tiles of a list."""
+    lists = _entries(classes, "_label").groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.count("*").alias("_owners"))
+    # only lists of several components go on; long ones are told by the level of their length
+    mixed = tables_of(lists.where("_low <> _high").select("_key", "_owners"), lambda b, _: (b.column(0).to_numpy(), b.column(1).to_numpy()), 1)
+    long_from = tile.bit_length() - 1
+    tables = classes.sparkSession.sparkContext.broadcast(mixed)
+
+    def of(long: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("_keys")
+                keys, known = lists.flatten().to_numpy(), tables.value
+                row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+                at = batch.column("_ats").flatten().to_numpy()
+                keep = np.flatnonzero(known.owned(keys) & ((known.level(keys) >= long_from) == long))
+                rest = batch.select(["_node", "_n", "_label", *BITS]).take(pa.array(row[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(at[keep]), *rest.columns], names=["_key", "_at", *rest.schema.names])
+
+        sketched = ", ".join(f"{b} long" for b in BITS)
+        return classes.mapInArrow(run, f"_key long, _at int, _node long, _n int, _label long, {sketched}")
+
+    found = _near_in_lists(of(False), percent)
+    if (mixed.levels >= long_from).any():
+        found = found.union(_near_in_parts(_tile_pairs(of(True), percent, tile, scratch), percent))
     return found.distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that link. known: _set, _n and sketch of each class."""
-    a, b = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in known.columns]) for side in "ab")
-    both = pairs.join(a, F.col("_a") == F.col("_set_a")).join(b, F.col("_b") == F.col("_set_b"))
-    apart = sum((F.bit_count(F.col(f"_s{k}_a").bitwiseXOR(F.col(f"_s{k}_b"))) for k in range(SKETCH)), F.lit(0))
-    near = cut(both.where((100 + percent) * apart <= (100 - percent) * (F.col("_n_a") + F.col("_n_b"))).select("_a", "_b", "_n_a", "_n_b"))
-    asked = near.select(F.explode(F.array("_a", "_b")).alias("_key")).distinct().withColumn("_level", F.lit(1))
-    wanted = docs.sparkSession.sparkContext.broadcast(slot_table(asked, OWNER_BITS, packed=True))
+# ---- answers ----
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (_a, _b) with the exact distance of their sets, and whether they link. Only the
+    texts that are asked for are cut into shingles again."""
+    asked = tables_of(pairs.select("_a", "_b"), lambda b, _: (np.unique(np.concatenate([c.to_numpy() for c in b.columns])), None), 1)
+    wanted = docs.sparkSession.sparkContext.broadcast(asked)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, n):
-            prints = np.array([fingerprint(s) for s in sets], np.int64)
-            take = np.flatnonzero(owned(wanted.value, prints)) if len(prints) else []
-            blobs = [sets[k].tobytes() for k in take]
-            yield pa.RecordBatch.from_arrays([pa.array(prints[take], pa.int64()), pa.array(blobs, pa.binary())], names=["_print", "_blob"])
+        seen: set[int] = set()
+        for batch in batches:
+            nodes = batch.column("_node").to_numpy()
+            take = np.flatnonzero(wanted.value.owned(nodes))
+            take = take[first_seen(nodes[take], seen)]
+            for at, part in pieces(texts_of(batch.column("_text").take(pa.array(take)))):
+                s = shingle_sets(words_of(part), n)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[take[at : at + len(part)]]), packed(s.keys, s.sizes)], names=["_node", "_blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_blob_a"), batch.column("_blob_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                at = np.minimum(np.searchsorted(p, q), len(p) - 1)
-                common = int((p[at] == q).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
-
-    blobs = docs.mapInArrow(sets_of, "_print long, _blob binary").groupBy("_print").agg(F.first("_blob").alias("_blob"))
-    blobs = cut(blobs.join(asked.select(F.col("_key").alias("_print")), "_print", "left_semi"))
-    left = near.join(blobs.withColumnRenamed("_blob", "_blob_a"), F.col("_a") == F.col("_print")).select("_a", "_b", "_blob_a")
-    whole = left.join(blobs.withColumnRenamed("_blob", "_blob_b"), F.col("_b") == F.col("_print")).select("_a", "_b", "_blob_a", "_blob_b")
-    return cut(whole.mapInArrow(compare, "_a long, _b long"))
-
-
-def components(links: DataFrame) -> DataFrame:
+            apart = np.zeros(len(batch), np.int64)
+            both = np.zeros(len(batch), np.int64)
+            left, right = (unpacked(batch.column(c)) for c in ("_blob_a", "_blob_b"))
+            for k in range(len(batch)):
+                p, q = (s.keys[s.first[k] : s.first[k + 1]] for s in (left, right))
+                common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()) if len(p) else 0
+                both[k], apart[k] = common, len(p) + len(q) - 2 * common
+            yield pa.RecordBatch.from_arrays([*batch.select(["_a", "_b"]).columns, pa.array(apart), pa.array(100 * both >= percent * (both + apart))], names=["_a", "_b", "_d", "_linked"])
+
+    blobs = _texts(docs, text_col).mapInArrow(sets_of, "_node long, _blob binary")
+    blobs = scratch.keep(blobs.groupBy("_node").agg(F.first("_blob").alias("_blob")), "sets")
+    a, b = (blobs.select(F.col("_node").alias(f"_{x}"), F.col("_blob").alias(f"_blob_{x}")) for x in "ab")
+    return scratch.keep(pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_blob_a", "_blob_b").mapInArrow(compare, "_a long, _b long, _d long, _linked boolean"))
+
+
+def joined(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (two rows) and the smallest node that each can reach."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        least, was = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == was).all():
+            return nodes, nodes[label]
+
+
+def components(links: DataFrame, scratch: Scratch, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     """_node and _label (the smallest node reachable) for each node of the links _a, _b."""
-    parts = 1 + links.count() // LINKS_A_TASK  # a small graph needs few tasks and files
-    edges = cut(links.select("_a", "_b").union(links.select("_b", "_a")).distinct().toDF("_node", "_to").coalesce(parts))
-    labels = cut(edges.groupBy("_node").agg(F.least(F.col("_node"), F.min("_to")).alias("_label")).coalesce(parts))
+    links, many = links.select("_a", "_b"), links.count()
+    if many <= links_a_task:
+
+        def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+            if held:
+                nodes, label = joined(np.concatenate(held, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], names=["_node", "_label"])
+
+        return scratch.keep(links.coalesce(1).mapInArrow(at_once, "_node long, _label long"), "labels")
+    edges = scratch.keep(links.union(links.select("_b", "_a")).distinct().toDF("_node", "_to"), "links")
+    labels = scratch.keep(edges.groupBy("_node").agg(F.least(F.col("_node"), F.min("_to")).alias("_label")), "labels")
     while True:
         reach = labels.select(F.col("_node").alias("_to"), F.col("_label").alias("_reached"))
         nearest = edges.join(reach, "_to").groupBy("_node").agg(F.min("_reached").alias("_reached"))
         lower = labels.join(nearest, "_node").select("_node", F.col("_label").alias("_old"), F.least("_label", "_reached").alias("_mid"))
         jump = labels.select(F.col("_node").alias("_mid"), F.col("_label").alias("_far"))
-        moved = cut(lower.join(jump, "_mid").select("_node", "_old", F.least("_mid", "_far").alias("_label")).coalesce(parts))
+        moved = scratch.keep(lower.join(jump, "_mid").select("_node", "_old", F.least("_mid", "_far").alias("_label")), "labels")
         labels = moved.select("_node", "_label")
         if moved.where("_label <> _old").isEmpty():
             return labels
 
 
-def _links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """_node and _label of all classes that link with another."""
+def _derived(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """pairs with _known: true or false where a common leader's answers decide the pair, null
+    where they don't. answers: exact distances _d of classes _a and leaders _b."""
+    home = answers.where("_linked").groupBy("_a").agg(F.min_by(F.struct("_b", "_d"), F.struct("_d", "_b")).alias("_home"))
+    each = pairs.select("_a", "_b").join(home.select(F.col("_a"), F.col("_home._b").alias("_leader"), F.col("_home._d").alias("_near")), "_a")
+    other = answers.select(F.col("_a").alias("_b"), F.col("_b").alias("_leader"), F.col("_d").alias("_far"))
+    both = each.join(other, ["_b", "_leader"])
+    n = [sizes.select(F.col("_node").alias(f"_{x}"), F.col("_n").alias(f"_n_{x}")) for x in "ab"]
+    both = both.join(n[0], "_a").join(n[1], "_b")
+    most = (100 - percent) * (F.col("_n_a") + F.col("_n_b"))  # of (100 + percent) times the distance
+    known = F.when((100 + percent) * F.abs(F.col("_far") - F.col("_near")) > most, False).when((100 + percent) * (F.col("_far") + F.col("_near")) <= most, True)
+    return both.select("_a", "_b", known.alias("_known")).where("_known IS NOT NULL")
+
+
+def _links(docs: DataFrame, text_col: str, rows: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The classes that share a first shingle with another, and _node and _label of those that
+    link with another."""
     context = docs.sparkSession.sparkContext
-    counts = _prefix_counts(docs, n, percent)
-    often = counts.where(F.col("_n") >= FREQUENT).select("_key", F.floor(F.log2("_n")).cast("int").alias("_level"))
-    levels = context.broadcast(slot_table(often, LEVEL_BITS, packed=False))
-    shared = _prefix_counts(docs, n, percent, levels).where("_n > 1").select("_key", F.lit(1).alias("_level"))
-    owners = context.broadcast(slot_table(shared, OWNER_BITS, packed=True))
-    entries = cut(_entries(docs, n, percent, levels, owners))
-    first = _pairs_by_leader(entries, percent)
-    first = cut(first)
-    links = _verified(first, docs, known, n, percent)
-    labels = components(links)
-    second = cut(_pairs_across(entries, labels, known, percent).join(first, ["_a", "_b"], "left_anti"))
+
+    def low(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, None]:
+        return unpacked(batch.column(1).take(pa.array(first_seen(batch.column(0).to_numpy(), seen)))).keys, None
+
+    tables = context.broadcast(tables_of(rows.where("_n > 0").select("_set", "_low"), low, 2))
+    classes = scratch.keep(_classes(rows, percent, tables), "classes")
+    first = _verified(scratch.keep(_pairs_with_leaders(classes, percent)), docs, text_col, n, percent, scratch)
+    links = first.where("_linked").select("_a", "_b")
+    labels = components(links, scratch)
+    named = scratch.keep(classes.join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node")), "classes")
+    answered = first.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+    second = scratch.keep(_pairs_across(named, percent, scratch).join(answered, ["_a", "_b"], "left_anti"))
     # the nearest of each set first; what they join need not be looked at again
     near_a = second.groupBy("_a").agg(F.min_by("_b", F.struct("_apart", "_b")).alias("_b"))
     near_b = second.groupBy("_b").agg(F.min_by("_a", F.struct("_apart", "_a")).alias("_a")).select("_a", "_b")
-    nearest = cut(near_a.unionByName(near_b).distinct())
-    links = cut(links.union(_verified(nearest, docs, known, n, percent)))
-    labels = components(links)
+    nearest = scratch.keep(near_a.unionByName(near_b).distinct())
+    if nearest.isEmpty():
+        return classes, labels
+    links = scratch.keep(links.union(_verified(nearest, docs, text_col, n, percent, scratch).where("_linked").select("_a", "_b")))
+    labels = components(links, scratch)
     a, b = (labels.select(F.col("_node").alias(side), F.col("_label").alias(f"_label{side}")) for side in ("_a", "_b"))
     rest = second.join(nearest, ["_a", "_b"], "left_anti").join(a, "_a", "left").join(b, "_b", "left")
-    apart = F.coalesce("_label_a", "_a") != F.coalesce("_label_b", "_b")
-    more = _verified(cut(rest.where(apart).select("_a", "_b")), docs, known, n, percent)
-    return labels if more.isEmpty() else components(links.union(more))
+    rest = scratch.keep(rest.where(F.coalesce("_label_a", "_a") != F.coalesce("_label_b", "_b")).select("_a", "_b"))
+    if rest.isEmpty():
+        return classes, labels
+    known = scratch.keep(_derived(rest, first, classes, percent).union(_derived(rest.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")), first, classes, percent).select("_b", "_a", "_known")))
+    more = known.where("_known").select("_a", "_b")
+    rest = scratch.keep(rest.join(known, ["_a", "_b"], "left_anti"))
+    more = more.union(_verified(rest, docs, text_col, n, percent, scratch).where("_linked").select("_a", "_b"))
+    return classes, labels if more.isEmpty() else components(links.union(more), scratch)
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """_id, _n, _set and _label of every row (_label: null for empty sets)."""
-    rows = cut(_described(docs, id_col, text_col, shingle))
-    known = cut(rows.where("_n > 0").drop("_id").dropDuplicates(["_set"]))
-    texts = docs.select(F.col(text_col).cast("binary").alias("_text"))
-    labels = _links(texts, known, shingle, percent)
-    named = rows.select("_id", "_n", "_set").join(labels, F.col("_set") == F.col("_node"), "left")
-    return named.select("_id", "_n", "_set", F.when(F.col("_n") > 0, F.coalesce("_label", "_set")).alias("_label"))
+    """_id, _node, _n, _set and _label of every row (_label: null for empty sets), written."""
+    scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = scratch.keep(_described(docs, id_col, text_col, shingle, percent), "rows")
+    classes, labels = _links(docs, text_col, rows, shingle, percent, scratch)
+    named = classes.select("_set", "_node").join(labels, "_node").select("_set", "_label")
+    out = rows.select("_id", "_node", "_n", "_set").join(named, "_set", "left")
+    out = result.keep(out.select("_id", "_node", "_n", "_set", F.when(F.col("_n") > 0, F.coalesce("_label", "_set")).alias("_label")), "groups")
+    scratch.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: its id, n_shingles and component_id."""
-    named = cut(_labelled(docs, id_col, text_col, shingle, percent))
+    named = _labelled(docs, id_col, text_col, shingle, percent)
     # only components of several rows are looked up again
     lowest = named.where("_n > 0").groupBy("_label").agg(F.min("_id").alias("_low"), F.count("*").alias("_members")).where("_members > 1")
     return named.join(lowest, "_label", "left").select(
@@ -471,25 +705,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with one row of each component: that of the smallest id (a null one only
     if there is no other). Empty texts link with nothing and all stay."""
-    named = cut(_labelled(docs, id_col, text_col, shingle, percent)).where("_n > 0")
-    row = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_set")
+    named = _labelled(docs, id_col, text_col, shingle, percent).where("_n > 0")
+    row = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_node")
     chosen = named.groupBy("_label").agg(F.min(row).alias("_kept"), F.count("*").alias("_members")).where("_members > 1")
-    groups = cut(named.join(chosen, "_label").select("_id", "_set", (row == F.col("_kept")).alias("_stays")))
-    gone = groups.where("NOT _stays").select(F.col("_id").alias("_gone"), F.col("_set").alias("_gone_set")).distinct()
-    again = groups.where("_stays").groupBy("_id", "_set").count().where("count > 1").select(F.col("_id").alias("_gone"), F.col("_set").alias("_gone_set"))
-    place, extra = docs.columns.index(text_col), "_set"
-    while extra in docs.columns:
-        extra += "_"
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (s for _, part in pieces(texts_of(batch.column(place))) for s in shingle_sets(words_of(part), shingle))
-            prints = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, extra])
-
-    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())]))
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col(extra) == F.col("_gone_set"))
-    kept = rows.join(gone, same, "left_anti")
+    groups = named.join(chosen, "_label").select("_id", "_node", (row == F.col("_kept")).alias("_stays"))
+    # per id and text of a group: whether it goes, and how often it stands there
+    known = groups.groupBy("_id", "_node").agg(F.first("_stays").alias("_stays"), F.count("*").alias("_times")).where("NOT _stays OR _times > 1")
+    known = Scratch(docs.sparkSession).keep(known, "known")
+    # rows as one value, so their columns can't clash
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_node"))
+    kept = rows.join(known.where("NOT _stays"), same, "left_anti")
+    again = known.where("_stays")
     if not again.isEmpty():  # rows that repeat the one that stays
-        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, extra]))
-    return kept.select(*docs.columns)
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["_own", "_hash"]))
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
