@@ -8,12 +8,14 @@ fixed-size-list columns, ``ids`` (uint16 where the vocabulary allows, else uint3
 without a copy. A second stream file lists doc_id, start (within the shard) and n_tokens.
 
 Ranges come from Spark's range partitioning, so no task sees more than its share, and equal ids
-may be split. A shard is written under a name of its own and is listed only once complete, so a
+may be split. A task begins a new shard after ``ROLL`` ids, so files keep their size however much
+a task gets. A shard is written under a name of its own and is listed only once complete, so a
 retried task leaves no half file in use.
 
 Tokenising: texts are cut where this vocabulary's own rule always cuts (between a letter run
 and anything else), each distinct piece is encoded once by the tokenizers library and kept in a
-bounded table. Texts with characters for which these cuts are not certain are encoded whole.
+bounded table. Texts with characters for which these cuts are not certain, or with one of the
+vocabulary's added tokens (such as an end-of-text mark), are encoded whole.
 
 Cases: a null text counts as empty and has only the end id; null doc_ids come last; rows that
 repeat are all written (order among equal ids by hash of the text, then text); an empty table
@@ -39,6 +41,8 @@ from tidemark.llm.common import cut, new_folder
 END = 2
 LENGTH = 2048
 ROWS = 64
+#: Ids after which a task begins a new shard.
+ROLL = 1 << 24
 #: Distinct pieces kept per worker.
 KEPT = 400_000
 
@@ -56,10 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # text never yields control ids
         self.model, self.kept = self.whole.model, kept
         self.dtype = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([END], self.dtype).tobytes()
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.unsure = re.compile("|".join([_UNSURE.pattern, *added]))
         self.memo: dict[str, bytes] = {}
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in shown]
@@ -83,7 +88,7 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if _UNSURE.search(text):
+        if self.unsure.search(text):
             return self._ids(text)
         known, one = self.memo.get, self._piece
         pieces = _PIECE.findall(text)
@@ -198,7 +203,7 @@ class Shard:
         yield from pa.ipc.open_stream(self._open(f"{self.name}.index.arrow"))
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rows: int = ROWS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rows: int = ROWS, roll: int = ROLL) -> DataFrame:
     """Writes the shards; one row for each: name, place (order), n_docs, n_tokens, start (ids of
     all shards before it). This list is kept in the shared folder, so nothing is written again."""
     spark = docs.sparkSession
@@ -208,15 +213,21 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
         from pyspark import TaskContext
 
         encoder = writer = None
+        place = TaskContext.get().partitionId() << 32
+
+        def listed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"name": [writer.close()], "place": [place], "n_docs": [writer.docs], "n_tokens": [writer.tokens]})
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if writer is None:
-                    encoder = Encoder(tokenizer)
-                    writer = ShardWriter(folder, encoder.dtype, length, rows)
+                encoder = encoder or Encoder(tokenizer)
+                writer = writer or ShardWriter(folder, encoder.dtype, length, rows)
                 writer.add(doc_id, encoder.encode(text.as_py() or "") + encoder.end)
+                if writer.tokens >= roll:
+                    yield listed()
+                    writer, place = None, place + 1
         if writer is not None:
-            name, place = writer.close(), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pydict({"name": [name], "place": [place], "n_docs": [writer.docs], "n_tokens": [writer.tokens]})
+            yield listed()
 
     text = F.col(text_col)
     order = [F.col("_id").asc_nulls_last(), "_salt", "_text"]
@@ -224,7 +235,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = ranged.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).select("_id", "_text")
     shards = cut(ranged.mapInArrow(write, "name string, place long, n_docs long, n_tokens long"))
-    # one row a shard, whose number is bounded by the partitions
+    # one row a shard, some tens of megabytes each
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
