@@ -13,9 +13,23 @@ ODD = ["", "a \nb", "a\n\nb  ", "x\n", "  a", "a  b\t\nc", "it's 'sand I'll", "
 
 
 def test_pieces_encode_like_the_whole():
-    encoder = token_files.Encoder(tokenizer_path(), kept=50)
+    encoder, library = token_files.Encoder(tokenizer_path(), kept=50), Tokenizer.from_file(tokenizer_path())
     for text in ODD + [a + b for a in ODD for b in ODD]:
-        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encoder.encode("x <|endoftext|> y"), encoder.dtype)
+
+
+def test_shards_roll_at_a_size(spark, tmp_path):
+    frame = spark.createDataFrame([(k, f"word{k} " * 30 + ("<|endoftext|>" if k % 5 == 0 else "")) for k in range(80)], "doc_id long, text string")
+    folders = [str(tmp_path / name) for name in ("one", "many")]
+    whole = token_files.write_shards(frame, tokenizer_path(), folders[0], length=16, rows=2)
+    rolled = token_files.write_shards(frame, tokenizer_path(), folders[1], length=16, rows=2, roll=200)
+    assert rolled.count() > 2 * whole.count() and rolled.agg({"n_tokens": "max"}).first()[0] < 600
+    assert sorted(map(tuple, token_files.read_documents(rolled, folders[1]).collect())) == sorted(map(tuple, token_files.read_documents(whole, folders[0]).collect()))
+
+
+def test_no_documents(spark):
+    assert token_files.encode_and_read(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -73,5 +87,18 @@ def test_top_k_against_brute_force(spark, scale, monkeypatch):
     assert sorted(map(tuple, topk_search.top_k(frame).collect())) == expected(rows)
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_many_tiles_and_groups(spark, groups):
+    rows = vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3)
+    assert sorted(map(tuple, topk_search.top_k(frame, query_tile=2, shard_tile=7, query_groups=groups).collect())) == expected(rows)
+
+
+def test_components_beyond_a_long(spark):
+    rows = [(0, [1e307, 0.0]), (1, [-1e307, 0.0]), (2, [1e307, 0.0]), (3, [0.5, 0.0])]
+    got = [tuple(r) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == [(0, 1, 2, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 1, -(2**63))]
+
+
 def test_search_of_nothing(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

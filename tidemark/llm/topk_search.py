@@ -5,11 +5,15 @@ tiles of at most ``QUERY_TILE`` and ``SHARD_TILE`` rows; each pair of tiles is o
 product, from which a query keeps its k best by partial selection. The lists of a query are then
 merged as a tree: first within groups of shards, then over the groups.
 
-Query tiles reach the shard tiles by an equi-join on a tile number. Spark broadcasts the query
-side only where its size is under the session's limit, and shuffles tiles otherwise.
+Shard tiles are dealt into groups, query tiles into others, and each pair of groups is one key of
+an equi-join: with g shard groups and h query groups a query tile goes out g times and a shard
+tile h times, and g * h keys spread over the tasks. h grows with the root of the partitions, for
+queries are ``every`` times fewer than vectors. Spark broadcasts the query side only where its
+size is under the session's limit.
 
 Products are exact: they are taken in doubles while no sum can pass 2**53, and otherwise in
-Python integers (a score beyond the range of a long then raises).
+Python integers. A score beyond the range of a long is given as the nearest long (the contract's
+type); components beyond 2**63 / 256 count as that limit, in size and sign.
 
 Cases: vectors that are null or hold null or non-finite components take no part, neither as
 query nor as candidate; vectors of different lengths aren't compared; a query's own row is left
@@ -19,17 +23,19 @@ row; a query with fewer than k candidates returns all; an empty table returns no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
 QUERY_TILE = 1024
 SHARD_TILE = 8192
+LONG = 2**63
 TILE = "dim int, tile string, n int, top double, ids binary, rows binary, parts binary"
 
 
@@ -53,7 +59,7 @@ def _tiler(limit: int):
         for batch in batches:
             ids, rows, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             lengths = vectors.value_lengths().to_numpy()
-            values = np.floor(256 * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+            values = np.floor(256 * np.clip(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), -LONG / 256, LONG / 256))
             at = np.concatenate([[0], np.cumsum(lengths)])
             for dim in np.unique(lengths).tolist():
                 mine = np.flatnonzero(lengths == dim)
@@ -100,24 +106,34 @@ def _products(k: int):
                 for a in range(len(q)):
                     # one more than k, for the query's own row may be among them
                     found = [c for c in _best(scores[a], ids, k + 1) if rows[c] != q_rows[a]][:k]
-                    out += [(int(q_rows[a]), int(q_ids[a]), int(ids[c]), int(rows[c]), int(scores[a][c])) for c in found]
+                    out += [(int(q_rows[a]), int(q_ids[a]), int(ids[c]), int(rows[c]), max(-LONG, min(LONG - 1, int(scores[a][c])))) for c in found]
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([pair["tile"]] * len(out), pa.string())], names=["q_row", "query_id", "vec_id", "row", "score", "tile"])
 
     return multiply
 
 
-def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", query_tile: int = QUERY_TILE, shard_tile: int = SHARD_TILE, query_groups: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k best for each row whose id is divisible by
     ``every``."""
     x = F.col(vector_col)
     # |component| <= the largest double: neither NaN nor infinite
     fine = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c) <= 1.7976931348623157e308, F.lit(False)))
     usable = cut(vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), x.alias("x")))
-    shards = usable.mapInArrow(_tiler(SHARD_TILE), TILE)
-    queries = usable.where(F.col("id") % every == 0).mapInArrow(_tiler(QUERY_TILE), TILE)
-    queries = cut(queries.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("tile", "n", "top", "ids", "rows", "parts")]))
-    pairs = shards.join(queries, "dim")
+    shards = usable.mapInArrow(_tiler(shard_tile), TILE)
+    tiles = cut(usable.where(F.col("id") % every == 0).mapInArrow(_tiler(query_tile), TILE))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = query_groups or max(1, math.isqrt(parts // every))
+    g = max(8, -(-parts // h))
+
+    def group(n: int) -> Column:
+        return F.pmod(F.xxhash64("tile"), F.lit(n)).cast("int")
+
+    def every_group(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    queries = tiles.select("dim", every_group(g).alias("g"), group(h).alias("h"), *[F.col(c).alias(f"q_{c}") for c in ("tile", "n", "top", "ids", "rows", "parts")])
+    pairs = shards.select("*", group(g).alias("g")).select("*", every_group(h).alias("h")).join(queries, ["dim", "g", "h"])
     found = pairs.mapInArrow(_products(k), "q_row long, query_id long, vec_id long, row long, score long, tile string")
     order = [F.desc("score"), F.asc("vec_id"), F.asc("row")]
     group = F.pmod(F.xxhash64("tile"), F.lit(64))
