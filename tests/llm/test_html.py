@@ -1,8 +1,11 @@
 import random
+import time
+
+import pytest
 
 from tidemark.llm import html_text as h
 
-W = dict(h.default_weights())
+W = h.default_weights()
 
 
 def test_best_region_against_all_regions():
@@ -35,3 +38,55 @@ def test_frame(spark):
     got = sorted(map(tuple, h.main_text(frame).collect()), key=str)
     assert got == [(1, "u", "a b", 3), (1, "u", "a b", 3), (2, None, "", 0), (None, "v", "é", 1)]
     assert h.main_text(frame.limit(0)).count() == 0
+
+
+STORY = "<p>" + "The story goes on here with more words and a point. " * 6 + "</p><p>Yes.</p><p>It then ended, said the man.</p>"
+TOLD = " ".join(("The story goes on here with more words and a point. " * 6 + "Yes. It then ended, said the man.").split())
+
+
+@pytest.mark.parametrize("opened, closed", [
+    ('<article class="post share-target">', "</article>"), ('<div id="legal-article">', "</div>"), ('<div class="section header-wrap">', "</div>"), ('<main class="form-guide">', "</main>"),
+    ("<div>Home News Sport Contact</div><div>", "</div><div>All rights reserved</div>"), ('<div class="layout has-sidebar"><div>', '</div><div class="sidebar"><p>Read this other thing, too.</p></div></div>'),
+])
+def test_names_are_evidence_only(opened, closed):
+    assert h.extract(f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{opened}{STORY}{closed}<footer>(c) x</footer></body></html>", W) == TOLD
+
+
+def held_out():
+    out = []
+    for parts in h.labelled_pages(150, 99):  # pages that weights weren't learned from
+        page, flags = h._labels(parts)
+        out.append((page, flags, h.features(page, h.Extractor(W).known)))
+    return out
+
+
+def kept(extractor, pages):
+    return [extractor.keep(page, [(t, n, extractor.likelihood(place)) for t, n, place in places]) for page, _, places in pages]
+
+
+def right(keeps, pages):
+    """Share of words, and of pages, that come out right."""
+    words = [[(n, keep[t] == flags[t]) for t, n, _ in places] for keep, (_, flags, places) in zip(keeps, pages, strict=True)]
+    return sum(n for page in words for n, good in page if good) / sum(n for page in words for n, _ in page), sum(all(good for _, good in page) for page in words) / len(pages)
+
+
+def test_region_and_weights_both_decide(monkeypatch):
+    pages = held_out()
+    learned = kept(h.Extractor(W), pages)
+    assert right(learned, pages)[0] >= 0.98 and right(learned, pages)[1] >= 0.85
+    plain = kept(h.Extractor(h.Weights(dict.fromkeys(W.features, 0.0) | {"page": 1.0}, W.threshold, W.tag)), pages)
+    assert right(plain, pages)[0] < right(learned, pages)[0] - 0.2
+    monkeypatch.setattr(h, "best_region", lambda scores: (0, len(scores)))
+    whole = kept(h.Extractor(W), pages)
+    assert right(whole, pages)[0] < right(learned, pages)[0] and right(whole, pages)[1] < right(learned, pages)[1]
+    assert sum(a != b for a, b in zip(whole, learned, strict=True)) >= len(pages) // 20
+
+
+def test_time_grows_with_the_length():
+    for piece in ("<div>x", "<div>x</b></i></p>", "<p><b>x", '<div class="a b">x', "<a href=x>x", "<li><ul>x", "x &amp; "):
+        began = time.perf_counter()
+        h.extract(piece * 2_000, W)
+        short = time.perf_counter() - began
+        began = time.perf_counter()
+        h.extract(piece * 20_000, W)
+        assert time.perf_counter() - began < 0.5 + 40 * short, piece
