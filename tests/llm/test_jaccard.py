@@ -98,6 +98,22 @@ def test_many_lists_at_once_keep_all_that_can_link():
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def joined_by(pairs, labels):
+    parent = list(range(len(labels)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b, *_ in pairs:
+        parent[find(labels[a])] = find(labels[b])
+    out = {}
+    for k, label in enumerate(labels):
+        out.setdefault(find(label), set()).add(k)
+    return out.values()
+
+
 def test_long_lists_are_spread_in_tiles(spark):
     chance = np.random.default_rng(3)
     labels = [0 if k < 30 else k for k in range(60)]  # one large component, and strays
@@ -105,10 +121,16 @@ def test_long_lists_are_spread_in_tiles(spark):
     keys = [[key for key in (5, 6) if key == 5 or k < 4 or k > 55] for k in range(60)]
     named = spark.createDataFrame([(k, size[k], labels[k], *[0] * j.SKETCH, keys[k], [at[k]] * len(keys[k])) for k in range(60)], "_node long, _n int, _label long, " + ", ".join(f"{b} long" for b in j.BITS) + ", _keys array<long>, _ats array<int>")
     scratch = j.Scratch(spark)
-    got = [tuple(r) for r in j._pairs_across(named, 85, scratch, tile=8).collect()]
+    got = [tuple(r) for r in j._pairs_across(named, 85, scratch, tile=8).drop("_key").distinct().collect()]
     room = [s - a for s, a in zip(size, at, strict=True)]
     want = {(a, b, 0) for a in range(60) for b in range(a + 1, 60) if labels[a] != labels[b] and 185 * min(room[a], room[b]) >= 85 * (size[a] + size[b])}
     assert len(got) == len(set(got)) and set(got) == want
+    for some in (j._pairs_across(named, 85, scratch, tile=8, forest=True), j._pairs_across(named, 85, scratch, tile=256, forest=True)):
+        trees = some.where("_key = 5").select("_a", "_b").collect()
+        assert {tuple(t) for t in trees} <= {w[:2] for w in want}
+        ends = {frozenset(c) for c in joined_by(want, labels)}
+        assert {frozenset(c) for c in joined_by(trees, labels)} == ends
+    assert len(trees) <= 31  # one less than components
     rows = j._entries(named, "_label").where("_key = 5")
     parts = j._tile_pairs(rows, 85, 8, scratch).groupBy("_p", "_q", "_side").count().collect()
     assert max(r["count"] for r in parts) <= 8 and len({(r._p, r._q) for r in parts}) > 10

@@ -18,8 +18,10 @@ its set that can stand in a prefix: the shingles of the lowest share of all hash
    and the exact distances of these pairs are kept. A set that links with a leader takes over its
    component. For pairs of different components the leader's answers are adjusted by the known
    difference: with x near its leader L, the distance of x and y lies between
-   |d(L, y) - d(L, x)| and d(L, y) + d(L, x). What these bounds decide is not compared again; of
-   the rest, each set's nearest pair goes first.
+   |d(L, y) - d(L, x)| and d(L, y) + d(L, x), and what these bounds decide is not compared again.
+   Before that, each list names only the pairs that would join all its near components, nearest
+   first (a forest, at most one pair an entry); a list is looked at in full only if one of these
+   pairs does not link and its ends stay apart.
 4. Candidates are tested on parity sketches (512 bits; their distance never exceeds the sets'
    distance), in the second round before they leave their list, and then verified on whole sets.
    Lists of one component go before they are gathered anywhere, and long ones are spread over
@@ -65,7 +67,7 @@ TILE = 4096
 #: Links that one task joins.
 LINKS_A_TASK = 200_000
 #: Keys that a task counts before it passes them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 # ---- sets of texts ----
@@ -406,13 +408,49 @@ def pairs_in_lists(key: np.ndarray, size: np.ndarray, at: np.ndarray, component:
             yield p[near], q[near], apart[near]
 
 
-def _out(found: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(row) for row in np.concatenate(found, 1)], names=["_a", "_b", "_apart"])
+class Forest:
+    """Pairs of entries that would join all components which their lists' near pairs join."""
 
+    def __init__(self, groups: np.ndarray):
+        """groups: of each entry, the first entry of its list and component."""
+        self.groups, self.parent = groups, {}
 
-def _near_in_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of different components in each list, where no list is long. A pair comes from
-    each list that finds it."""
+    def _find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def of(self, p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Those of the pairs that go into the forest, nearest first."""
+        a, b = self.groups[p], self.groups[q]
+        order = np.argsort(apart, kind="stable")
+        both = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, order]
+        nearest = np.sort(np.unique(both, axis=1, return_index=True)[1])  # one for two components
+        taken: list[int] = []
+        for k, x, y in zip(order[nearest].tolist(), *both[:, nearest].tolist(), strict=True):
+            x, y = self._find(x), self._find(y)
+            if x != y:
+                self.parent[y] = x
+                taken.append(k)
+        return tuple(x[taken] for x in (p, q, apart))
+
+
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Of each entry, the first of the run of equal values it belongs to."""
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _found(key, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.minimum(a, b), np.maximum(a, b), apart)], names=["_key", "_a", "_b", "_apart"])
+
+
+FOUND = "_key long, _a long, _b long, _apart long"
+
+
+def _near_in_lists(entries: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Near pairs of different components in each list, where no list is long: all of them, or a
+    forest. A pair comes from each list that finds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -420,8 +458,12 @@ def _near_in_lists(entries: DataFrame, percent: int) -> DataFrame:
         def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key, at, node, size, label = columns[:5]
             bits = np.stack(columns[5:], 1).view(np.uint64)
+            trees = Forest(_groups(key, label)) if forest and len(key) else None
             for p, q, apart in pairs_in_lists(key, size, at, label, bits, percent):
-                yield _out([np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), apart])])
+                if forest:
+                    p, q, apart = trees.of(p, q, apart)
+                if len(p):
+                    yield _found(key[p], node[p], node[q], apart)
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
@@ -436,7 +478,7 @@ def _near_in_lists(entries: DataFrame, percent: int) -> DataFrame:
             yield from pairs(held)
 
     ordered = entries.select("_key", "_at", "_node", "_n", "_label", *BITS).repartition("_key").sortWithinPartitions("_key", "_label", "_n")
-    return ordered.mapInArrow(run, "_a long, _b long, _apart long")
+    return ordered.mapInArrow(run, FOUND)
 
 
 def _tile_pairs(rows: DataFrame, percent: int, tile: int, scratch: Scratch) -> DataFrame:
@@ -479,20 +521,24 @@ def _tile_pairs(rows: DataFrame, percent: int, tile: int, scratch: Scratch) -> D
     return tiled.join(sides, "_tile").drop("_tile")
 
 
-def _near_in_parts(rows: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of each part (_p, _q) of rows: of its entries, or of those of its two sides.
-    A pair comes from each list that finds it."""
+def _near_in_parts(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Near pairs of each part (_p, _q) of rows: of its entries, or of those of its two sides; all
+    of them, or a forest. A pair comes from each list that finds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def part(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
-            nodes, size, at, label = rows[3:7]
-            piece = (size, at, label, np.stack(rows[7:], 1).view(np.uint64))
+        def part(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nodes, size, at, label, key = rows[3:8]
+            piece = (size, at, label, np.stack(rows[8:], 1).view(np.uint64))
             second = int(np.searchsorted(rows[2], 1))
             whole = second == len(nodes)
             left, right = (piece, piece) if whole else (tuple(c[:second] for c in piece), tuple(c[second:] for c in piece))
+            trees = Forest(np.unique(label, return_inverse=True)[1]) if forest else None
             for p, q, apart in block_pairs(left, right, percent, whole):
-                x, y = nodes[p], nodes[q if whole else q + second]
-                yield np.stack([np.minimum(x, y), np.maximum(x, y), apart])
+                q = q if whole else q + second
+                if forest:
+                    p, q, apart = trees.of(p, q, apart)
+                if len(p):
+                    yield _found(key[p], nodes[p], nodes[q], apart)
 
         held: list[list[np.ndarray]] = []  # of the part that may go on
 
@@ -516,21 +562,24 @@ def _near_in_parts(rows: DataFrame, percent: int) -> DataFrame:
                 yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
         for rows in parts():
-            for some in part(rows):
-                yield _out([some])
+            yield from part(rows)
 
-    columns = ["_p", "_q", "_side", "_node", "_n", "_at", "_label", *BITS]
+    columns = ["_p", "_q", "_side", "_node", "_n", "_at", "_label", "_key", *BITS]
     ordered = rows.select(*columns).repartition("_p", "_q").sortWithinPartitions("_p", "_q", "_side", "_label", "_n", "_node")
-    return ordered.mapInArrow(run, "_a long, _b long, _apart long")
+    return ordered.mapInArrow(run, FOUND)
 
 
-def _pairs_across(classes: DataFrame, percent: int, scratch: Scratch, tile: int = TILE) -> DataFrame:
-    """Pairs of classes of different components (_label) that meet in a list, once, with their
-    sketches' distance. A list of fewer than ``tile`` entries is compared in one task; longer ones
-    are spread over tasks as pairs of tiles, so no task holds more than two tiles of a list."""
+def _pairs_across(classes: DataFrame, percent: int, scratch: Scratch, tile: int = TILE, *, keys: DataFrame | None = None, forest: bool = False) -> DataFrame:
+    """Pairs of classes of different components (_label) that meet in a list (_key), with their
+    sketches' distance: all of them, or a forest of each list. A list of fewer than ``tile``
+    entries is compared in one task; longer ones are spread over tasks as pairs of tiles, so no
+    task holds more than two tiles of a list. keys: the only lists to look at."""
     lists = _entries(classes, "_label").groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.count("*").alias("_owners"))
+    lists = lists.where("_low <> _high")
+    if keys is not None:
+        lists = lists.join(keys, "_key", "left_semi")
     # only lists of several components go on; long ones are told by the level of their length
-    mixed = tables_of(lists.where("_low <> _high").select("_key", "_owners"), lambda b, _: (b.column(0).to_numpy(), b.column(1).to_numpy()), 1)
+    mixed = tables_of(lists.select("_key", "_owners"), lambda b, _: (b.column(0).to_numpy(), b.column(1).to_numpy()), 1)
     long_from = tile.bit_length() - 1
     tables = classes.sparkSession.sparkContext.broadcast(mixed)
 
@@ -548,10 +597,10 @@ def _pairs_across(classes: DataFrame, percent: int, scratch: Scratch, tile: int
         sketched = ", ".join(f"{b} long" for b in BITS)
         return classes.mapInArrow(run, f"_key long, _at int, _node long, _n int, _label long, {sketched}")
 
-    found = _near_in_lists(of(False), percent)
+    found = _near_in_lists(of(False), percent, forest)
     if (mixed.levels >= long_from).any():
-        found = found.union(_near_in_parts(_tile_pairs(of(True), percent, tile, scratch), percent))
-    return found.distinct()
+        found = found.union(_near_in_parts(_tile_pairs(of(True), percent, tile, scratch), percent, forest))
+    return found
 
 
 # ---- answers ----
@@ -657,29 +706,39 @@ def _links(docs: DataFrame, text_col: str, rows: DataFrame, n: int, percent: int
     first = _verified(scratch.keep(_pairs_with_leaders(classes, percent)), docs, text_col, n, percent, scratch)
     links = first.where("_linked").select("_a", "_b")
     labels = components(links, scratch)
-    named = scratch.keep(classes.join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node")), "classes")
-    answered = first.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-    second = scratch.keep(_pairs_across(named, percent, scratch).join(answered, ["_a", "_b"], "left_anti"))
-    # the nearest of each set first; what they join need not be looked at again
-    near_a = second.groupBy("_a").agg(F.min_by("_b", F.struct("_apart", "_b")).alias("_b"))
-    near_b = second.groupBy("_b").agg(F.min_by("_a", F.struct("_apart", "_a")).alias("_a")).select("_a", "_b")
-    nearest = scratch.keep(near_a.unionByName(near_b).distinct())
-    if nearest.isEmpty():
+    answered = first.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "_linked").groupBy("_a", "_b").agg(F.max("_linked").alias("_linked"))
+    # pairs that would join all that a list can join
+    trees = scratch.keep(_pairs_across(_named(classes, labels), percent, scratch, forest=True), "pairs")
+    if trees.isEmpty():
         return classes, labels
-    links = scratch.keep(links.union(_verified(nearest, docs, text_col, n, percent, scratch).where("_linked").select("_a", "_b")))
+    asked = scratch.keep(trees.select("_a", "_b").distinct().join(answered, ["_a", "_b"], "left_anti"))
+    checked = _verified(asked, docs, text_col, n, percent, scratch)
+    links = scratch.keep(links.union(checked.where("_linked").select("_a", "_b")))
     labels = components(links, scratch)
-    a, b = (labels.select(F.col("_node").alias(side), F.col("_label").alias(f"_label{side}")) for side in ("_a", "_b"))
-    rest = second.join(nearest, ["_a", "_b"], "left_anti").join(a, "_a", "left").join(b, "_b", "left")
-    rest = scratch.keep(rest.where(F.coalesce("_label_a", "_a") != F.coalesce("_label_b", "_b")).select("_a", "_b"))
-    if rest.isEmpty():
+    # lists with a pair that did not link, and whose ends are still apart, are looked at in full
+    failed = scratch.keep(_apart(trees, labels).select("_key").distinct())
+    if failed.isEmpty():
         return classes, labels
-    known = scratch.keep(_derived(rest, first, classes, percent).union(_derived(rest.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")), first, classes, percent).select("_b", "_a", "_known")))
-    more = known.where("_known").select("_a", "_b")
+    rest = _pairs_across(_named(classes, labels), percent, scratch, keys=failed).select("_a", "_b").distinct()
+    answered = answered.union(checked.select("_a", "_b", "_linked"))
+    rest = scratch.keep(rest.join(answered, ["_a", "_b"], "left_anti"))
+    back = rest.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))
+    known = scratch.keep(_derived(rest, first, classes, percent).union(_derived(back, first, classes, percent).select("_b", "_a", "_known")))
     rest = scratch.keep(rest.join(known, ["_a", "_b"], "left_anti"))
-    more = more.union(_verified(rest, docs, text_col, n, percent, scratch).where("_linked").select("_a", "_b"))
+    more = known.where("_known").select("_a", "_b").union(_verified(rest, docs, text_col, n, percent, scratch).where("_linked").select("_a", "_b"))
     return classes, labels if more.isEmpty() else components(links.union(more), scratch)
 
 
+def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    return classes.join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    a, b = (labels.select(F.col("_node").alias(side), F.col("_label").alias(f"_label{side}")) for side in ("_a", "_b"))
+    return pairs.join(a, "_a", "left").join(b, "_b", "left").where(F.coalesce("_label_a", "_a") != F.coalesce("_label_b", "_b"))
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """_id, _node, _n, _set and _label of every row (_label: null for empty sets), written."""
     scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
