@@ -63,10 +63,15 @@ class Scratch:
         self.folders = []
 
 
+#: Characters other than these may have a lower case of their own besides A-Z.
+SETTLED = r"\x00-\x7F\p{Ll}\p{Lo}\p{Lm}\p{M}\p{Nd}\p{P}\p{Z}\p{Sc}"
+
+
 def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else. lower() does just that for ASCII texts and is faster."""
+    """A-Z lower-cased and nothing else. lower() does just that for texts of SETTLED characters
+    and is faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+    return F.when(text.rlike(f"[^{SETTLED}]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
 def crc_mod(column: Column, n: int) -> Column:
@@ -74,18 +79,6 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def most_frequent(counts: DataFrame, most: int, column: str) -> DataFrame:
-    """The rows of the highest counts, ``most`` at most: all above a threshold, which is read off
-    a histogram of sixteenths of octaves (a thousand bins at most reach the driver)."""
-    level = F.floor(F.log2(F.col(column)) * 16)
-    taken, low = 0, None
-    for b, n in sorted(map(tuple, counts.groupBy(level).count().collect()), reverse=True):
-        if taken + n > most:
-            break
-        taken, low = taken + n, b
-    return counts.where(F.lit(False) if low is None else level >= low)
-
-
 def hash_share(key: Column, wanted: int, there: int) -> Column:
     """Whether a key falls in the share of hashes that holds about ``wanted`` of ``there`` keys."""
     if there <= wanted:
@@ -93,6 +86,23 @@ def hash_share(key: Column, wanted: int, there: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * wanted / there)
 
 
+def most_frequent(counts: DataFrame, most: int, column: str, key: str) -> DataFrame:
+    """About the ``most`` rows of the highest counts, read off a histogram of sixteenths of octaves
+    (a thousand bins at most reach the driver): all above a bin, and of that bin as large a share
+    of the keys' hashes as still fits."""
+    level = F.floor(F.log2(F.col(column)) * 16)
+    taken, low, there = 0, None, 0
+    for b, n in sorted(map(tuple, counts.groupBy(level).count().collect()), reverse=True):
+        low, there = b, n
+        if taken + n > most:
+            break
+        taken += n
+        there = 0
+    if low is None:
+        return counts.where(F.lit(False))
+    return counts.where((level > low) | ((level == low) & (F.lit(True) if there == 0 else hash_share(F.col(key), most - taken, there))))
+
+
 # ---- words as arrays, inside tasks ----
 
 _IS_BLANK = np.zeros(256, bool)
