@@ -1,8 +1,8 @@
 """Secret scan: candidate strings, sorted into secrets and false positives by a random forest.
 
 Candidates are: the value after a key word and ``=`` or ``:`` (quoted, or up to white space;
-any characters, ``SHORTEST_VALUE`` at least); known forms of issued keys, whatever their letters;
-and other unbroken runs of at least ``SHORTEST`` characters of keys and tokens with a digit or
+any characters, ``SHORTEST_VALUE`` at least); known forms of issued keys, signed tokens, passwords
+in addresses and key blocks, whatever their letters; and other unbroken runs of at least ``SHORTEST`` characters of keys and tokens with a digit or
 mixed case. Where they overlap, the first of these three kinds is taken. Each is described by its length, its transitions between kinds of characters, its
 entropy, how much of it dictionary words cover, whether it stands in a path or address, and by
 the words beside it. The forest is Spark's; it is trained on labelled findings (candidates with
@@ -13,9 +13,10 @@ those instead.
 The dictionary is the corpus's own: the ``WORDS`` most frequent words of letters, counted over
 all texts, a fixed bound.
 
-Cases: a null text has no candidates; rows that repeat give the same findings each; overlapping
-candidates can't occur; places count code points; an empty table gives an empty result; other
-columns are left alone. A finding tells where it stands and how long it is, never its characters.
+Cases: a null text has no candidates; rows that repeat give the same findings each, and rows that
+share an id are told apart by a hash of their text; overlapping candidates can't occur; places
+count code points; an empty table gives an empty result; other columns are left alone, whatever
+their names. A finding tells where it stands and how long it is, never its characters.
 """
 
 from __future__ import annotations
@@ -57,9 +58,12 @@ _VALUE = re.compile(
 _UNBROKEN = re.compile(r"\S*")
 _SCHEME = re.compile(r"(?:bearer|basic|token)\s+(?=\S)", re.I)
 # fixed values: forms in which keys are issued
-_FORM = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])")
+_SIGNED = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}")
+_ADDRESS = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{%d,})@" % SHORTEST_VALUE)
+_BLOCK = re.compile(r"-----BEGIN ([A-Z ]{0,40})-----[A-Za-z0-9+/=\s\\]{16,}-----END \1-----")
 OTHER_WORDS = tuple("sha sha1 sha256 md5 hash commit checksum digest etag uuid guid id version build revision integrity mail href src url file image".split())
-N_FEATURES = 22
+N_FEATURES = 25
 
 
 def _kind(c: str) -> int:
@@ -85,7 +89,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         digits, lower, upper = (any(test(c) for c in s) for test in (str.isdigit, str.islower, str.isupper))
         if digits or (lower and upper and any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False))):
             plain.append(m.span())
-    for more in ([m.span() for m in _FORM.finditer(text)], plain):
+    forms = [m.span(m.lastindex if pattern is _ADDRESS else 0) for pattern in (_BLOCK, _SIGNED, _ISSUED, _ADDRESS) for m in pattern.finditer(text)]
+    for more in (_apart(forms), plain):
         taken = _apart(taken)
         starts = [a for a, _ in taken]
         free = [(a, b) for a, b in more if not (k := bisect.bisect_left(starts, b)) or taken[k - 1][1] <= a]
@@ -129,13 +134,16 @@ def features(text: str, start: int, end: int, words: frozenset[str]) -> list[flo
         float(any(w in KEY_WORDS for w in near[-6:])),
         float(any(w in OTHER_WORDS for w in near[-6:])),
         float(s.count("-") == 4 and len(s) == 36),
+        float(bool(_ISSUED.fullmatch(s) or _SIGNED.fullmatch(s))),
+        float(bool(re.search(r"://[^\s/:@]+:$", before)) and after[:1] == "@"),
+        float(s.startswith("-----BEGIN")) + float("PRIVATE" in s[:48] and s.startswith("-----BEGIN")),
     ]
 
 
 def dictionary(docs: DataFrame, text_col: str, words: int = WORDS) -> frozenset[str]:
     """The most frequent words of letters, with the words that keys are named by."""
     found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]{3,20}"), 0)).alias("word"))
-    top = most_frequent(cut(found.groupBy("word").count()), words, "count")
+    top = most_frequent(cut(found.groupBy("word").count()), words, "count", "word")
     return frozenset(r[0] for r in top.select("word").collect()) | frozenset(KEY_WORDS)
 
 
@@ -156,6 +164,7 @@ def labelled_findings(words: frozenset[str], n: int = EXAMPLES, seed: int = SEED
     name = lambda: str(random.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret", "access_key"]))
     named = lambda: str(random.choice(["password", "passwd", "pwd", "DB_PASSWORD", "secret", "api_key"]))
     sign = lambda: str(random.choice(["=", ": ", " = ", ":", "=\"", " = \"", ": \""]))
+    block = lambda kind: f"-----BEGIN {kind}-----\n" + "\n".join(pick(base64, 64) for _ in range(random.integers(1, 12))) + f"\n-----END {kind}-----"
     secrets = [
         lambda: ("", "AKIA" + pick(string.ascii_uppercase + "234567" + "0189", 16)),
         lambda: (name() + sign(), pick(hexes, 16, 64)),
@@ -172,6 +181,9 @@ def labelled_findings(words: frozenset[str], n: int = EXAMPLES, seed: int = SEED
         lambda: (named() + sign(), pick(string.ascii_lowercase, 14, 40)),
         lambda: (named() + sign(), pick(string.ascii_uppercase, 14, 40)),
         lambda: (str(random.choice(["password", "passwd", "pwd", "passphrase"])) + "=", some(3, 5, "-")),
+        lambda: ("", f"eyJ{pick(alnum, 16, 40)}.eyJ{pick(alnum + '_-', 20, 90)}.{pick(alnum + '_-', 20, 43)}"),
+        lambda: (f"{random.choice(['postgres', 'mysql', 'https', 'amqp', 'mongodb'])}://{some(1, 1)}:", pick(alnum + "!$%*-_", 8, 24)),
+        lambda: ("", block(str(random.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"])))),
     ]
     others = [
         lambda: (str(random.choice(["commit ", "sha256: ", "md5 = ", "checksum ", "etag: ", "sha1 ", "hash "])), pick(hexes, int(random.choice([32, 40, 64])))),
@@ -185,6 +197,8 @@ def labelled_findings(words: frozenset[str], n: int = EXAMPLES, seed: int = SEED
         lambda: (name() + sign(), str(random.choice(["your-password-here1", "changeme12345", "xxxxxxxxxxxxxxxx1", "example_token_123", "placeholder_key1", "000000000000000000"]))),
         lambda: (name() + ": ", str(random.choice([w for w in plain if len(w) >= SHORTEST_VALUE] or ["required"]))),
         lambda: (name() + sign(), str(random.choice(["${PASSWORD}", "<your-password>", "os.environ['KEY']", "getenv(KEY)", "required", "********", "changeme", "undefined", "{{ secret }}", "None,null"]))),
+        lambda: ("", block(str(random.choice(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY"])))),
+        lambda: (f"https://{some(1, 1)}:", str(random.choice(["password", "${PASSWORD}", "<password>", "********", "changeme"]))),
         lambda: ("version ", f"release-{random.integers(1, 9)}-{random.integers(0, 40)}-{some(1, 1)}"),
         lambda: ("", some(1, 1) + pick(string.digits, 2, 3) + "_" + some(1, 2, "_")),
         lambda: ("", some(1, 1) + str(random.choice(["-", "/", "_"])) + some(2, 3, "-") + pick(string.digits, 1)),
@@ -195,7 +209,8 @@ def labelled_findings(words: frozenset[str], n: int = EXAMPLES, seed: int = SEED
         lead, s = random.choice(secrets if label else others)()
         text = f"{some(2, 6)} {lead}{s}"
         start = len(text) - len(s)
-        text += str(random.choice(["", " ", '" ', ". "])) + some(1, 5)
+        text += "@" + some(1, 1) + ".example " if "://" in lead and lead.endswith(":") else str(random.choice(["", " ", '" ', ". "]))
+        text += some(1, 5)
         found = [c for c in candidates(text) if c[1] > start]
         if found:
             out.append((text, *found[0], float(label)))
@@ -214,34 +229,38 @@ def train(spark: SparkSession, findings: list[tuple[str, int, int, float]], word
 def _described(docs: DataFrame, id_col: str, text_col: str, words: frozenset[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, a, b, features(t, a, b, words)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a, b in candidates(t)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_id", "start", "end", "x"])
+            rows = [(i, h, a, b, features(t, a, b, words)) for i, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for a, b in candidates(t)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_id", "text_hash", "start", "end", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, start int, end int, x array<double>")
+    picked = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text"))
+    return picked.mapInArrow(run, f"_id {kind}, text_hash long, start int, end int, x array<double>")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", findings: list[tuple[str, int, int, float]] | None = None) -> DataFrame:
-    """Per candidate: the id of its row, start, length, score and is_secret."""
+    """Per candidate: the id of its row, a hash of its text, start, length, score and is_secret."""
     words = dictionary(docs, text_col)
     model = train(docs.sparkSession, findings or labelled_findings(words), words)
     described = cut(_described(docs, id_col, text_col, words)).withColumn("features", array_to_vector("x"))
     score = F.get(vector_to_array("probability"), F.lit(1))
     return model.transform(described).select(
-        F.col("_id").alias(id_col), "start", (F.col("end") - F.col("start")).alias("length"), score.alias("score"), (score >= 0.5).alias("is_secret")
+        F.col("_id").alias(id_col), "text_hash", "start", (F.col("end") - F.col("start")).alias("length"), score.alias("score"), (score >= 0.5).alias("is_secret")
     )
 
 
 def redact(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with each secret of scan's result replaced by a mark. Needs unique ids."""
-    places = found.where("is_secret").groupBy(F.col(id_col).alias("_of")).agg(F.sort_array(F.collect_list(F.struct("start", "length")), False).alias("_places"))
-    text = F.col(text_col)
+    """docs with each secret of scan's result replaced by a mark."""
+    # rows that repeat have the same places, once
+    places = found.where("is_secret").groupBy(F.col(id_col).alias("_of"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("start", "length")), False).alias("_places"))
+    # the row is one value, so its columns can't clash
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col)).alias("_key"))
+    text = F.col("_doc").getField(text_col)
     # from the last place to the first, so earlier places stay right
     cleaned = F.aggregate("_places", text, lambda t, p: F.concat(F.substring(t, F.lit(1), p["start"]), F.lit(mark), F.substring(t, p["start"] + p["length"] + 1, F.length(t))))
-    joined = docs.join(places, F.col(id_col) == F.col("_of"), "left")
-    return joined.select(*[(F.coalesce(cleaned, text) if c == text_col else F.col(c)).alias(c) for c in docs.columns])
+    joined = rows.join(places, F.col("_own").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_hash")), "left")
+    return joined.select(*[(F.coalesce(cleaned, text) if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def secrets_per_document(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
