@@ -6,13 +6,16 @@ together and made deterministic as words ask for it, so a word costs one look-up
 no term can match. Terms of ``FUZZY`` letters and more may be one edit away; near-misses that
 clean labelled texts use are excepted.
 
-A hit's strength is its term's log-odds, halved for an edit. Hits between quotation marks within
-``NEAR`` words on both sides, or after a word of reporting, count as quotation and are summed
-apart from the rest. A logistic model weighs these sums.
+A hit's strength is its term's log-odds, halved for an edit. Hits between an opening quotation
+mark and the one that closes it, at most ``QUOTED`` words on, and hits right after a word of
+reporting (with one other word between at most, which doesn't address anyone) count as quotation
+and are summed apart from the rest. A logistic model weighs these sums.
 
 Learning looks at about ``SAMPLE`` labelled rows (a share of the ids' hashes), none of the fold
 crc32(doc_id as text) mod 4 = 2. Half of them choose the lexicon, half fit the logistic model.
-Labels, language, source and id never enter a score. Scoring covers every whole text.
+Labels, language, source and id never enter a score. Scoring covers every whole text. What the
+driver gets is bounded by the sample and the lexicon: ``TERMS`` terms at most, the sampled words
+within an edit of one of them, and six numbers for each sampled row.
 
 Cases: a null text counts as empty and is scored too; null labels are left out; a document with
 several labels has the highest; with no usable label every score is 0; an empty table gives an
@@ -21,8 +24,9 @@ empty result; other columns are left alone.
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ LEAST_TEXTS = 4
 LEAST_ODDS = 3.0
 STEMS = range(4, 8)
 FUZZY = 5
-NEAR = 6
+QUOTED = 25
 FOLDS = 4
 HELD_OUT = 2
 #: Distinct words whose match is kept per worker.
@@ -45,8 +49,30 @@ KEPT = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = re.compile("[\"“”„«»‹›]")
+#: Marks that open or close whatever stands beside them; a straight one and ” by what does.
+_OPENS, _CLOSES = frozenset("„«‹"), frozenset("»›")
+# fixed values: words that report speech, and words that address someone
 REPORTING = frozenset("said says quoted quote quotes wrote writes called calls word term dit dijo sagte citation cita zitat".split())
 
+ADDRESSING = frozenset("you your youre u ya du dein deine ihr euch tu te ti tú vous toi votre usted ustedes vosotros".split())
+
+
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of each stretch between an opening quotation mark and the next closing one.
+    A mark that may do either opens before a word and closes after one."""
+    spans, opened = [], None
+    for m in _MARK.finditer(text):
+        at, mark = m.start(), m[0]
+        before = text[at - 1] if at else " "
+        after = text[at + 1] if at + 1 < len(text) else " "
+        opens = mark in _OPENS or (mark not in _CLOSES and not before.isalnum() and not after.isspace() and before not in ".,!?;:")
+        if opens and (opened is None or mark not in _CLOSES):
+            opened = at
+        elif not opens and opened is not None:
+            spans.append((opened, at))
+            opened = None
+    return spans
+
 
 class Matcher:
     """Words to the strongest term within reach. terms: term or ``stem*`` to log-odds."""
@@ -130,6 +156,24 @@ class Matcher:
         return hit
 
 
+def citation(lowered: str, words: list[str]) -> Callable[[int], bool]:
+    """Whether word k of a text stands in quotation."""
+    spans: list[tuple[int, int]] = []
+    if _MARK.search(lowered):
+        at = [m.start() for m in _WORD.finditer(lowered)]
+        # stretches between marks, as words; one that goes on for long doesn't quote a word
+        spans = [(a, b) for a, b in (np.searchsorted(at, span).tolist() for span in quoted_spans(lowered)) if b - a <= QUOTED]
+    ends = [b for _, b in spans]
+
+    def cited(k: int) -> bool:
+        s = bisect.bisect_right(ends, k)
+        if s < len(spans) and spans[s][0] <= k:
+            return True
+        return k > 0 and (words[k - 1] in REPORTING or (k > 1 and words[k - 2] in REPORTING and words[k - 1] not in ADDRESSING))
+
+    return cited
+
+
 N_EVIDENCE = 6
 
 
@@ -141,15 +185,11 @@ def evidence(matcher: Matcher, text: str) -> list[float]:
     hits = [(k, h) for k, w in enumerate(words) if (h := known[w] if w in known else match(w))]
     if not hits:
         return [0.0] * N_EVIDENCE
-    marks = None
+    cited = citation(lowered, words)
     abuse = quoted = strongest = edited = 0.0
     for k, (odds, edits) in hits:
         strength = odds * 0.5**edits
-        if marks is None:
-            at = [m.start() for m in _WORD.finditer(lowered)]
-            marks = [int(np.searchsorted(at, m.start())) for m in _MARK.finditer(lowered)]
-        inside = any(k - NEAR <= m <= k for m in marks) and any(k < m <= k + NEAR for m in marks)
-        if inside or any(w in REPORTING for w in words[max(0, k - 2) : k]):
+        if cited(k):
             quoted += strength
         else:
             abuse += strength
@@ -169,7 +209,7 @@ def _learning(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """term, toxic and clean: texts that have the word or word beginning."""
+    """term, toxic and clean: texts that have the word or word beginning outside of quotation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -181,7 +221,10 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(_WORD.findall(text.lower()))
+                lowered = text.lower()
+                said = _WORD.findall(lowered)
+                cited = citation(lowered, said)
+                words = {w for k, w in enumerate(said) if not cited(k)}
                 terms = words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
                 for term in terms:
                     counts.setdefault(term, [0, 0])[0 if y else 1] += 1
@@ -194,13 +237,14 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def choose_terms(found: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms with strong odds. A longer term goes where a stem of it says as much."""
+    """Terms with strong odds. A longer stem or a short word goes where a stem of it says as much."""
     odds = {t: float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))) for t, a, b in found}
     clean, chosen = {t: b for t, _, b in found}, {}
     for t, _, _ in sorted(found, key=lambda x: (len(x[0].rstrip("*")), x[0])):
         stem = t.rstrip("*")
         shorter = [f"{stem[:n]}*" for n in STEMS if n < len(stem) + (not t.endswith("*"))]
-        if not any(s in chosen and s != t and clean[s] <= clean[t] for s in shorter):
+        whole = not t.endswith("*") and len(t) >= FUZZY  # stays, for a stem doesn't reach its misspellings
+        if whole or not any(s in chosen and s != t and clean[s] <= clean[t] for s in shorter):
             chosen[t] = odds[t]
     return chosen
 
