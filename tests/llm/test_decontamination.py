@@ -63,3 +63,22 @@ def test_nothing(spark):
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string, _key string"), spark.createDataFrame(items, "item_id long, text string")
     assert d.contamination(frame.limit(0), bench).count() == 0
     assert d.contamination(frame, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_lower_case_of_every_character(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import ascii_lower
+
+    chars = [(c, chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    frame = spark.createDataFrame(chars, "c int, s string").withColumn("pair", F.concat(F.lit("Zx"), "s", F.lit("Q")))
+    got = frame.select("c", "s", ascii_lower(F.col("s")).alias("one"), ascii_lower(F.col("pair")).alias("two"))
+    assert got.where(~((F.col("one") == F.when(F.col("c").between(65, 90), F.char(F.col("c") + 32)).otherwise(F.col("s"))) & (F.col("two") == F.concat(F.lit("zx"), "one", F.lit("q"))))).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "", " ", "A", " a", "a ", "--A1--b2--", "Éa b", "x" * 10000, "\x00a\x7fb", "a b", "日本 語"])
+def test_words_of_a_text(spark, text):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(text,)], "t string").select(d.tokens(F.col("t"))).first()
+    assert row[0] == words(text)
