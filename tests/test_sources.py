@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 
 from tidemark import catalog
-from tidemark.sources import feeds, jsonstat, registry, rest, snapshots
+from tidemark.sources import feeds, jsonstat, probes, registry, rest, snapshots
 
 
 def cube(ids, size, cats, value, labels=None):
@@ -95,6 +95,50 @@ def test_rest_source_pushes_the_dataset(spark, tmp_path):
     assert rest.selection([("SEX", ["T"])])["query"][0]["selection"] == {"filter": "item", "values": ["T"]}
 
 
+def answer(dataset, chosen):
+    return json.dumps({"of": dataset, "chosen": chosen})
+
+
+def test_rest_source_pushes_members(spark):
+    rest.register(spark)
+    rows = spark.read.format("statistics").options(datasets="a,b", fetch="tests.test_sources:answer", where='{"ContentsCode": ["X1"]}').load()
+    got = rows.where("dataset = 'a' AND dimension = 'geo' AND member IN ('LV', 'EE')").collect()
+    assert sorted(r.member for r in got) == ["EE", "LV"]
+    assert {r.value for r in got} == {json.dumps({"of": "a", "chosen": [["ContentsCode", ["X1"]], ["geo", ["LV", "EE"]]]})}
+
+
+def test_rest_source_asks_by_post_and_get(monkeypatch):
+    sent = []
+    monkeypatch.setattr(rest, "http_post", lambda url, body, *a: sent.append((url, body)) or "{}")
+    monkeypatch.setattr(rest, "http_get", lambda url, *a: sent.append((url, None)) or "{}")
+    for method in ("post", "get"):
+        reader = rest.StatisticsReader({"datasets": "t", "url": "http://x/", "method": method, "where": '{"SEX": ["T", "F"]}', "since": "2015"})
+        assert [list(reader.read(p)) for p in reader.partitions()] == [[("t", "", "", "{}")]]
+    assert sent[0] == ("http://x/t", rest.selection([("SEX", ["T", "F"])]))
+    assert sent[1][0] == "http://x/t?format=JSON&SEX=T&SEX=F&sinceTimePeriod=2015"
+
+
+def fetched(kind, url):
+    if url == "down":
+        raise OSError("no route")
+    return {"x": "<Envelope><Cube/></Envelope>", "j": '{"a": 1}', "bad": "<html>"}[url]
+
+
+def test_probes(spark):
+    named = [("rates", "xml", True), ("table", "pxweb", True), ("weather", "json", False), ("broken", "json", True), ("gone", "json", True)]
+    asked = probes.probes(spark, {"rates": "x", "table": "j", "weather": "j", "broken": "bad", "gone": "down", "other": "x"}, named)
+    got = {r.name: (r.status, r.required, r.error) for r in probes.judged(probes.answers(asked, "tests.test_sources:fetched")).collect()}
+    assert got == {"rates": ("healthy", True, None), "table": ("healthy", True, None), "weather": ("healthy", False, None), "broken": ("unhealthy", True, "not JSON"), "gone": ("unhealthy", True, "no route")}
+    assert probes.answers(asked, "tests.test_sources:fetched").where("latency_ms >= 0").count() == 5
+
+
+def test_json_sink(spark, tmp_path):
+    path = str(tmp_path / "out")
+    snapshots.write_json(spark.range(2), path, "economy-lv")
+    sent = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert sorted(s["rows"]["id"] for s in sent) == [0, 1] and {s["cacheControl"] for s in sent} == {"public, max-age=1800"} and all(s["fetchedAt"].endswith("Z") for s in sent)
+
+
 def test_catalogue(spark):
     assert (catalog.national(spark).count(), catalog.compared(spark).count(), catalog.cargo(spark).count()) == (24, 31, 47)
     assert catalog.lookup(spark, "gdp").selections["INDICATOR"] == "B1GQ"

@@ -197,6 +197,29 @@ CITIES = [
 POPULATION = {"lv": 605802, "ee": 456000, "lt": 590000}
 COUNTRIES = {"lv": "LV", "ee": "EE", "lt": "LT"}
 
+# fixed values: what an unknown country stands for, and time zones
+DEFAULT_COUNTRY = "lv"
+ZONES = {"lv": "Europe/Riga", "ee": "Europe/Tallinn", "lt": "Europe/Vilnius"}
+
+# fixed values: label and emoji of an insight's level
+BADGES = [("routine", "Routine", "🟢"), ("notable", "Notable", "🟡"), ("significant", "Significant", "🔴")]
+
+# fixed values: icons of weather descriptions; any other
+ICONS = [
+    ("Clear sky", "☀️"), ("Partly cloudy", "⛅"), ("Overcast", "☁️"), ("Foggy", "🌫️"), ("Drizzle", "🌦️"), ("Rain", "🌧️"), ("Snow", "❄️"),
+    ("Rain showers", "🌧️"), ("Snow showers", "🌨️"), ("Thunderstorm", "⛈️"),
+]
+OTHER_ICON = "🌡️"
+
+# fixed values: colours of air quality; any other status is shown as the first
+AIR_COLOURS = [("good", "emerald"), ("moderate", "yellow"), ("unhealthy", "red")]
+
+# fixed values: sources whose health is probed (name, kind, required)
+PROBES = [
+    ("ECB Exchange Rates", "xml", True), ("NordPool Electricity", "json", True), ("data.gov.lv CKAN", "json", True), ("CSP PxWeb", "pxweb", True),
+    ("Open-Meteo Weather", "json", True), ("Open-Meteo Air Quality", "json", True), ("Riga Open Data", "json", False),
+]
+
 
 class UnknownIndicatorError(KeyError):
     """No such indicator."""
@@ -252,6 +275,24 @@ def cities(spark: SparkSession) -> DataFrame:
     return _frame(spark, CITIES, "country string, city string, lat double, lon double")
 
 
+def capitals(spark: SparkSession) -> DataFrame:
+    """The first city of each country, with its time zone."""
+    first = {country: (country, city, lat, lon, ZONES[country]) for country, city, lat, lon in reversed(CITIES)}
+    return _frame(spark, first.values(), "country string, city string, lat double, lon double, zone string")
+
+
+def badges(spark: SparkSession) -> DataFrame:
+    return _frame(spark, BADGES, "level string, label string, emoji string")
+
+
+def icons(spark: SparkSession) -> DataFrame:
+    return _frame(spark, ICONS, "description string, icon string")
+
+
+def air_colours(spark: SparkSession) -> DataFrame:
+    return _frame(spark, AIR_COLOURS, "status string, colour string")
+
+
 def lookup(spark: SparkSession, indicator: str, which: str = "national"):
     """The catalogue row of an indicator."""
     found = {"national": national, "compared": compared}[which](spark).where(f"id = '{indicator}'").first() if indicator.isidentifier() else None

@@ -8,41 +8,54 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import fixed_text, grouped
 
 
+#: Decimals that stand for a whole number with commas.
+WHOLE = -1
+
+
+def _by_rule(v: Column, rules: list[tuple[Column, str, float, int, str]]) -> Column:
+    """The text of the first rule that fits: (test, before, divisor, decimals, after). Values are
+    divided and their decimals chosen first, so one function writes all numbers."""
+    before = divisor = digits = after = None
+    for test, *parts in reversed(rules):
+        fits = F.coalesce(test, F.lit(False))
+        chosen = [F.lit(x) for x in parts]
+        if before is None:
+            before, divisor, digits, after = chosen
+        else:
+            before, divisor, digits, after = (F.when(fits, x).otherwise(y) for x, y in zip(chosen, (before, divisor, digits, after), strict=True))
+    number = F.when(digits == WHOLE, grouped(v)).otherwise(fixed_text(F.when(digits != WHOLE, v / divisor), F.greatest(digits, F.lit(0))))
+    return F.concat(before, number, after)
+
+
 def format_value(v: Column, unit: Column) -> Column:
     """A value by its unit; null gives 'N/A'. The first rule that fits the unit holds."""
-    size, euro = F.abs(v), F.lit("€")
-    shown = {
-        "tenth": fixed_text(v, 1),
-        "whole": grouped(v),
-    }
-    fits = [
-        (unit == "EUR/month", F.concat(euro, shown["whole"])),
-        (unit == "EUR/hour", F.concat(euro, shown["tenth"], F.lit("/h"))),
-        ((unit == "persons") & (size >= 1e6), F.concat(fixed_text(v / 1e6, 2), F.lit("M"))),
-        (unit == "persons", shown["whole"]),
-        ((unit == "M EUR") & (size >= 1e9), F.concat(euro, fixed_text(v / 1e9, 1), F.lit("B"))),
-        ((unit == "M EUR") & (size >= 1e6), F.concat(euro, fixed_text(v / 1e6, 0), F.lit("M"))),
-        (unit == "M EUR", F.concat(euro, shown["whole"])),
-        (unit == "MIO_EUR", F.concat(euro, shown["whole"], F.lit("M"))),
-        (unit.isin("thousands", "per 1000"), shown["whole"]),
-        (unit.startswith("index"), shown["tenth"]),
-        (unit == "EUR", F.concat(euro, shown["whole"])),
-        (unit == "EUR/kWh", F.concat(euro, fixed_text(v, 4))),
-        (unit == "GWh", F.concat(shown["whole"], F.lit(" GWh"))),
-        (unit.isin("years", "balance"), shown["tenth"]),
-        (unit.startswith("%"), F.concat(shown["tenth"], F.lit("%"))),
-        (size >= 1e6, F.concat(fixed_text(v / 1e6, 1), F.lit("M"))),
-        (size >= 1000, shown["whole"]),
+    size, euro = F.abs(v), "€"
+    rules = [
+        (unit == "EUR/month", euro, 1.0, WHOLE, ""),
+        (unit == "EUR/hour", euro, 1.0, 1, "/h"),
+        ((unit == "persons") & (size >= 1e6), "", 1e6, 2, "M"),
+        (unit == "persons", "", 1.0, WHOLE, ""),
+        ((unit == "M EUR") & (size >= 1e9), euro, 1e9, 1, "B"),
+        ((unit == "M EUR") & (size >= 1e6), euro, 1e6, 0, "M"),
+        (unit == "M EUR", euro, 1.0, WHOLE, ""),
+        (unit == "MIO_EUR", euro, 1.0, WHOLE, "M"),
+        (unit.isin("thousands", "per 1000"), "", 1.0, WHOLE, ""),
+        (unit.startswith("index"), "", 1.0, 1, ""),
+        (unit == "EUR", euro, 1.0, WHOLE, ""),
+        (unit == "EUR/kWh", euro, 1.0, 4, ""),
+        (unit == "GWh", "", 1.0, WHOLE, " GWh"),
+        (unit.isin("years", "balance"), "", 1.0, 1, ""),
+        (unit.startswith("%"), "", 1.0, 1, "%"),
+        (size >= 1e6, "", 1e6, 1, "M"),
+        (size >= 1000, "", 1.0, WHOLE, ""),
+        (F.lit(True), "", 1.0, 1, ""),
     ]
-    out = F.when(v.isNull(), "N/A")
-    for test, text in fits:
-        out = out.when(F.coalesce(test, F.lit(False)), text)
-    return out.otherwise(shown["tenth"])
+    return F.when(v.isNull(), "N/A").otherwise(_by_rule(v, rules))
 
 
 def format_tonnes(v: Column) -> Column:
     """1.2M, 3K or a whole number."""
-    return F.when(v >= 1e6, F.concat(fixed_text(v / 1e6, 1), F.lit("M"))).when(v >= 1e3, F.concat(fixed_text(v / 1e3, 0), F.lit("K"))).otherwise(fixed_text(v, 0))
+    return _by_rule(v, [(v >= 1e6, "", 1e6, 1, "M"), (v >= 1e3, "", 1e3, 0, "K"), (F.lit(True), "", 1.0, 0, "")])
 
 
 def shorten(text: Column, most: int) -> Column:

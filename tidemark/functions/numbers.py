@@ -35,15 +35,15 @@ def to_fixed(x: Column, digits: int) -> Column:
     return rounded(x.cast("double"))
 
 
-def fixed_text(x: Column, digits: int) -> Column:
+def fixed_text(x: Column, digits: int | Column) -> Column:
     """to_fixed as text, always with that many decimals and without grouping."""
-    unit = Decimal(1).scaleb(-digits)
+    units = [Decimal(1).scaleb(-d) for d in range(10)]
 
     @F.pandas_udf("string")
-    def shown(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None or v != v else f"{Decimal(v).quantize(unit, ROUND_HALF_UP):f}")
+    def shown(values: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else f"{Decimal(v).quantize(units[d], ROUND_HALF_UP):f}" for v, d in zip(values, places, strict=True)], dtype=object)
 
-    return shown(x.cast("double"))
+    return shown(x.cast("double"), digits if isinstance(digits, Column) else F.lit(digits))
 
 
 def grouped(x: Column) -> Column:

@@ -24,9 +24,13 @@ def ship_parts(ship: Column) -> Column:
     )
 
 
+# fixed values: letters besides A-Z that a search keeps
+LETTERS = "āčēģīķļņōŗšūžĀČĒĢĪĶĻŅŌŖŠŪŽ"
+
+
 def clean_query(text: Column, more: str = "") -> Column:
-    """Letters, digits, blanks and hyphens (and more), trimmed."""
-    return F.trim(F.regexp_replace(text, rf"(?U)[^\p{{L}}\p{{N}}\s\-{more}]", ""))
+    """Word characters, blanks, hyphens and the letters above (and more), trimmed."""
+    return F.regexp_replace(F.regexp_replace(text, rf"[^\w\s{LETTERS}\-{more}]", ""), r"^\s+|\s+$", "")
 
 
 def client_ip(forwarded: Column, client: Column) -> Column:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions import classify, formats, numbers, periods, text
 from tidemark.operators import groups, limiter, lookups, scan, series, unions
 from tidemark.plans import insights
-from tidemark.sources import registry
+from tidemark.sources import jsonstat, probes, registry, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,11 +46,9 @@ def _series(spark: SparkSession, folder: str, quarterly: bool = False) -> DataFr
     day = F.col("o_orderdate")
     period = F.concat(F.year(day), F.lit("-Q"), F.quarter(day)) if quarterly else F.date_format(day, "yyyy-MM")
     orders = _t(spark, folder, "orders").select("o_custkey", period.alias("period"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    # orders of a customer in a period are summed before they meet their region
-    owned = orders.groupBy("o_custkey", "period").agg(F.sum("price").alias("price"))
-    places = _t(spark, folder, "customer").join(_t(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    joined = owned.join(places.select("c_custkey", F.col("r_name").alias("geo")), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("geo", "period").agg(F.sum("price").cast("double").alias("value"))
+    places = _t(spark, folder, "nation").join(_t(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("geo"))
+    owned = _t(spark, folder, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "geo")
+    return orders.join(owned, F.col("o_custkey") == F.col("c_custkey")).groupBy("geo", "period").agg(F.sum("price").cast("double").alias("value"))
 
 
 def _prices(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,8 +122,10 @@ def q_last_years(spark, folder):
 @query("WITH {m} SELECT geo, period, value FROM series_m WHERE period >= (SELECT (substr(max(period), 1, 4)::INT - 3)::VARCHAR || '-01' FROM series_m)")
 def q_since_years(spark, folder):
     rows = _series(spark, folder).withColumn("period_start", periods.period_start(F.col("period")))
-    last = rows.agg(F.year(F.max("period_start"))).first()[0]
-    return (series.since_years(rows, 3, last) if last else rows).select("geo", "period", "value")
+    # the last year is one row of the same plan
+    last = rows.agg(F.year(F.max("period_start")).alias("_last"))
+    kept = rows.crossJoin(F.broadcast(last)).where(F.col("_last").isNull() | (F.col("period_start") >= F.make_date(F.col("_last") - 3, F.lit(1), F.lit(1))))
+    return kept.select("geo", "period", "value")
 
 
 _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -339,18 +340,30 @@ def q_ticker_union(spark, folder):
     return insights.ticker(price, rates, known, registry.total(_t(spark, folder, "customer")))
 
 
-@query("""WITH exact AS (SELECT p_partkey, p_name FROM part WHERE p_partkey = 7)
-SELECT * FROM exact UNION ALL SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '7') AND NOT EXISTS (SELECT 1 FROM exact)""")
+_SEARCH = """WITH parts AS (SELECT p_partkey::VARCHAR AS number, p_name FROM part), exact AS (SELECT * FROM parts WHERE number = '{0}' AND regexp_full_match('{0}', '[0-9]+'))
+SELECT * FROM exact UNION ALL SELECT * FROM parts WHERE contains(lower(number || ' ' || p_name), lower('{0}')) AND NOT EXISTS (SELECT 1 FROM exact)"""
+
+
+def _search(spark, folder, text: str) -> DataFrame:
+    """Digits ask for the number first; other texts, and numbers that there aren't, for any text."""
+    parts = _t(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("number"), "p_name")
+    parts = parts.withColumn("all", F.concat_ws(" ", "number", "p_name"))
+    return registry.search(parts, "number", ["all"], text).drop("all")
+
+
+@query(_SEARCH.format("7"))
 def q_search_exact_then_text(spark, folder):
-    parts = _t(spark, folder, "part").select("p_partkey", "p_name")
-    return unions.first_with_rows(registry.exact(parts, "p_partkey", 7), registry.containing(parts, ["p_name"], "7"))
+    return _search(spark, folder, "7")
 
 
-@query("""WITH exact AS (SELECT p_partkey, p_name FROM part WHERE p_partkey = -7)
-SELECT * FROM exact UNION ALL SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '7') AND NOT EXISTS (SELECT 1 FROM exact)""")
+@query(_SEARCH.format("077"))
 def q_search_falls_back_to_text(spark, folder):
-    parts = _t(spark, folder, "part").select("p_partkey", "p_name")
-    return unions.first_with_rows(registry.exact(parts, "p_partkey", -7), registry.containing(parts, ["p_name"], "7"))
+    return _search(spark, folder, "077")
+
+
+@query(_SEARCH.format("RED wid"))
+def q_search_text_only(spark, folder):
+    return _search(spark, folder, "RED wid")
 
 
 @query("SELECT max(n_name) FILTER (n_regionkey <> 2) AS id FROM nation WHERE n_nationkey = (SELECT max(n_nationkey) FROM nation WHERE n_regionkey <> 2)")
@@ -397,11 +410,17 @@ def q_current_hour_price(spark, folder):
 
 
 @query("""WITH d AS (SELECT ts, value AS price FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'),
-p AS (SELECT coalesce(arg_min(price, ts) FILTER (hour(ts) = 9), sum(price::DECIMAL(28,2))::DOUBLE / count(price)) AS current, max(price) AS max FROM d HAVING count(*) > 0)
-SELECT 1 AS rank, 'electricity' AS rule, CASE WHEN current < 0 OR max > 100 THEN 'significant' ELSE 'routine' END AS level, 'economy' AS category FROM p
-UNION ALL SELECT 2, 'exchange', CASE WHEN 1 + n_nationkey / 64 > 1.15 OR 1 + n_nationkey / 64 < 1.03 THEN 'notable' ELSE 'routine' END, 'economy' FROM nation WHERE n_nationkey = 15
-UNION ALL SELECT 3, 'air', CASE WHEN n_nationkey * 3 > 100 THEN 'significant' WHEN n_nationkey * 3 > 50 THEN 'notable' ELSE 'routine' END, 'environment' FROM nation WHERE n_nationkey = 20
-UNION ALL SELECT 4, 'weather', CASE WHEN n_nationkey - 25 < -10 OR n_nationkey - 25 > 35 OR n_nationkey > 80 THEN 'significant' ELSE 'routine' END, 'environment' FROM nation WHERE n_nationkey = 10""")
+p AS (SELECT coalesce(arg_min(price, ts) FILTER (hour(ts) = 9), sum(price::DECIMAL(28,2))::DOUBLE / count(price)) AS current, sum(price::DECIMAL(28,2))::DOUBLE / count(price) AS avg, min(price) AS min, max(price) AS max FROM d HAVING count(*) > 0)
+SELECT 1 AS rank, 'electricity' AS rule, CASE WHEN current < 0 THEN 'Negative electricity price: €' || printf('%.2f', current) || '/MWh' WHEN max > 100 THEN 'Electricity price spike: peak €' || printf('%.0f', max) || '/MWh' ELSE 'Electricity: €' || printf('%.2f', current) || '/MWh (avg €' || printf('%.0f', avg) || ')' END AS headline,
+ CASE WHEN current < 0 THEN 'Wind/solar overproduction drives prices below zero. Industrial consumers benefit from flexible scheduling. Range: €' || printf('%.0f', min) || ' to €' || printf('%.0f', max) || '.' WHEN max > 100 THEN 'Today''s peak is significantly above normal. Average €' || printf('%.0f', avg) || '/MWh. Consider shifting energy-intensive tasks to off-peak hours.'
+ ELSE 'Day-ahead prices range €' || printf('%.0f', min) || '–€' || printf('%.0f', max) || '/MWh. ' || CASE WHEN avg < 30 THEN 'Below seasonal average — favorable for operations.' ELSE 'Within normal Baltic market range.' END END AS description,
+ CASE WHEN current < 0 OR max > 100 THEN 'significant' ELSE 'routine' END AS level, 'economy' AS category FROM p
+UNION ALL SELECT 2, 'exchange', 'EUR/USD: ' || printf('%.4f', r), CASE WHEN r > 1.12 THEN 'Euro strengthening against the dollar — favorable for Baltic importers.' WHEN r < 1.05 THEN 'Euro weakening — Baltic exporters benefit from cheaper euro-denominated goods.' ELSE 'Exchange rate within normal range. ECB rates updated daily at 16:00 CET.' END,
+ CASE WHEN r > 1.15 OR r < 1.03 THEN 'notable' ELSE 'routine' END, 'economy' FROM (SELECT 1 + n_nationkey / 64 AS r FROM nation WHERE n_nationkey = 15)
+UNION ALL SELECT 3, 'air', n_name || ' air quality: ' || CASE WHEN a > 100 THEN 'Unhealthy' WHEN a > 50 THEN 'Moderate' ELSE 'Good' END, 'PM2.5: 4.0 µg/m³. ' || CASE WHEN a > 100 THEN 'Consider limiting outdoor activities. Monitor WHO advisories.' WHEN a > 50 THEN 'Sensitive groups should limit prolonged outdoor exposure.' ELSE 'Well below WHO guidelines. Outdoor activities recommended.' END,
+ CASE WHEN a > 100 THEN 'significant' WHEN a > 50 THEN 'notable' ELSE 'routine' END, 'environment' FROM (SELECT n_name, n_nationkey * 3 AS a FROM nation WHERE n_nationkey = 20)
+UNION ALL SELECT 4, 'weather', n_name || ': ' || t::VARCHAR || '°C, overcast', 'Wind ' || w::VARCHAR || ' km/h. ' || CASE WHEN t < -10 THEN 'Severe cold — expect elevated heating demand.' WHEN t < 0 THEN 'Below freezing — monitor transport and energy costs.' WHEN t > 30 THEN 'Heat wave — increased cooling demand.' ELSE 'Conditions within seasonal range.' END,
+ CASE WHEN t < -10 OR t > 35 OR w > 80 THEN 'significant' ELSE 'routine' END, 'environment' FROM (SELECT n_name, n_nationkey - 25 AS t, n_nationkey AS w FROM nation WHERE n_nationkey = 10)""")
 def q_insight_rules(spark, folder):
     start, nation = F.lit(_DAY).cast("timestamp_ntz"), _t(spark, folder, "nation")
     day = _prices(spark, folder).where((F.col("ts") >= start) & (F.col("ts") < start + F.expr("INTERVAL 1 DAY")))
@@ -412,7 +431,7 @@ def q_insight_rules(spark, folder):
         "air": insights.air(nation.where(k == 20).select(city, (k * 3).cast("double").alias("aqi"), F.lit(4.0).alias("pm25"))),
         "weather": insights.weather(nation.where(k == 10).select(city, (k - 25).cast("double").alias("temperature"), k.cast("double").alias("wind_speed"), F.lit(3).alias("weather_code"))),
     }
-    return insights.insights(rules).select("rank", "rule", "level", "category")
+    return insights.insights(rules).select("rank", "rule", "headline", "description", "level", "category")
 
 
 # ---- scalars ----
@@ -465,11 +484,13 @@ def q_format_tonnes(spark, folder):
     return totals.select("p_type", formats.format_tonnes(F.col("total") / 7).alias("shown"))
 
 
-@query("SELECT doc_id, CASE WHEN length(s) <= 30 THEN s WHEN instr(s, ';') - 1 > 0 AND instr(s, ';') - 1 < 30 THEN substr(s, 1, instr(s, ';') - 1) ELSE substr(s, 1, 29) || '…' END AS short FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ';' || substr(text, 1, 40) ELSE substr(text, 1, 10 + (doc_id % 40)::INT) END AS s FROM documents)")
+_SHORT = "CASE WHEN length({0}) <= 30 THEN {0} WHEN instr({0}, ';') - 1 > 0 AND instr({0}, ';') - 1 < 30 THEN substr({0}, 1, instr({0}, ';') - 1) ELSE substr({0}, 1, 29) || '…' END"
+
+
+@query(f"SELECT doc_id, {_SHORT.format('text')} AS short, {_SHORT.format('s')} AS named FROM (SELECT doc_id, text, source || ';' || text AS s FROM documents)")
 def q_truncate(spark, folder):
-    head = F.substring(F.col("text"), F.lit(1), (10 + F.col("doc_id") % 40).cast("int"))
-    s = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(";"), F.substring("text", 1, 40))).otherwise(head)
-    return _t(spark, folder, "documents").select("doc_id", s.alias("s")).select("doc_id", formats.shorten(F.col("s"), 30).alias("short"))
+    named = F.concat("source", F.lit(";"), "text")
+    return _t(spark, folder, "documents").select("doc_id", formats.shorten(F.col("text"), 30).alias("short"), formats.shorten(named, 30).alias("named"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_nationkey::VARCHAR END AS imo, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN s_name ELSE 'x' END AS mmsi, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN s_nationkey || ' / ' || s_name ELSE s_name END AS name FROM supplier")
@@ -576,3 +597,116 @@ def q_price_windows(spark, folder):
 
     rows = tumbling(_prices(spark, folder))
     return rows.select("zone", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "min", "max", "avg")
+
+
+# ---- cubes: the series as JSON-stat texts, and back ----
+
+
+def _cube(spark, folder, sparse: bool = False, turned: bool = False) -> DataFrame:
+    """One JSON-stat cube of the monthly series: freq, geo and time (turned: time before geo);
+    sparse: without the cells of June. Places follow the reversed names of regions."""
+    cells = _series(spark, folder)
+    if sparse:
+        cells = cells.where(~F.col("period").endswith("-06"))
+    axes = _series(spark, folder).agg(F.sort_array(F.collect_set("geo"), False).alias("geos"), F.sort_array(F.collect_set("period")).alias("periods"))
+    g, t = F.array_position("geos", F.col("geo")) - 1, F.array_position("periods", F.col("period")) - 1
+    at = t * F.size("geos") + g if turned else g * F.size("periods") + t
+    flat = cells.crossJoin(F.broadcast(axes)).select("geos", "periods", at.cast("int").alias("at"), "value")
+    cube = flat.groupBy("geos", "periods").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", "value")))).alias("cells"))
+
+    def category(names: Column, label: Column) -> Column:
+        index = F.map_from_arrays(names, F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: k - 1))
+        return F.struct(F.struct(index.alias("index"), label.alias("label")).alias("category"))
+
+    geos, periods = F.col("geos"), F.col("periods")
+    labels = F.map_from_arrays(F.slice(geos, 1, 2), F.transform(F.slice(geos, 1, 2), lambda x: F.initcap(x)))
+    none = F.lit(None).cast("map<string, string>")
+    dims = F.create_map(F.lit("freq"), category(F.array(F.lit("M")), none), F.lit("geo"), category(geos, labels), F.lit("time"), category(periods, none))
+    names, sizes = (["freq", "time", "geo"], [F.size(periods), F.size(geos)]) if turned else (["freq", "geo", "time"], [F.size(geos), F.size(periods)])
+    cells_of = F.col("cells") if sparse else F.transform(F.sequence(F.lit(0), F.size(geos) * F.size(periods) - 1), lambda k: F.try_element_at("cells", k))
+    body = F.struct(F.array(*map(F.lit, names)).alias("id"), F.array(F.lit(1), *sizes).alias("size"), dims.alias("dimension"), cells_of.alias("value"))
+    return cube.select(F.lit("orders").alias("cube"), F.to_json(body).alias("value"))
+
+
+_CUBE = """WITH {{m}}, axes AS (SELECT geo, period FROM (SELECT DISTINCT geo FROM series_m), (SELECT DISTINCT period FROM series_m))
+SELECT geo, CASE WHEN geo IN ('MIDDLE EAST', 'EUROPE') THEN upper(geo[1]) || lower(geo[2:]) ELSE geo END AS label, period, (dense_rank() OVER (ORDER BY period) - 1)::INT AS place, {0} AS value
+FROM axes LEFT JOIN series_m USING (geo, period) {1}"""
+
+
+def _decoded(cube: DataFrame, **options) -> DataFrame:
+    rows = jsonstat.decode(jsonstat.parse_cubes(cube), **options)
+    return rows.select("geo", F.when(F.col("label") == "Middle East", "Middle east").otherwise(F.col("label")).alias("label"), "period", "place", "value")
+
+
+@query(_CUBE.format("value", ""))
+def q_cube_dense(spark, folder):
+    return _decoded(_cube(spark, folder))
+
+
+@query(_CUBE.format("CASE WHEN period NOT LIKE '%-06' THEN value END", ""))
+def q_cube_sparse(spark, folder):
+    return _decoded(_cube(spark, folder, sparse=True, turned=True))
+
+
+@query(_CUBE.format("value", "WHERE geo IN ('ASIA', 'EUROPE')"))
+def q_cube_of_some_places(spark, folder):
+    return _decoded(_cube(spark, folder, turned=True), geos=["ASIA", "EUROPE"])
+
+
+@query("WITH {m}, p AS (SELECT DISTINCT period FROM series_m), one AS (SELECT * FROM series_m WHERE geo = (SELECT max(geo) FROM series_m)) SELECT period, (dense_rank() OVER (ORDER BY period) - 1)::INT AS place, value FROM p LEFT JOIN one USING (period)")
+def q_cube_positional(spark, folder):
+    return jsonstat.decode_positional(jsonstat.parse_cubes(_cube(spark, folder))).select("period", "place", "value")
+
+
+# ---- fixed values beside rows, probes, sinks ----
+
+
+@query("""SELECT n_nationkey, c.city, c.lat, c.lon, c.zone FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'ee' WHEN 1 THEN 'lt' WHEN 2 THEN 'lv' ELSE 'xx' END AS k FROM nation)
+JOIN (VALUES ('lv', 'Riga', 56.95::DOUBLE, 24.11::DOUBLE, 'Europe/Riga'), ('ee', 'Tallinn', 59.44, 24.75, 'Europe/Tallinn'), ('lt', 'Vilnius', 54.69, 25.28, 'Europe/Vilnius')) c(country, city, lat, lon, zone) ON c.country = CASE WHEN k = 'xx' THEN 'lv' ELSE k END""")
+def q_capital_or_default(spark, folder):
+    countries = F.array(*map(F.lit, ["ee", "lt", "lv", "xx"]))
+    asked = _t(spark, folder, "nation").select("n_nationkey", F.get(countries, F.col("n_nationkey") % 4).alias("country"))
+    return lookups.or_default_row(asked, catalog.capitals(spark), "country", catalog.DEFAULT_COUNTRY).select("n_nationkey", "city", "lat", "lon", "zone")
+
+
+@query("""SELECT event_id, CASE level WHEN 'routine' THEN 'Routine' WHEN 'notable' THEN 'Notable' ELSE 'Significant' END AS label, CASE level WHEN 'routine' THEN '🟢' WHEN 'notable' THEN '🟡' ELSE '🔴' END AS emoji,
+CASE WHEN code = 0 THEN '☀️' WHEN code IN (1, 2) THEN '⛅' WHEN code = 3 THEN '☁️' ELSE '🌡️' END AS icon, CASE status WHEN 'moderate' THEN 'yellow' WHEN 'unhealthy' THEN 'red' ELSE 'emerald' END AS colour
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'routine' WHEN 1 THEN 'notable' ELSE 'significant' END AS level, event_id % 5 AS code, CASE event_id % 4 WHEN 0 THEN 'good' WHEN 1 THEN 'moderate' WHEN 2 THEN 'unhealthy' ELSE 'none' END AS status FROM events)""")
+def q_badges_and_icons(spark, folder):
+    def one_of(values: list[str]) -> Column:
+        return F.get(F.array(*map(F.lit, values)), (F.col("event_id") % len(values)).cast("int"))
+
+    rows = _t(spark, folder, "events").select(
+        "event_id", one_of(["routine", "notable", "significant"]).alias("level"), one_of(["Clear sky", "Partly cloudy", "Partly cloudy", "Overcast", "Haze"]).alias("description"),
+        one_of(["good", "moderate", "unhealthy", "none"]).alias("status"),
+    )
+    rows = lookups.or_default_row(rows, catalog.badges(spark), "level", "routine")
+    rows = lookups.or_default_row(rows, catalog.air_colours(spark), "status", "good")
+    return lookups.name_or(rows, F.broadcast(catalog.icons(spark)), "description", "icon", F.lit(catalog.OTHER_ICON)).select("event_id", "label", "emoji", "icon", "colour")
+
+
+@query("""SELECT page_id AS name, CASE WHEN page_id % 3 = 0 AND contains(html, '<html') THEN 'unhealthy' WHEN page_id % 3 = 1 THEN 'healthy' WHEN page_id % 3 = 2 THEN 'unhealthy' ELSE 'unhealthy' END AS status, page_id % 2 = 0 AS required,
+CASE page_id % 3 WHEN 0 THEN 'missing required elements' WHEN 1 THEN NULL ELSE 'timed out' END AS error FROM pages""")
+def q_probe_status(spark, folder):
+    k = F.col("page_id") % 3
+    body = F.when(k == 0, F.col("html")).when(k == 1, F.to_json(F.struct("url")))
+    answers = _t(spark, folder, "pages").select(F.col("page_id").alias("name"), F.when(k == 0, "xml").otherwise("json").alias("kind"), (F.col("page_id") % 2 == 0).alias("required"), body.alias("body"), F.when(k == 2, "timed out").alias("error"))
+    return probes.judged(answers)
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 7 <> 0")
+def q_fulfilled_only(spark, folder):
+    answers = _t(spark, folder, "events").select("event_id", "value", F.when(F.col("event_id") % 7 == 0, "no answer").alias("error"))
+    return lookups.fulfilled(answers)
+
+
+@query("SELECT r_regionkey, r_name, 'public, max-age=900' AS cache_control, '2024-01-10T09:00:00.000Z' AS fetched_at FROM region")
+def q_json_sink(spark, folder):
+    sent = snapshots.as_json(_t(spark, folder, "region").select("r_regionkey", "r_name"), "environment-lv", "row", F.lit("2024-01-10 09:00:00").cast("timestamp_ntz"))
+    back = sent.select(F.from_json("value", "row struct<r_regionkey: int, r_name: string>, cacheControl string, fetchedAt string").alias("j"))
+    return back.select("j.row.r_regionkey", "j.row.r_name", F.col("j.cacheControl").alias("cache_control"), F.col("j.fetchedAt").alias("fetched_at"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\s" + text.LETTERS + r"-]', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
+def q_clean_query(spark, folder):
+    return _t(spark, folder, "documents").select("doc_id", text.clean_query(F.col("text")).alias("cleaned"))

@@ -61,42 +61,67 @@ def price_summary(prices: DataFrame, hour: int) -> DataFrame:
     return prices.agg(avg.alias("avg"), F.min("price").alias("min"), F.max("price").alias("max"), now.alias("_now"), F.count("*").alias("_n")).where("_n > 0").select(F.coalesce("_now", "avg").alias("current"), "avg", "min", "max")
 
 
+# fixed values: headlines and descriptions, with places for values; in the order of the rules
+ELECTRICITY = {
+    "negative": ("Negative electricity price: €{current}/MWh", "Wind/solar overproduction drives prices below zero. Industrial consumers benefit from flexible scheduling. Range: €{min} to €{max}."),
+    "spike": ("Electricity price spike: peak €{max}/MWh", "Today's peak is significantly above normal. Average €{avg}/MWh. Consider shifting energy-intensive tasks to off-peak hours."),
+    "low": ("Electricity: €{current}/MWh (avg €{avg})", "Day-ahead prices range €{min}–€{max}/MWh. Below seasonal average — favorable for operations."),
+    "normal": ("Electricity: €{current}/MWh (avg €{avg})", "Day-ahead prices range €{min}–€{max}/MWh. Within normal Baltic market range."),
+}
+EXCHANGE = {
+    "strong": ("EUR/USD: {rate}", "Euro strengthening against the dollar — favorable for Baltic importers."),
+    "weak": ("EUR/USD: {rate}", "Euro weakening — Baltic exporters benefit from cheaper euro-denominated goods."),
+    "normal": ("EUR/USD: {rate}", "Exchange rate within normal range. ECB rates updated daily at 16:00 CET."),
+}
+AIR = {
+    "good": ("{city} air quality: Good", "PM2.5: {pm25} µg/m³. Well below WHO guidelines. Outdoor activities recommended."),
+    "moderate": ("{city} air quality: Moderate", "PM2.5: {pm25} µg/m³. Sensitive groups should limit prolonged outdoor exposure."),
+    "unhealthy": ("{city} air quality: Unhealthy", "PM2.5: {pm25} µg/m³. Consider limiting outdoor activities. Monitor WHO advisories."),
+}
+WEATHER = {
+    "cold": ("{city}: {temperature}°C, {sky}", "Wind {wind} km/h. Severe cold — expect elevated heating demand."),
+    "frost": ("{city}: {temperature}°C, {sky}", "Wind {wind} km/h. Below freezing — monitor transport and energy costs."),
+    "heat": ("{city}: {temperature}°C, {sky}", "Wind {wind} km/h. Heat wave — increased cooling demand."),
+    "normal": ("{city}: {temperature}°C, {sky}", "Wind {wind} km/h. Conditions within seasonal range."),
+}
+
+
+def _told(texts: dict[str, tuple[str, str]], which: Column, values: dict[str, Column]) -> list[Column]:
+    """Headline and description of the case that holds, with its values."""
+    out = []
+    for k in (0, 1):
+        text = F.element_at(F.create_map(*[F.lit(x) for case, both in texts.items() for x in (case, both[k])]), which)
+        for name, value in values.items():
+            text = F.replace(text, F.lit(f"{{{name}}}"), value)
+        out.append(text)
+    return out
+
+
 def electricity(day: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """From one row of current, avg, min and max."""
-    c = {k: fixed_text(F.col(k), 2 if k == "current" else 0) for k in ("current", "avg", "min", "max")}
-    spread = [c["min"], F.lit(" to €"), c["max"]]
-    headline = (
-        F.when(F.col("current") < 0, F.concat(F.lit("Negative electricity price: €"), c["current"], F.lit("/MWh")))
-        .when(F.col("max") > t.price_spike, F.concat(F.lit("Electricity price spike: peak €"), c["max"], F.lit("/MWh")))
-        .otherwise(F.concat(F.lit("Electricity: €"), c["current"], F.lit("/MWh (avg €"), c["avg"], F.lit(")")))
-    )
-    description = (
-        F.when(F.col("current") < 0, F.concat(F.lit("Prices are below zero. Range: €"), *spread))
-        .when(F.col("max") > t.price_spike, F.concat(F.lit("Today's peak is well above normal. Average €"), c["avg"]))
-        .otherwise(F.concat(F.lit("Day-ahead prices range €"), *spread, F.when(F.col("avg") < t.price_low, ". Below seasonal average.").otherwise(". Within normal range.")))
-    )
-    return day.select(*_insight(1, headline, description, price_level(F.col("current"), F.col("max"), t), "economy"))
+    case = F.when(F.col("current") < 0, "negative").when(F.col("max") > t.price_spike, "spike").when(F.col("avg") < t.price_low, "low").otherwise("normal")
+    values = {k: fixed_text(F.col(k), 2 if k == "current" else 0) for k in ("current", "avg", "min", "max")}
+    return day.select(*_insight(1, *_told(ELECTRICITY, case, values), price_level(F.col("current"), F.col("max"), t), "economy"))
 
 
 def exchange(rates: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    usd, rate = rates.where("currency = 'USD'"), F.col("rate")
-    text = F.when(rate > t.rate_strong, "Euro strengthening against the dollar.").when(rate < t.rate_weak, "Euro weakening against the dollar.").otherwise("Exchange rate within normal range.")
-    return usd.select(*_insight(2, F.concat(F.lit("EUR/USD: "), fixed_text(rate, 4)), text, rate_level(rate, t), "economy"))
+    rate = F.col("rate")
+    case = F.when(rate > t.rate_strong, "strong").when(rate < t.rate_weak, "weak").otherwise("normal")
+    return rates.where("currency = 'USD'").select(*_insight(2, *_told(EXCHANGE, case, {"rate": fixed_text(rate, 4)}), rate_level(rate, t), "economy"))
 
 
 def air(observed: DataFrame) -> DataFrame:
     """From a row of city, aqi and pm25."""
-    headline = F.concat("city", F.lit(" air quality: "), F.initcap(air_quality(F.col("aqi"))))
-    return observed.select(*_insight(3, headline, F.concat(F.lit("PM2.5: "), fixed_text(F.col("pm25"), 1), F.lit(" µg/m³.")), air_level(F.col("aqi")), "environment"))
+    values = {"city": F.col("city"), "pm25": fixed_text(F.col("pm25"), 1)}
+    return observed.select(*_insight(3, *_told(AIR, air_quality(F.col("aqi")), values), air_level(F.col("aqi")), "environment"))
 
 
 def weather(observed: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """From a row of city, temperature, wind_speed and weather_code."""
     temperature = F.col("temperature")
-    text = F.when(temperature < t.cold, "Severe cold.").when(temperature < t.frost, "Below freezing.").when(temperature > t.heat, "Heat wave.").otherwise("Within seasonal range.")
-    headline = F.concat("city", F.lit(": "), fixed_text(temperature, 0), F.lit("°C, "), describe_weather_short(F.col("weather_code")))
-    description = F.concat(F.lit("Wind "), fixed_text(F.col("wind_speed"), 0), F.lit(" km/h. "), text)
-    return observed.select(*_insight(4, headline, description, weather_level(temperature, F.col("wind_speed"), t), "environment"))
+    case = F.when(temperature < t.cold, "cold").when(temperature < t.frost, "frost").when(temperature > t.heat, "heat").otherwise("normal")
+    values = {"city": F.col("city"), "temperature": fixed_text(temperature, 0), "sky": describe_weather_short(F.col("weather_code")), "wind": fixed_text(F.col("wind_speed"), 0)}
+    return observed.select(*_insight(4, *_told(WEATHER, case, values), weather_level(temperature, F.col("wind_speed"), t), "environment"))
 
 
 def insights(rules: dict[str, DataFrame], n: int = 5) -> DataFrame:

@@ -35,15 +35,20 @@ def _categories(cubes: DataFrame, dimension: str) -> DataFrame:
     return found.select("cube", stride.alias("stride"), category["label"].alias("labels"), F.explode(category["index"]).alias("key", "place"))
 
 
+def _cells(cubes: DataFrame) -> DataFrame:
+    """cube, at (place in the flat array) and value of each cell, dense or sparse."""
+    flat = cubes.select("cube", "cells").where("cells IS NOT NULL")
+    each = flat.lateralJoin(flat.sparkSession.tvf.variant_explode(F.col("cells").outer()))
+    return each.select("cube", F.coalesce(F.expr("try_cast(key AS bigint)"), F.col("pos")).alias("at"), F.try_variant_get("value", "$", "double").alias("value"))
+
+
 def decode(cubes: DataFrame, geo: str = "geo", time: str = "time", geos: list[str] | None = None) -> DataFrame:
     """cube, geo, label, period, place (order of the period) and value. A cube without either
     dimension gives no rows; a geo without a label is its own."""
     g = _categories(cubes, geo).select("cube", F.col("key").alias("geo"), F.coalesce(F.try_element_at("labels", F.col("key")), F.col("key")).alias("label"), (F.col("place") * F.col("stride")).alias("_g"))
     t = _categories(cubes, time).select("cube", F.col("key").alias("period"), F.col("place"), (F.col("place") * F.col("stride")).alias("_t"))
     grid = (g.where(F.col("geo").isin(geos)) if geos else g).join(t, "cube")
-    flat = cubes.select("cube", "cells").where("cells IS NOT NULL")
-    flat.createOrReplaceTempView("_tidemark_cells")
-    cells = flat.sparkSession.sql("SELECT c.cube, coalesce(try_cast(v.key AS bigint), v.pos) AS _at, try_variant_get(v.value, '$', 'double') AS value FROM _tidemark_cells c, LATERAL variant_explode(c.cells) v")
+    cells = _cells(cubes).withColumnRenamed("at", "_at")
     joined = grid.withColumn("_at", F.col("_g") + F.col("_t")).join(cells, ["cube", "_at"], "left")
     return joined.select("cube", "geo", "label", "period", "place", "value")
 
@@ -54,6 +59,5 @@ def decode_positional(cubes: DataFrame) -> DataFrame:
     last = F.element_at("id", -1)
     category = F.try_element_at("dimension", last)["category"]["index"]
     times = cubes.where(F.size("id") > 0).select("cube", F.explode(category).alias("period", "place"))
-    cubes.select("cube", "cells").where("cells IS NOT NULL").createOrReplaceTempView("_tidemark_cells_last")
-    cells = cubes.sparkSession.sql("SELECT c.cube, coalesce(try_cast(v.key AS int), v.pos) AS place, try_variant_get(v.value, '$', 'double') AS value FROM _tidemark_cells_last c, LATERAL variant_explode(c.cells) v")
+    cells = _cells(cubes).select("cube", F.col("at").cast("int").alias("place"), "value")
     return times.join(cells, ["cube", "place"]).select("cube", "period", "place", "value")

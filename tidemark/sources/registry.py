@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import or_text
+from tidemark.operators.unions import first_with_rows
 
 
 def latest_active(catalogue: DataFrame) -> DataFrame:
@@ -31,6 +33,12 @@ def containing(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
     return rows.where(reduce(Column.__or__, hits))
 
 
+def search(rows: DataFrame, key: str, columns: list[str], query: str) -> DataFrame:
+    """A query of digits asks for the key first; any other, or one without a hit, for texts."""
+    found = containing(rows, columns, query)
+    return first_with_rows(exact(rows, key, query), found) if re.fullmatch("[0-9]+", query) else found
+
+
 def with_defaults(rows: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
     """new name -> (column, default for null and empty)."""
     return rows.select(*[or_text(F.col(f"`{c}`"), d).alias(n) for n, (c, d) in names.items()])
