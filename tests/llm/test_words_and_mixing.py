@@ -67,6 +67,22 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert words == sum(r.taken for r in mixing.mix_sources(frame).collect())
 
 
+def test_whole_documents_come_near_the_words_taken(spark):
+    rows = corpus(3)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    texts, largest, taken, got = {(i, t, s) for i, t, s, _ in rows}, defaultdict(int), defaultdict(int), defaultdict(int)
+    source_of = {}
+    for i, t, s, _ in rows:
+        largest[s] = max(largest[s], len((t or "").split()))
+        source_of.setdefault((i, len((t or "").split())), s)
+    for r in mixing.mix_sources(frame).collect():
+        taken[source_of[r.doc_id, r.size]] += r.taken
+    for r in mixing.mixed_documents(frame, in_part=False).collect():
+        assert (r.doc_id, r.text, r.source) in texts
+        got[r.source] += len((r.text or "").split())
+    assert all(2 * abs(got[s] - taken[s]) <= largest[s] * sum(1 for x in rows if x[2] == s) ** 0.5 + largest[s] for s in taken)
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

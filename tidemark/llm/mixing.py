@@ -130,9 +130,11 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, in_part: bool = True) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as taken. The one document of a source
-    that is taken in part keeps its first words, up to the number taken, as they stand."""
+    that is taken in part keeps its first words, up to the number taken, as they stand; without
+    ``in_part`` it is taken whole if at least half of it is wanted, and else left, so no text is
+    ever cut and a source misses its target by half a document at most."""
     sized = cut(_sized(docs, id_col, text_col, source_col, seed))
     shares = mixture(sized, weights, max_epochs)
     # the whole row is one value, so its columns can't clash with those added here
@@ -140,9 +142,12 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.struct("*").alias("_doc"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), order_key(F.col(id_col), seed).alias("_key"))
     joined = rows.join(shares, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_more", _extra())
     # 0 stands for a copy in full, a positive number for that many words
-    again = ((F.col("_more") == F.col("_size")) & (F.col("_size") > 0)).cast("long")
+    enough = F.col("_more") == F.col("_size") if in_part else 2 * F.col("_more") >= F.col("_size")
+    again = (enough & (F.col("_size") > 0)).cast("long")
     full = F.array_repeat(F.lit(0).cast("long"), (F.col("_whole") + again).cast("int"))
     part = F.when((F.col("_more") > 0) & (F.col("_more") < F.col("_size")), F.array(F.col("_more"))).otherwise(F.array().cast("array<long>"))
+    if not in_part:
+        return joined.withColumn("_copy", F.explode(full)).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
     copies = joined.withColumn("_words", F.explode(F.concat(full, part)))
     head = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(rf"[{BLANK}]*{WORD}"), 0), 1, F.col("_words").cast("int")), "")
     text = F.when(F.col("_words") > 0, head).otherwise(own)

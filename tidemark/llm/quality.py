@@ -7,8 +7,9 @@ equations; the sums are added by groups and then on the driver, where they are a
 size. A fifth of the learning rows is left out of the ridge fit; on those, the isotonic step
 turns ridge scores into probabilities from a histogram of ``BINS`` bins.
 
-Learning uses all rows of ``labels`` that it may see: those whose crc32(doc_id as text) mod 3 is
-not 1. Labels, language, source and id never enter the statistics.
+Learning looks at about ``SAMPLE`` labelled rows (a share of the ids' hashes; a documented bound),
+none of the fold crc32(doc_id as text) mod 3 = 1, so only their statistics are taken twice.
+Labels, language, source and id never enter the statistics. Scoring covers every whole text.
 
 Cases: a null text counts as empty and is scored too; labels that are null are left out; a
 document with several labels has their mean; with no usable label every score is 0.5 and with
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, cut, mix, pieces, texts_of, words_of
+from tidemark.llm.common import crc_mod, cut, hash_share, mix, pieces, texts_of, words_of
 
 FEATURES = 256
+SAMPLE = 50_000
 SEED = 20
 RIDGE = 1e-3
 BINS = 2048
@@ -176,11 +178,14 @@ def _bin(raw: np.ndarray) -> np.ndarray:
     return np.clip((raw + 1) / 3 * BINS, 0, BINS - 1).astype(np.int64)
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
-    """Learns from the labelled rows outside of the held-out fold; stats has _id and _stats."""
-    known = labels.where(F.col(label_col).isNotNull() & (crc_mod(F.col(id_col), folds) != held_out))
-    known = known.groupBy(F.col(id_col).alias("_doc")).agg(F.avg(F.col(label_col).cast("double")).alias("_y"))
-    rows = cut(stats.join(known, stats["_id"] == known["_doc"]).select("_stats", "_y", (F.xxhash64("_id") % 5 == 0).alias("_check")))
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE) -> Model:
+    """Learns from labelled rows outside of the held-out fold."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), folds) != held_out))
+    known = cut(known.groupBy(F.col(id_col).alias("_doc")).agg(F.avg(F.col(label_col).cast("double")).alias("_y")))
+    few = F.broadcast(cut(known.where(hash_share(F.col("_doc"), sample, known.count())).limit(2 * sample)))  # bounded
+    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(few.select("_doc"), F.col("_id") == F.col("_doc"), "left_semi")
+    stats = statistics_of(asked, "_id", "_text")
+    rows = cut(stats.join(few, stats["_id"] == few["_doc"]).select("_stats", "_y", (F.xxhash64("_id") % 5 == 0).alias("_check")))
     each = [F.get("_stats", F.lit(k)).cast("double") for k in range(N_STATS)]
     found = rows.agg(F.count("*"), F.min("_y"), F.max("_y"), *[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
     if not found[0] or found[1] == found[2]:
@@ -205,14 +210,14 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """Per document: its id, held_out, score and predicted."""
-    stats = cut(statistics_of(docs, id_col, text_col))
-    model = fit(stats, labels, id_col=id_col, folds=folds, held_out=held_out)
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_out=held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model(_rows(batch.column(1))))], names=["_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model(statistics(batch.column(1)).astype(float)))], names=["_id", "score"])
 
-    scored = stats.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    scored = picked.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, score double")
     return scored.select(
         F.col("_id").alias(id_col), (crc_mod(F.col("_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
@@ -220,7 +225,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def without_rejected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """The rows of docs that are predicted to be of quality, as they are."""
-    model = fit(cut(statistics_of(docs, id_col, text_col)), labels, id_col=id_col, folds=folds, held_out=held_out)
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_out=held_out)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
