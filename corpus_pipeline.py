@@ -2,8 +2,16 @@
 
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing -> token files.
 
-A stage gets all rows its predecessor kept. The first four return documents' own columns; the
-last writes the token files and returns what stands in them, a row per document of the mix.
+A stage gets all rows its predecessor kept. The first four return documents' own columns, extra
+ones and those with clashing names included; the last writes the token files and returns what
+stands in them, a row per document of the mix.
+
+Cases, by stage: a null text counts as empty everywhere. Quality scores it like any other text.
+Near duplicates: empty texts link with nothing and stay; of rows that repeat one stays; of a group
+the smallest id stays, a null id only if there is no other. Decontamination: a text without words
+stays; rows that repeat share their fate. Mixing: texts of size 0 are never taken; a null source
+is a source; ties in the seeded order are taken together. Token files: null ids come last, rows
+that repeat are all written. An empty table goes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -32,8 +40,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix takes them, each whole."""
+    return mixing.mixed_documents(docs, in_part=False)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
