@@ -110,3 +110,19 @@ def test_odd_rows_and_no_rows(spark, tmp_path):
     single = out[1].select("doc_id", "text").collect()
     assert len(single) == len(set(single))
     assert [o.count() for o in staged(spark, frame.limit(0), SMALL, tmp_path / "none")] == [0] * 5
+
+
+def test_run_gives_what_the_stages_give(spark, tmp_path):
+    want = staged(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL, tmp_path)[-1]
+    got = corpus_pipeline.run(spark, SMALL)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_cluster_without_a_shared_folder_fails_early():
+    from types import SimpleNamespace
+
+    from tidemark.llm import common
+
+    lost = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(lost)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,10 +23,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where that
-    setting is missing, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where that setting is missing, a
+    local session gets a temporary one, as in tests, and a cluster an error, before any work."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not set_dir and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="tidemark-"))
     return set_dir or context.getCheckpointDir()
