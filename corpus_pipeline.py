@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, jaccard_join, mixing, quality, token_files
-from tidemark.llm.common import new_folder, table
+from tidemark.llm.common import Scratch, table
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -63,10 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written as Parquet and read again. The token
+    files are written when this returns, so the stages' tables go."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        folder = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    files = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop()
+    return files
