@@ -149,3 +149,14 @@ def test_insights_skip_missing_inputs(spark):
     got = insights.insights({"p": insights.electricity(insights.price_summary(prices, 9)), "r": insights.exchange(rates), "a": insights.air(air), "w": insights.weather(weather)}).collect()
     assert [(r.rank, r.level) for r in got] == [(2, "notable"), (3, "notable"), (4, "routine")]
     assert got[0].headline == "EUR/USD: 1.2000" and got[1].headline == "Riga air quality: Moderate" and "Heat wave" in got[2].description
+
+
+def test_window_counts_over_stretches(spark):
+    import random
+
+    chance = random.Random(2)
+    hits = [(k, chance.choice(["a", "a", "a", "b", None]), chance.randrange(0, 20_000)) for k in range(600)]
+    hits += [(1000 + k, "a", 60 * 32 * 5 + d) for k, d in enumerate((-61, -60, -59, -1, 0, 0, 1, 59, 60, 61))]
+    frame = spark.createDataFrame(hits, "id int, key string, s int").selectExpr("id", "key", "timestamp_seconds(s) AS ts", "s", "id AS _key", "id AS _at")
+    got = {r.id: r.hits for r in limiter.window_counts(frame).collect()}
+    assert got == {i: sum(k2 == k and s - 60 <= s2 <= s for _, k2, s2 in hits) for i, k, s in hits}

@@ -47,7 +47,8 @@ class Limiter:
 
 def limit_hits(hits: DataFrame, limit: int = LIMIT, window: int = WINDOW_MS, key: str = "key", ts_ms: str = "ts_ms", tie: str = "id") -> DataFrame:
     """hits with accepted and retry_after. Rows are dealt by key and sorted, then read as they
-    come, so a key's hits are never gathered in memory."""
+    come, so a key's hits are never gathered in memory. Each decision hangs on all before it, so
+    one key is one task, however many hits it has."""
     schema = StructType([*hits.schema.fields, StructField("accepted", BooleanType()), StructField("retry_after", IntegerType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,11 +65,21 @@ def limit_hits(hits: DataFrame, limit: int = LIMIT, window: int = WINDOW_MS, key
     return dealt.mapInPandas(run, schema)
 
 
+#: Lengths of the window that one task counts for a key.
+STRETCH = 32
+
+
 def window_counts(hits: DataFrame, seconds: int = 60, key: str = "key", ts: str = "ts") -> DataFrame:
-    """Hits of the key within the seconds up to each hit, by a range frame."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    frame = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    return hits.withColumn("hits", F.count("*").over(frame))
+    """Hits of the key within the seconds up to each hit, by a range frame. Time is cut into
+    stretches, and hits within a window of the next stretch count there too, so that a key with a
+    large share of the hits is spread over tasks."""
+    at, width = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    row = hits.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), at.alias("_at")).withColumn("_own", F.floor(F.col("_at") / (STRETCH * width)))
+    late = F.col("_at") >= (F.col("_own") + 1) * (STRETCH * width) - width
+    copied = row.withColumn("_in", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    frame = Window.partitionBy("_key", "_in").orderBy("_at").rangeBetween(-width, Window.currentRow)
+    counted = copied.withColumn("hits", F.count("*").over(frame)).where(F.col("_in").eqNullSafe(F.col("_own")))
+    return counted.select(*[F.col("_row").getField(c).alias(c) for c in hits.columns], "hits")
 
 
 def tracked_keys(hits: DataFrame, key: str = "key") -> DataFrame:

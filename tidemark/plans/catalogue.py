@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import catalog
@@ -68,9 +68,8 @@ def q_series_summary(spark, folder):
 @query("""WITH {m}, f AS (SELECT geo, arg_min(value, period) AS base FROM series_m GROUP BY geo)
 SELECT geo, period, value / base * 100 - 100.0 AS growth FROM series_m JOIN f USING (geo)""")
 def q_index_to_growth(spark, folder):
-    rows = _series(spark, folder)
-    base = rows.groupBy("geo").agg(F.min_by("value", "period").alias("base"))
-    return rows.join(base, "geo").select("geo", "period", series.index_to_growth(F.col("value") / F.col("base") * 100).alias("growth"))
+    base = F.first("value").over(Window.partitionBy("geo").orderBy("period"))
+    return _series(spark, folder).select("geo", "period", series.index_to_growth(F.col("value") / base * 100).alias("growth"))
 
 
 _CHANGE = "WITH {%s} SELECT geo, period, value, lag(value, %d) OVER w AS before, %s AS change FROM series_%s WINDOW w AS (PARTITION BY geo ORDER BY period)"
