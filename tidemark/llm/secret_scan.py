@@ -66,6 +66,14 @@ OTHER_WORDS = tuple("sha sha1 sha256 md5 hash commit checksum digest etag uuid g
 N_FEATURES = 25
 
 
+#: What a text must hold for a pattern to match in it; looking for these is much cheaper.
+_NEEDED = {
+    _BLOCK: ("-----BEGIN",), _SIGNED: ("eyJ",), _ADDRESS: ("://",),
+    _ISSUED: ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "xox", "AIza", "glpat-"),
+}
+_NAMED = ("passw", "pwd", "passphrase", "secret", "token", "api", "auth", "bearer", "credential", "private", "access")
+
+
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -73,7 +81,8 @@ def _kind(c: str) -> int:
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of each candidate, in order and apart from one another."""
     taken: list[tuple[int, int]] = []
-    for m in _VALUE.finditer(text):
+    folded = text.casefold() if "=" in text or ":" in text else ""
+    for m in _VALUE.finditer(text) if any(word in folded for word in _NAMED) else ():
         group = m.lastindex
         start, end = m.span(group)
         if group == 3:  # marks that end a sentence or list aren't part of it
@@ -89,7 +98,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         digits, lower, upper = (any(test(c) for c in s) for test in (str.isdigit, str.islower, str.isupper))
         if digits or (lower and upper and any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False))):
             plain.append(m.span())
-    forms = [m.span(m.lastindex if pattern is _ADDRESS else 0) for pattern in (_BLOCK, _SIGNED, _ISSUED, _ADDRESS) for m in pattern.finditer(text)]
+    forms = [m.span(m.lastindex if pattern is _ADDRESS else 0) for pattern in (_BLOCK, _SIGNED, _ISSUED, _ADDRESS) if any(part in text for part in _NEEDED[pattern]) for m in pattern.finditer(text)]
     for more in (_apart(forms), plain):
         taken = _apart(taken)
         starts = [a for a, _ in taken]
