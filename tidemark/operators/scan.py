@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,9 @@ def diff_occurrences(diffs: DataFrame, pattern: str, key: str, text: str = "text
 
 
 def commits_per_pattern(hits: DataFrame, n: int = 8) -> DataFrame:
-    """Distinct commits of each pattern, and the first n of them."""
-    ranked = hits.select("pattern", "commit").distinct()
-    return ranked.groupBy("pattern").agg(F.count("*").alias("commits"), F.slice(F.array_sort(F.collect_set("commit")), 1, n).alias("first"))
+    """Distinct commits of each pattern, and the first n of them; no more than n are gathered."""
+    each = hits.groupBy("pattern", "commit").count()
+    counts = each.groupBy("pattern").agg(F.count("*").alias("commits"))
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy("commit"))
+    first = each.withColumn("_place", place).where(F.col("_place") <= n).groupBy("pattern").agg(F.array_sort(F.collect_list("commit")).alias("first"))
+    return counts.join(first, "pattern")

@@ -15,7 +15,7 @@ from tidemark import catalog
 from tidemark.functions import classify, formats, numbers, periods, text
 from tidemark.operators import groups, limiter, lookups, scan, series, unions
 from tidemark.plans import insights
-from tidemark.sources import jsonstat, probes, registry, snapshots
+from tidemark.sources import feeds, jsonstat, probes, registry, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -709,3 +709,103 @@ def q_json_sink(spark, folder):
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\s" + text.LETTERS + r"-]', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
 def q_clean_query(spark, folder):
     return _t(spark, folder, "documents").select("doc_id", text.clean_query(F.col("text")).alias("cleaned"))
+
+
+# ---- feeds: payloads made of rows, and back ----
+
+
+def _payload(value: Column, *more: Column):
+    return lambda rows: rows.select(*more, F.to_json(value).alias("value"))
+
+
+@query("SELECT event_type AS zone, 0 AS pos, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, value AS price FROM events WHERE value IS NOT NULL")
+def q_feed_prices(spark, folder):
+    point = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("value").alias("price"))
+    sent = _payload(F.struct(F.create_map("event_type", F.array(point)).alias("data")))(_t(spark, folder, "events").where("value IS NOT NULL"))
+    return feeds.prices(sent).select("zone", "pos", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "price")
+
+
+_MONEY = ", ".join(f"('{code}', '{name}')" for code, name in catalog.CURRENCIES)
+
+
+@query(f"SELECT c_custkey, currency, 1 + c_custkey % 64 / 64 AS rate, name FROM (SELECT c_custkey, unnest([['USD', 'GBP', 'SEK', 'XXX'][1 + (c_custkey % 4)::INT], 'PLN']) AS currency FROM customer) JOIN (VALUES {_MONEY}) v(currency, name) USING (currency)")
+def q_feed_rates(spark, folder):
+    code, rate = F.get(F.array(*map(F.lit, ["USD", "GBP", "SEK", "XXX"])), (F.col("c_custkey") % 4).cast("int")), (1 + F.col("c_custkey") % 64 / 64).cast("string")
+    body = F.concat(F.lit("<Cube><Cube currency='"), code, F.lit("' rate='"), rate, F.lit("'/><Cube currency='PLN' rate='"), rate, F.lit("'/></Cube>"))
+    sent = _t(spark, folder, "customer").select("c_custkey", body.alias("value"))
+    return feeds.exchange_rates(sent, catalog.currencies(spark), "c_custkey").select("c_custkey", "currency", "rate", "name")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 OR value IS NULL THEN 0 ELSE value END AS temperature, CASE WHEN event_id % 5 = 0 OR event_id % 2 = 1 THEN 0 ELSE event_id END::DOUBLE AS wind_speed,
+CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 100 END::INT AS weather_code FROM events""")
+def q_feed_weather(spark, folder):
+    k = F.col("event_id")
+    now = F.struct(F.col("value").alias("temperature_2m"), F.when(k % 2 == 0, k.cast("double")).alias("wind_speed_10m"), (k % 100).cast("int").alias("weather_code"))
+    sent = _t(spark, folder, "events").select("event_id", k.alias("city"), F.when(k % 5 == 0, "no answer").otherwise(F.to_json(F.struct(now.alias("current")))).alias("value"))
+    return feeds.weather(sent).select(F.col("city").alias("event_id"), "temperature", "wind_speed", "weather_code")
+
+
+@query("SELECT CASE WHEN event_id % 5 = 0 THEN 0 ELSE value / 4 END AS pm25, CASE WHEN event_id % 5 = 0 OR value IS NULL THEN 0 ELSE value END AS aqi, CASE WHEN event_id % 5 = 0 OR value IS NULL OR value <= 50 THEN 'good' WHEN value <= 100 THEN 'moderate' ELSE 'unhealthy' END AS status FROM events WHERE value IS NOT NULL")
+def q_feed_air(spark, folder):
+    now = F.struct((F.col("value") / 4).alias("pm2_5"), F.col("value").alias("european_aqi"))
+    rows = _t(spark, folder, "events").where("value IS NOT NULL")
+    sent = rows.select(F.when(F.col("event_id") % 5 == 0, "no answer").otherwise(F.to_json(F.struct(now.alias("current")))).alias("value"))
+    return feeds.air(sent).select("pm25", "aqi", "status")
+
+
+@query("SELECT s_suppkey AS port_code, h AS time, CASE WHEN h = 'b' THEN s_acctbal ELSE s_acctbal / 2 END AS wave_height, CASE WHEN h = 'a' THEN s_nationkey END::DOUBLE AS sea_surface_temperature FROM supplier, (VALUES ('a'), ('b')) v(h)")
+def q_feed_marine(spark, folder):
+    hourly = F.struct(
+        F.array(F.lit("a"), F.lit("b")).alias("time"), F.array(F.col("s_acctbal") / 2, F.col("s_acctbal")).alias("wave_height"), F.array(F.col("s_nationkey").cast("double")).alias("sea_surface_temperature")
+    )
+    return feeds.marine_forecast(_payload(F.struct(hourly.alias("hourly")), F.col("s_suppkey").alias("port_code"))(_t(spark, folder, "supplier")))
+
+
+@query("SELECT sum(CASE WHEN c_nationkey <> 0 THEN c_nationkey ELSE 3 END + CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS population FROM customer")
+def q_feed_population(spark, folder):
+    people = F.array(F.struct(F.col("c_nationkey").cast("long").alias("PersonCount"), F.lit(3).cast("long").alias("Count")), F.struct(F.lit(None).cast("long").alias("PersonCount"), F.when(F.col("c_custkey") % 2 == 0, 2).cast("long").alias("Count")))
+    value = F.when(F.col("c_custkey") % 3 == 0, F.to_json(F.struct(F.struct(people.alias("results")).alias("d")))).otherwise(F.to_json(F.struct(people.alias("value"))))
+    return feeds.population(_t(spark, folder, "customer").select(value.alias("value")), catalog.POPULATION["lv"])
+
+
+# ---- labels, times to live, pattern files ----
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y') AS day, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d %b %Y') ELSE strftime(o_orderdate, '%d %b %Y') || ' – ' || strftime(o_orderdate + INTERVAL 3 DAY, '%d %b %Y') END AS days FROM orders")
+def q_day_labels(spark, folder):
+    day = F.col("o_orderdate").cast("date")
+    return _t(spark, folder, "orders").select("o_orderkey", formats.day_label(day).alias("day"), formats.day_range(day, F.when(F.col("o_orderkey") % 2 == 0, day).otherwise(F.date_add(day, 3))).alias("days"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN x >= 0 THEN '+' ELSE '' END || printf('%.2f', x) || 'pp' AS change FROM (SELECT l_orderkey, l_linenumber, (l_quantity - 25) / 7 AS x FROM lineitem)")
+def q_signed_change(spark, folder):
+    return _t(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", numbers.signed_change((F.col("l_quantity") - 25) / 7, 2, "pp").alias("change"))
+
+
+@query("""WITH k AS (SELECT event_id, ts, ['economy-lv', 'property', 'environment-ee', 'other'][1 + (event_id % 4)::INT] AS cache_key FROM events)
+SELECT event_id, cache_key FROM k WHERE floor(epoch(TIMESTAMP '2024-01-10 12:00:00')) - floor(epoch(ts)) < 60 * CASE WHEN starts_with(cache_key, 'economy') THEN 30 WHEN starts_with(cache_key, 'environment') THEN 15 ELSE 60 END""")
+def q_fresh_results(spark, folder):
+    keys = F.get(F.array(*map(F.lit, ["economy-lv", "property", "environment-ee", "other"])), (F.col("event_id") % 4).cast("int"))
+    stamped = _t(spark, folder, "events").select("event_id", keys.alias("cache_key"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    return snapshots.fresh(stamped, F.lit("2024-01-10 12:00:00").cast("timestamp")).select("event_id", "cache_key")
+
+
+@query("SELECT DISTINCT n AS pattern, k % 4 = 1 AS is_regex FROM (SELECT split_part(p_name, ' ', 1) AS n, p_partkey AS k FROM part) WHERE k % 4 IN (1, 2)")
+def q_pattern_set(spark, folder):
+    k, name = F.col("p_partkey") % 4, F.element_at(F.split("p_name", " "), 1)
+    line = F.when(k == 0, F.concat(F.lit("  # "), name)).when(k == 1, F.concat(F.lit(" re:"), name, F.lit("  # why"))).when(k == 2, F.concat(name, F.lit(" "))).otherwise("  ")
+    lines = _t(spark, folder, "part").select(line.alias("value"))
+    return scan.pattern_set(scan.parse_patterns(lines), scan.parse_patterns(lines.limit(0)))
+
+
+@query("SELECT doc_id, doc_id % 4 = 0 AND strlen(text) < 8192 AS is_binary FROM documents")
+def q_binary_sniff(spark, folder):
+    content = F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("text").cast("binary"), F.lit(b"\x00"))).otherwise(F.col("text").cast("binary"))
+    return _t(spark, folder, "documents").select("doc_id", content.alias("content")).select("doc_id", scan.is_binary("content").alias("is_binary"))
+
+
+@query("""WITH d AS (SELECT DISTINCT l_returnflag AS pattern, 'c' || l_orderkey AS commit FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY commit) AS k FROM d)
+SELECT pattern, count(*) AS commits, string_agg(commit, ',' ORDER BY commit) FILTER (k <= 8) AS first FROM r GROUP BY pattern""")
+def q_commits_per_pattern(spark, folder):
+    hits = _t(spark, folder, "lineitem").select(F.col("l_returnflag").alias("pattern"), F.concat(F.lit("c"), "l_orderkey").alias("commit"))
+    return scan.commits_per_pattern(hits).select("pattern", "commits", F.array_join("first", ",").alias("first"))

@@ -22,12 +22,12 @@ def prices_of_day(rows: DataFrame, day: str) -> DataFrame:
     return rows.where((F.col("ts") >= first) & (F.col("ts") < first + F.expr("INTERVAL 1 DAY")))
 
 
-def exchange_rates(payloads: DataFrame, currencies: DataFrame) -> DataFrame:
-    """currency, rate and name of the wanted currencies that the document has."""
+def exchange_rates(payloads: DataFrame, currencies: DataFrame, *keep: str) -> DataFrame:
+    """currency, rate and name of the wanted currencies that a document has, with its columns to keep."""
     pattern = r"currency=['\"]([A-Z]{3})['\"]\s+rate=['\"]([\d.]+)['\"]"
     codes, rates = (F.regexp_extract_all("value", F.lit(pattern), k) for k in (1, 2))
-    found = payloads.select(F.inline(F.arrays_zip(codes.alias("currency"), rates.alias("rate"))))
-    return found.select("currency", F.col("rate").try_cast("double").alias("rate")).join(F.broadcast(currencies), "currency")
+    found = payloads.select(*keep, F.inline(F.arrays_zip(codes.alias("currency"), rates.alias("rate"))))
+    return found.select(*keep, "currency", F.col("rate").try_cast("double").alias("rate")).join(F.broadcast(currencies), "currency")
 
 
 def weather(payloads: DataFrame) -> DataFrame:
