@@ -50,7 +50,7 @@ class Scratch:
     They stand on shared storage, so lost executors don't take them along."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folders = spark, []
+        self.spark, self.folders, self.shared = spark, [], []
 
     def keep(self, frame: DataFrame, label: str = "part") -> DataFrame:
         """The frame, computed once and read again."""
@@ -58,8 +58,20 @@ class Scratch:
         frame.write.parquet(folder)
         return self.spark.read.schema(frame.schema).parquet(folder)
 
+    def share(self, value):
+        """The value, broadcast until the tables go."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def forget(self) -> None:
+        """Takes back what was broadcast so far; tables that needed it are written."""
+        for value in self.shared:
+            value.destroy()
+        self.shared = []
+
     def drop(self) -> None:
         """Deletes all tables; nothing that is still to be computed may read them."""
+        self.forget()
         for folder in self.folders:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -39,6 +39,7 @@ result; other columns are left alone, whatever their names. Sets and texts are t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -214,14 +215,14 @@ class Tables:
     owners: np.ndarray
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        return self.levels[slots_of(keys, LEVEL_BITS)]
+        return self.levels[slots_of(keys, len(self.levels).bit_length() - 1)]
 
     def owned(self, keys: np.ndarray) -> np.ndarray:
-        slots = slots_of(keys, OWNER_BITS)
+        slots = slots_of(keys, len(self.owners).bit_length() + 2)
         return (self.owners[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def tables_of(rows: DataFrame, keys_in: Callable[[pa.RecordBatch, set[int]], tuple[np.ndarray, np.ndarray | None]], least: int) -> Tables:
+def tables_of(rows: DataFrame, keys_in: Callable[[pa.RecordBatch, set[int]], tuple[np.ndarray, np.ndarray | None]], least: int, level_bits: int = LEVEL_BITS, owner_bits: int = OWNER_BITS) -> Tables:
     """Exact counts of all keys, put into tables. Tasks add up their own keys and deal them out
     by slot; each range of slots is filled by one task. The driver gets the tables, whose size
     doesn't depend on the rows. keys_in: keys and counts (None: one each) of a batch."""
@@ -254,12 +255,12 @@ def tables_of(rows: DataFrame, keys_in: Callable[[pa.RecordBatch, set[int]], tup
 
         def filled() -> pa.RecordBatch:
             keys, n = totals(np.concatenate(held), np.concatenate(counts))
-            levels, owners = np.zeros(1 << (LEVEL_BITS - deal), np.uint8), np.zeros(1 << (OWNER_BITS - deal), np.uint8)
+            levels, owners = np.zeros(1 << (level_bits - deal), np.uint8), np.zeros(1 << (owner_bits - deal), np.uint8)
             often = n >= FREQUENT
-            slots = (keys[often] >> np.uint64(64 - LEVEL_BITS)).astype(np.int64) & (len(levels) - 1)
+            slots = (keys[often] >> np.uint64(64 - level_bits)).astype(np.int64) & (len(levels) - 1)
             np.maximum.at(levels, slots, np.log2(n[often]).astype(np.uint8))
-            owners[(keys[n >= least] >> np.uint64(64 - OWNER_BITS)).astype(np.int64) & (len(owners) - 1)] = 1
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (levels, np.packbits(owners)))], names=["_range", "_levels", "_owners"])
+            owners[(keys[n >= least] >> np.uint64(64 - owner_bits)).astype(np.int64) & (len(owners) - 1)] = 1
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (levels, np.packbits(owners)))], names=["_range", "_levels", "_owners"])
 
         for batch in batches:
             for k, keys, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -273,9 +274,9 @@ def tables_of(rows: DataFrame, keys_in: Callable[[pa.RecordBatch, set[int]], tup
             yield filled()
 
     dealt = rows.mapInArrow(add_up, "_range int, _keys binary, _counts binary").repartition(parts, "_range").sortWithinPartitions("_range")
-    out = Tables(np.zeros(1 << LEVEL_BITS, np.uint8), np.zeros(1 << (OWNER_BITS - 3), np.uint8))
+    out = Tables(np.zeros(1 << level_bits, np.uint8), np.zeros(1 << (owner_bits - 3), np.uint8))
     for k, levels, owners in dealt.mapInArrow(fill, "_range int, _levels binary, _owners binary").collect():
-        for table, raw in ((out.levels, levels), (out.owners, owners)):
+        for table, raw in ((out.levels, zlib.decompress(levels)), (out.owners, zlib.decompress(owners))):
             table[k * len(raw) : (k + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
     return out
 
@@ -581,7 +582,7 @@ def _pairs_across(classes: DataFrame, percent: int, scratch: Scratch, tile: int
     # only lists of several components go on; long ones are told by the level of their length
     mixed = tables_of(lists.select("_key", "_owners"), lambda b, _: (b.column(0).to_numpy(), b.column(1).to_numpy()), 1)
     long_from = tile.bit_length() - 1
-    tables = classes.sparkSession.sparkContext.broadcast(mixed)
+    tables = scratch.share(mixed)
 
     def of(long: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -609,8 +610,9 @@ def _pairs_across(classes: DataFrame, percent: int, scratch: Scratch, tile: int
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (_a, _b) with the exact distance of their sets, and whether they link. Only the
     texts that are asked for are cut into shingles again."""
-    asked = tables_of(pairs.select("_a", "_b"), lambda b, _: (np.unique(np.concatenate([c.to_numpy() for c in b.columns])), None), 1)
-    wanted = docs.sparkSession.sparkContext.broadcast(asked)
+    # sixteen slots a set; where the bitmap's bound is too small, more texts are cut than asked for
+    bits = max(16, min(OWNER_BITS, (32 * pairs.count()).bit_length()))
+    wanted = scratch.share(tables_of(pairs.select("_a", "_b"), lambda b, _: (np.unique(np.concatenate([c.to_numpy() for c in b.columns])), None), 1, 12, bits))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -636,7 +638,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent:
     blobs = _texts(docs, text_col).mapInArrow(sets_of, "_node long, _blob binary")
     blobs = scratch.keep(blobs.groupBy("_node").agg(F.first("_blob").alias("_blob")), "sets")
     a, b = (blobs.select(F.col("_node").alias(f"_{x}"), F.col("_blob").alias(f"_blob_{x}")) for x in "ab")
-    return scratch.keep(pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_blob_a", "_blob_b").mapInArrow(compare, "_a long, _b long, _d long, _linked boolean"))
+    found = scratch.keep(pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_blob_a", "_blob_b").mapInArrow(compare, "_a long, _b long, _d long, _linked boolean"))
+    scratch.forget()
+    return found
 
 
 def joined(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -696,13 +700,12 @@ def _derived(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: in
 def _links(docs: DataFrame, text_col: str, rows: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The classes that share a first shingle with another, and _node and _label of those that
     link with another."""
-    context = docs.sparkSession.sparkContext
-
     def low(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, None]:
         return unpacked(batch.column(1).take(pa.array(first_seen(batch.column(0).to_numpy(), seen)))).keys, None
 
-    tables = context.broadcast(tables_of(rows.where("_n > 0").select("_set", "_low"), low, 2))
+    tables = scratch.share(tables_of(rows.where("_n > 0").select("_set", "_low"), low, 2))
     classes = scratch.keep(_classes(rows, percent, tables), "classes")
+    scratch.forget()
     first = _verified(scratch.keep(_pairs_with_leaders(classes, percent)), docs, text_col, n, percent, scratch)
     links = first.where("_linked").select("_a", "_b")
     labels = components(links, scratch)
