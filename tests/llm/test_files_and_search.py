@@ -19,6 +19,15 @@ def test_pieces_encode_like_the_whole():
     assert 50256 in np.frombuffer(encoder.encode("x <|endoftext|> y"), encoder.dtype)
 
 
+def test_blanks_of_any_form():
+    """Blanks ending in a line break, before a space and a letter, among all other forms."""
+    encoder, library, chance = token_files.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), random.Random(5)
+    texts = ["x\n\n y", "First part.\n\n Second part", "\n\n y", "a \n b", "a\n \nb", "1\t\t x", ".\n\n "]
+    texts += ["".join(chance.choices(["\n", " ", "\t", "\r\n", "y", "Zé", ".", "1", "\n\n ", "!?"], k=chance.randrange(1, 14))) for _ in range(40_000)]
+    for text, whole in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == whole.ids, repr(text)
+
+
 def test_shards_roll_at_a_size(spark, tmp_path):
     frame = spark.createDataFrame([(k, f"word{k} " * 30 + ("<|endoftext|>" if k % 5 == 0 else "")) for k in range(80)], "doc_id long, text string")
     folders = [str(tmp_path / name) for name in ("one", "many")]
@@ -28,10 +37,6 @@ def test_shards_roll_at_a_size(spark, tmp_path):
     assert sorted(map(tuple, token_files.read_documents(rolled, folders[1]).collect())) == sorted(map(tuple, token_files.read_documents(whole, folders[0]).collect()))
 
 
-def test_no_documents(spark):
-    assert token_files.encode_and_read(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
-
-
 def test_files_round_trip(spark, tmp_path):
     chance = random.Random(1)
     docs = [(k * 3 % 50, " ".join(chance.choice(["alpha", "Βeta", "x"]) for _ in range(chance.randrange(40)))) for k in range(60)] + [(None, "last"), (3, None), (200, "word " * 9000)]

@@ -13,7 +13,8 @@ a task gets. A shard is written under a name of its own and is listed only once
 retried task leaves no half file in use.
 
 Tokenising: texts are cut where this vocabulary's own rule always cuts (between a letter run
-and anything else), each distinct piece is encoded once by the tokenizers library and kept in a
+and anything else, and before a line break or tab that a letter follows), so what a piece is
+encoded to never hangs on its neighbours; each distinct piece is encoded once by the tokenizers library and kept in a
 bounded table. Texts with characters for which these cuts are not certain, or with one of the
 vocabulary's added tokens (such as an end-of-text mark), are encoded whole.
 
@@ -47,10 +48,11 @@ ROLL = 1 << 24
 KEPT = 400_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PIECE = re.compile(rf" ?[{_LETTER}]+|[^{_LETTER}]+?(?= ?[{_LETTER}]|\Z)")
+#: A blank other than a space right before a letter stands alone; blanks before a space that
+#: belongs to the next word, or before the end, stay together.
+_PIECE = re.compile(rf" ?[{_LETTER}]+|[\t-\r](?=[{_LETTER}])|[^{_LETTER}]+?(?=[\t-\r ]?[{_LETTER}]|\Z)")
 #: Outside of this set, or with an apostrophe, a text is encoded whole.
 _UNSURE = re.compile(r"[^\t-\r !-&(-~¡-©«-´¶-¹»-ɏ‐-‧‰-⁞€]|'")
-_LATE_BLANK = re.compile(r"\s[\t-\r]\Z")
 
 
 class Encoder:
@@ -77,8 +79,6 @@ class Encoder:
         if piece[-1].isalpha():  # a run of letters is one word to the model
             shown = piece.encode().decode("latin-1").translate(self.shown)
             ids = np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
-        elif _LATE_BLANK.search(piece):  # the last blank before a letter stands alone
-            ids = self._ids(piece[:-1]) + self._ids(piece[-1])
         else:
             ids = self._ids(piece)
         if len(piece) <= 40:
@@ -91,12 +91,7 @@ class Encoder:
         if self.unsure.search(text):
             return self._ids(text)
         known, one = self.memo.get, self._piece
-        pieces = _PIECE.findall(text)
-        if pieces and len(last := pieces[-1]) > 1 and last.isspace() or pieces and _LATE_BLANK.search(pieces[-1]):
-            tail = self._ids(pieces.pop())  # at the end of a text blanks stay together
-        else:
-            tail = b""
-        return b"".join([known(p) or one(p) for p in pieces]) + tail
+        return b"".join([known(p) or one(p) for p in _PIECE.findall(text)])
 
 
 def _store(path: str):
