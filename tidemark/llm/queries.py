@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, html_text, jaccard_join, language_model, mixing, quality, secret_scan, token_files, topk_search, toxicity
+from tidemark.llm import decontamination, html_text, jaccard_join, language_model, mixing, quality, quality_rules, secret_scan, token_files, topk_search, toxicity
 from tidemark.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE = {
