@@ -165,13 +165,14 @@ class Words:
         return self.data[self.start[k] : self.end[k]].tobytes()
 
 
-def words_of(texts: list[bytes]) -> Words:
-    """Lower-cased (A-Z) words between blanks, each with a 64-bit hash.
+def words_of(texts: list[bytes], between: np.ndarray = _IS_BLANK) -> Words:
+    """Lower-cased (A-Z) words between blanks (or other bytes; a line break must be one), each
+    with a 64-bit hash.
 
     A word's hash is a polynomial over its bytes, read off running sums for all words at once.
     """
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    gap = _IS_BLANK[data]
+    gap = between[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap])))
     start, end = edge[0::2], edge[1::2]
     runs = np.zeros(len(data) + 1, np.uint64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, html_text, jaccard_join, language_model, mixing, quality, quality_rules, secret_scan, token_files, topk_search, toxicity
+from tidemark.llm import decontamination, html_text, jaccard_join, language_model, lexical_search, mixing, quality, quality_rules, secret_scan, token_files, topk_search, toxicity
 from tidemark.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
@@ -71,10 +75,12 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_quality_rules": op11_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE = {
     "op2_topk_search": topk_search.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
