@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, html_text, jaccard_join, language_model, lexical_search, mixing, quality, quality_rules, secret_scan, token_files, topk_search, toxicity
+from tidemark.llm import decontamination, embedding_whitening, html_text, jaccard_join, language_model, lexical_search, mixing, quality, quality_rules, secret_scan, token_files, topk_search, toxicity
 from tidemark.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_whitening.whitened_components(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_quality_rules": op11_quality_rules,
     "op12_lexical_search": op12_lexical_search,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE = {
