@@ -550,9 +550,9 @@ def q_regexp_extract(spark, folder):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
-SELECT doc_id, line::INT AS line, 'password=' AS pattern FROM l WHERE contains(s, 'password=')
-UNION ALL SELECT doc_id, line::INT, 'AKIA[A-Z0-9]{16}' FROM l WHERE regexp_matches(s, 'AKIA[A-Z0-9]{16}')
-UNION ALL SELECT doc_id, line::INT, '[a-z0-9.]+@[a-z0-9.]+' FROM l WHERE regexp_matches(s, '[a-z0-9.]+@[a-z0-9.]+')""")
+SELECT doc_id, line::INT AS line, 'password=' AS pattern FROM l WHERE contains(lower(s), 'password=')
+UNION ALL SELECT doc_id, line::INT, 'AKIA[A-Z0-9]{16}' FROM l WHERE regexp_matches(s, 'AKIA[A-Z0-9]{16}', 'i')
+UNION ALL SELECT doc_id, line::INT, '[a-z0-9.]+@[a-z0-9.]+' FROM l WHERE regexp_matches(s, '[a-z0-9.]+@[a-z0-9.]+', 'i')""")
 def q_scan_patterns(spark, folder):
     return scan.scan_lines(_t(spark, folder, "documents"), [("password=", False), ("AKIA[A-Z0-9]{16}", True), ("[a-z0-9.]+@[a-z0-9.]+", True)], "doc_id")
 
@@ -790,12 +790,15 @@ def q_fresh_results(spark, folder):
     return snapshots.fresh(stamped, F.lit("2024-01-10 12:00:00").cast("timestamp")).select("event_id", "cache_key")
 
 
-@query("SELECT DISTINCT n AS pattern, k % 4 = 1 AS is_regex FROM (SELECT split_part(p_name, ' ', 1) AS n, p_partkey AS k FROM part) WHERE k % 4 IN (1, 2)")
+@query("""WITH p AS (SELECT split_part(p_name, ' ', 1) AS n, p_partkey % 4 AS k FROM part), both_sets AS (SELECT n, k = 1 AS is_regex FROM p WHERE k IN (1, 2) UNION ALL SELECT upper(n), k = 0 FROM p WHERE k IN (0, 3))
+SELECT min(n) AS pattern, is_regex FROM both_sets GROUP BY lower(n), is_regex""")
 def q_pattern_set(spark, folder):
+    """A base file and a local one that holds the same names in capitals."""
     k, name = F.col("p_partkey") % 4, F.element_at(F.split("p_name", " "), 1)
-    line = F.when(k == 0, F.concat(F.lit("  # "), name)).when(k == 1, F.concat(F.lit(" re:"), name, F.lit("  # why"))).when(k == 2, F.concat(name, F.lit(" "))).otherwise("  ")
-    lines = _t(spark, folder, "part").select(line.alias("value"))
-    return scan.pattern_set(scan.parse_patterns(lines), scan.parse_patterns(lines.limit(0)))
+    base = F.when(k == 0, F.concat(F.lit("  # "), name)).when(k == 1, F.concat(F.lit(" re:"), name, F.lit("  # why"))).when(k == 2, F.concat(name, F.lit(" "))).otherwise("  ")
+    local = F.when(k == 0, F.concat(F.lit("re:"), F.upper(name))).when(k == 3, F.upper(name)).otherwise("")
+    part = _t(spark, folder, "part")
+    return scan.pattern_set(*[scan.parse_patterns(part.select(lines.alias("value"))) for lines in (base, local)])
 
 
 @query("SELECT doc_id, doc_id % 4 = 0 AND strlen(text) < 8192 AS is_binary FROM documents")
