@@ -68,7 +68,7 @@ def test_windows_keep_all_rows_in_order():
 
 
 def test_many_equal_scores_in_one_window():
-    items = s.Items([np.array([0])], [np.array([7])], 1000, 1000, 1)
+    items = s.Items([0], [np.array([0])], [np.array([7])], 1000, 1000, 1)
     scorer = s.Scorer(items, k=3, window=256)
     for start in (0, 200):
         n = np.ones(200, np.int64)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, cut, pieces, signed, texts_of, words_of
 
 K = 20
-WINDOW = 1 << 15
+WINDOW = 1 << 13
 BUCKET = 64
 BLOCK_TERMS = 1_000_000
 #: Bytes that no term holds, once A-Z are lower-cased.
@@ -103,8 +103,9 @@ def parts_of_score(tf: np.ndarray, n: np.ndarray, documents: int, length: int) -
 
 @dataclass
 class Items:
-    """Per item: places of its distinct terms, and their weights times repeats."""
+    """Per item: its row's number, places of its distinct terms, and their weights times repeats."""
 
+    rows: list[int]
     terms: list[np.ndarray]
     weights: list[np.ndarray]
     documents: int
@@ -168,13 +169,13 @@ class Scorer:
         return some[np.lexsort((places[some], -scores[some]))][: self.k]
 
     def rows(self) -> Iterator[tuple[int, int, int | None]]:
-        for item, heap in enumerate(self.heaps):
+        for item, heap in zip(self.items.rows, self.heaps, strict=True):
             for score, _, doc_id in heap:
                 yield item, score, doc_id
 
 
 def _scored(rows: DataFrame, shared, k: int, window: int) -> DataFrame:
-    """Per task and item: _at (the item's place in the block), score and doc_id of its k best."""
+    """Per task and item: _row (the item's), score and doc_id of its k best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
@@ -186,13 +187,13 @@ def _scored(rows: DataFrame, shared, k: int, window: int) -> DataFrame:
             scorer.add(batch.column(0).to_pylist(), n, terms.flatten().to_numpy(), tfs.flatten().to_numpy().astype(np.int64), owner)
         found = list(scorer.rows()) if scorer else []
         if found:
-            at, score, ids = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(score, pa.int64()), pa.array(ids, pa.int64())], names=["_at", "score", "doc_id"])
+            row, score, ids = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(score, pa.int64()), pa.array(ids, pa.int64())], names=["_row", "score", "doc_id"])
 
     order = [F.col("_id").asc_nulls_last(), F.col("_salt").asc()]
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.where(F.size("_terms") > 0).withColumn("_salt", F.xxhash64("_n", "_terms", "_tfs")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return ranged.select("_id", "_n", "_terms", "_tfs").mapInArrow(run, "_at int, score long, doc_id long")
+    return ranged.select("_id", "_n", "_terms", "_tfs").mapInArrow(run, "_row long, score long, doc_id long")
 
 
 def _windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,6 @@ def _windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 def _block(docs: DataFrame, asked: DataFrame, scratch: Scratch, k: int, window: int, id_col: str, text_col: str) -> DataFrame | None:
     """_row, score and doc_id for the items of one block, k a task and item."""
     rows = asked.orderBy("_row").collect()  # bounded: a block
-    spark = docs.sparkSession
     if not rows:
         return None
     hashes = [np.array(r["_terms"], np.int64).view(np.uint64) for r in rows]
@@ -229,10 +229,8 @@ def _block(docs: DataFrame, asked: DataFrame, scratch: Scratch, k: int, window:
         distinct, repeats = np.unique(np.searchsorted(vocabulary, h), return_counts=True)
         terms.append(distinct)
         each.append(weights[distinct] * repeats)
-    items = Items(terms, each, documents, length, len(vocabulary))
-    found = _scored(own, scratch.share(items), k, window)
-    numbers = spark.createDataFrame([(at, r["_row"]) for at, r in enumerate(rows)], "_at int, _row long")
-    return found.join(F.broadcast(numbers), "_at").select("_row", "score", "doc_id")
+    items = Items([r["_row"] for r in rows], terms, each, documents, length, len(vocabulary))
+    return _scored(own, scratch.share(items), k, window)
 
 
 def search(docs: DataFrame, items: DataFrame, *, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_terms: int = BLOCK_TERMS) -> DataFrame:
