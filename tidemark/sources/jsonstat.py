@@ -1,7 +1,10 @@
 """JSON-stat cubes to long rows, by strides over the flat value array.
 
-All dimensions but two are taken at their first category. The grid of the two drives the join, so
-cells that a sparse cube leaves out come as nulls.
+``decode`` takes all dimensions but two at their first category. The grid of the two drives the
+join, so cells that a sparse cube leaves out come as nulls. ``decode_all`` gives all dimensions of
+the cells that are there: a cell's place, taken apart by the sizes (mixed radix), tells all its
+coordinates within the row, so nothing is joined and nothing shuffled; a table of many cubes, or
+of slices of one, is decoded where it lies.
 """
 
 from __future__ import annotations
@@ -61,3 +64,34 @@ def decode_positional(cubes: DataFrame) -> DataFrame:
     times = cubes.where(F.size("id") > 0).select("cube", F.explode(category).alias("period", "place"))
     cells = _cells(cubes).select("cube", F.col("at").cast("int").alias("place"), "value")
     return times.join(cells, ["cube", "place"]).select("cube", "period", "place", "value")
+
+
+def decode_all(cubes: DataFrame, dimensions: list[str] | None = None) -> DataFrame:
+    """cube, coordinates (dimension -> key), value of each cell with a value; with dimensions, a
+    column for each of these instead of the map. A category without an index takes the order of
+    its labels; a dimension that a cube lacks is null; places beyond the sizes aren't cells."""
+    category = lambda d: F.try_element_at("dimension", d)["category"]
+
+    def keys_of(d):
+        by_place = F.transform(F.map_entries(category(d)["index"]), lambda e: F.struct(e["value"].alias("at"), e["key"].alias("key")))
+        return F.coalesce(F.transform(F.sort_array(by_place), lambda e: e["key"]), F.map_keys(category(d)["label"]))
+
+    ones = F.array(F.lit(1).cast("long"))
+    # from the last dimension on: the product of the sizes behind, and of all at the end
+    strides = F.reverse(F.aggregate(F.reverse("size"), ones, lambda out, n: F.concat(out, F.array(F.element_at(out, -1) * n))))
+    dense, sparse = (F.try_variant_get("cells", "$", kind) for kind in ("array<double>", "map<string,double>"))
+    placed = F.coalesce(
+        F.transform(dense, lambda v, k: F.struct(k.cast("long").alias("at"), v.alias("value"))),
+        F.transform(F.map_entries(sparse), lambda e: F.struct(e["key"].try_cast("long").alias("at"), e["value"].alias("value"))),
+    )
+    known = cubes.where((F.size("id") == F.size("size")) & (F.size("id") > 0))
+    ready = known.select("cube", "id", "size", F.transform("id", keys_of).alias("keys"), strides.alias("strides"), placed.alias("placed"))
+    there = F.filter("placed", lambda c: c["value"].isNotNull() & (c["at"] < F.get("strides", F.lit(0))))
+    places = F.sequence(F.lit(0), F.size("id") - 1)
+    key_at = lambda at, k: F.get(F.get("keys", k), F.pmod(F.floor(at / F.get("strides", k + 1)), F.get("size", k)).cast("int"))
+    named = F.transform(there, lambda c: F.struct(F.transform(places, lambda k: key_at(c["at"], k)).alias("at"), c["value"].alias("value")))
+    each = ready.select("cube", "id", F.inline(named))
+    if dimensions is None:
+        return each.select("cube", F.map_from_arrays("id", "at").alias("coordinates"), "value")
+    place = lambda d: F.array_position("id", d).cast("int")
+    return each.select("cube", *[F.when(place(d) > 0, F.get("at", place(d) - 1)).alias(d) for d in dimensions], "value")
