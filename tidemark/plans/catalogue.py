@@ -579,7 +579,7 @@ def q_tracked_keys(spark, folder):
 
 @query()
 def q_rate_limiter(spark, folder):
-    """Three hits a day and user: acceptance is recursive, so there is no SQL for it."""
+    """Three hits a day and user: acceptance is recursive, and so is its SQL (plans.streams)."""
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     hits = _t(spark, folder, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), at.alias("ts_ms"))
     return limiter.limit_hits(hits, limit=3, window=86_400_000)
