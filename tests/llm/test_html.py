@@ -90,3 +90,28 @@ def test_time_grows_with_the_length():
         began = time.perf_counter()
         h.extract(piece * 20_000, W)
         assert time.perf_counter() - began < 0.5 + 40 * short, piece
+
+
+BY_READERS = "<div><b>Ann</b><p>I really liked this one, thank you for it.</p></div><div><b>Bob</b><p>Not sure I agree with any of it.</p></div>"
+LISTED = "<li><p>I really liked this one, thank you for it.</p></li><li><p>Not sure I agree.</p></li>"
+
+
+@pytest.mark.parametrize("body", [
+    f'<article><h1>Big news</h1>{STORY}</article><div class="post-comments"><h3>Two comments</h3>{BY_READERS}</div>',
+    f'<article><h1>Big news</h1>{STORY}</article><div id="disqus_thread">{BY_READERS}</div>',
+    f'<div class="content"><h1>Big news</h1>{STORY}<div class="comment-list">{BY_READERS}</div></div>',
+    f'<div class="content"><h1>Big news</h1>{STORY}<h3>Comments</h3><ul>{LISTED}</ul></div>',
+    f"<article><h1>Big news</h1>{STORY}</article><h3>Comments</h3><ul>{LISTED}</ul>",
+    f'<article><h1>Big news</h1>{STORY}</article><div class="related-posts"><h4>Related</h4><ul><li><a href=/a>Other story</a></li><li><a href=/b>Third story</a></li></ul></div>',
+    f'<article><h1>Big news</h1>{STORY}<div class="related-posts"><a href=/a>Other story here</a> <a href=/b>Third story</a></div></article>',
+    f'<article><h1>Big news</h1>{STORY}</article><p class="copyright">Copyright 2024 Example Media. All rights reserved.</p>',
+])
+def test_comments_related_and_copyright_go(body):
+    page = f"<html><head><title>x</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav>{body}</body></html>"
+    assert h.extract(page, W) == f"Big news {TOLD}"
+
+
+def test_quotes_open_a_value_only_after_an_equals_sign():
+    assert h.extract("<p title=it's>text</p><p>it's more</p>", W) == "text it's more"
+    assert h.extract("<p data-a='x>y' b = \"z>\" c'>one</p>", W) == "one"
+    assert h.extract('<p title="open>one</p><p>two</p>', W) == "one two"

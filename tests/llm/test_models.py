@@ -273,6 +273,27 @@ OTHERS = [
 ]
 
 
+@pytest.mark.parametrize("text,value", [
+    ("SECRET_KEY_FOR_THE_PRODUCTION_CLUSTER_X=abcdefghij", "abcdefghij"),
+    ('api_token_of_the_internal_billing_service_v2 = "qwertyuiop"', "qwertyuiop"),
+    ("https://user:pass1@host/x", "pass1"),
+    ("https://" + "u" * 90 + ":pass1@host/x", "pass1"),
+    ("npm_" + "abcdefghij" * 3 + "abcdef", "npm_" + "abcdefghij" * 3 + "abcdef"),
+    ("note: password: hunter2x", "hunter2x"),
+])
+def test_values_of_names_of_any_length(text, value):
+    assert [text[a:b] for a, b in secret_scan.candidates(text)] == [value]
+
+
+def test_candidates_in_linear_time():
+    import time
+
+    for piece in ("token", "secret_", "password:", "a://b:", "=x"):
+        began = time.perf_counter()
+        list(secret_scan.candidates(piece * 30_000))
+        assert time.perf_counter() - began < 3, piece
+
+
 def test_precision_and_recall_on_findings_written_by_hand(spark):
     docs = tables(spark)[0]
     words = secret_scan.dictionary(docs, "text")

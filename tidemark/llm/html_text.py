@@ -49,8 +49,9 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 #: An element is large if it holds this share of the page's words.
 LARGE = 0.4
 
+# quotes open a value only after an equals sign
 _TOKEN = re.compile(
-    r"<!--(?:.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S
+    r"<!--(?:.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?)(?:>|\Z)", re.S
 )
 _NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I | re.S)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -149,6 +150,20 @@ def read(source: str) -> Page:
     return page
 
 
+#: What headings say of the blocks under them, by the first of these words (fixed values).
+HEADINGS = {
+    "comments": "comments comment replies reply responses discussion".split(),
+    "side": "related recommended trending popular latest also".split(),
+    "form": "newsletter subscribe login".split(),
+    "share": "share follow".split(),
+}
+_TOPICS = {word: topic for topic, words in HEADINGS.items() for word in words}
+
+
+def _topic(heading: str) -> str:
+    return next((_TOPICS[w] for w in _LETTERS.findall(heading.lower()) if w in _TOPICS), "")
+
+
 def _shape(length: int, linked: int, last: str) -> list[str]:
     size = next(k for k, most in enumerate((3, 9, 24, 10**9)) if length <= most)
     stops = "stop" if last in ".!?…:;\"'”»)。！？" else "bare"
@@ -180,18 +195,29 @@ def features(page: Page, known: dict[str, int] | None = None) -> list[tuple[int,
         linked.append(e.name == "a" or (k > 0 and linked[e.parent]))
     shapes: dict[tuple, frozenset] = {}
     out, block = [], []
+    topic, upto = "", 0  # of the heading above, and where its element's parent ends
 
     def end_block() -> None:
+        nonlocal topic, upto
         if block:
+            first = block_of[page.inside[block[0]]]
+            if len(first) == 2 and first[0] == "h" and first[1].isdigit():
+                e = page.elements[page.inside[block[0]]]
+                while e.name != first:
+                    e = page.elements[e.parent]
+                topic, upto = _topic(" ".join(page.texts[t] for t in block)), page.elements[e.parent].end
+            elif block[0] >= upto:
+                topic = ""
             length = sum(counts[t] for t in block)
             last = next((page.texts[t].rstrip()[-1] for t in reversed(block) if counts[t]), "")
             links = sum(counts[t] for t in block if linked[page.inside[t]])
             for t in block:
                 if counts[t]:
                     what = _shape(length, links, last)
-                    key = (block_of[page.inside[t]], *what)
+                    key = (block_of[page.inside[t]], *what, topic)
                     if key not in shapes:
-                        shapes[key] = kept([*what, f"block:{key[0]}", f"block:{key[0]}:{what[0]}"])
+                        under = [f"under:{topic}", f"under:{topic}:{key[0]}"] if topic else []
+                        shapes[key] = kept([*what, f"block:{key[0]}", f"block:{key[0]}:{what[0]}", *under])
                     out.append((t, counts[t], places[page.inside[t]] | shapes[key]))
             block.clear()
 
@@ -300,7 +326,7 @@ CONTENT = "content article post entry story main body text article-body post-con
 NEUTRAL = "wrap target box page layout section guide row col inner with has site area block left right top".split()
 
 
-def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, bool]]]:
+def labelled_pages(n: int = 1000, seed: int = 5) -> list[list[tuple[str, bool]]]:
     """Pages as parts (source, whether its words are content), laid out in the ways that sites do:
     bars, notices, adverts and forms around, and at times within, an article. Names mislead at
     times, and at times nothing has a name."""
@@ -321,11 +347,15 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, bool]]]:
         return " ".join(out)
 
     def named(name: str) -> str:
-        key, form = random.choice(["class", "class", "id", "role"]), random.integers(4)
+        key, form = random.choice(["class", "class", "id", "role"]), random.integers(6)
         if form == 1:
             name = f"{name} {random.choice(NEUTRAL)}"
         elif form == 2:
             name = f"{random.choice(NEUTRAL)}-{name}"
+        elif form == 3:  # post-comments, article_footer
+            name = f"{random.choice(CONTENT[:8])}{random.choice(['-', '_'])}{name}"
+        elif form == 4:  # related-posts, comment-list, disqus_thread
+            name = f"{name}{random.choice(['-', '_'])}{random.choice(['posts', 'list', 'thread', 'area', 'items', 'section'])}"
         return f' {key}="{name}"'
 
     def links(low: int, high: int) -> list[str]:
@@ -352,7 +382,10 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, bool]]]:
 
     def comments() -> str:
         each = "".join(f"<div{named('comment')}><b>{word()}</b><p>{sentences(2, 40)}</p></div>" if random.random() < 0.5 else f"<li><p>{sentences(2, 40)}</p></li>" for _ in range(random.integers(1, 6)))
-        return boxed("comments", f"<h3>{words(1, 2)}</h3>{each}")
+        title = str(random.choice(["Comments", "{} comments", "Leave a reply", "Responses", "Join the discussion", "{}", "{}"])).replace("{}", words(1, 2))
+        if random.random() < 0.2:  # without a name of its own
+            return f"<h3>{random.choice(['Comments', '5 comments', 'Replies'])}</h3><{(tag := random.choice(['ul', 'ol', 'div']))}>{each}</{tag}>"
+        return boxed("comments", f"<h3>{title}</h3>{each}")
 
     def form() -> str:
         inner = f"<label>{words(1, 3)}</label><input name=q>{prose(1, 8)}"
@@ -360,7 +393,9 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, bool]]]:
 
     def foot() -> str:
         text = str(random.choice([f"&copy; {words(1, 4)}", words(2, 5).capitalize(), sentences(4, 40), f"&copy; 2020 {words(1, 5)} &middot; {sentences(2, 8)}"]))
-        form = random.integers(4)
+        form = random.integers(6)
+        if form > 3:
+            return f"<p{named(random.choice(AROUND['foot']))}>{text}</p>"
         return f"<footer>{text}</footer>" if form < 2 else f"<div>&copy; {words(2, 6)}</div>" if form == 2 else boxed("foot", text)
 
     def head() -> str:
@@ -368,7 +403,7 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, bool]]]:
         return f"<header>{body}</header>" if random.random() < 0.6 else boxed("head", body)
 
     def side() -> str:
-        body = prose() if random.random() < 0.5 else f"<h4>{words(1, 3)}</h4><ul>{''.join(f'<li>{x}</li>' for x in links(2, 7))}</ul>"
+        body = prose() if random.random() < 0.5 else f"<h4>{random.choice(['Related posts', 'You may also like', 'Most popular', words(1, 3), words(1, 3)])}</h4><ul>{''.join(f'<li>{x}</li>' for x in links(2, 7))}</ul>"
         return f"<aside>{body}</aside>" if random.random() < 0.3 else boxed("side", body)
 
     advert, notice = (lambda: boxed("ad", prose(2, 30))), (lambda: boxed("notice", prose(4, 40)))
@@ -399,7 +434,8 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, bool]]]:
         if form == 8:
             return f"<blockquote>{prose(3, 30)}</blockquote>"
         if form == 9:
-            return f"<h2>{words(1, 8).capitalize()}</h2><p>{sentences(2, 50)}</p>"
+            more = f" {random.choice(list(_TOPICS))}" if random.random() < 0.1 else ""
+            return f"<h2>{words(1, 8).capitalize()}{more}</h2><p>{sentences(2, 50)}</p>"
         if form == 10:
             return f"<pre>{words(2, 30)}</pre>" if random.random() < 0.4 else f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 9)}</td></tr></table>"
         return f"<div>{prose(2, 60)}</div>"
@@ -423,6 +459,8 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[list[tuple[str, bool]]]:
             page.append((block(), True))
             if random.random() < 0.12:
                 page.append((random.choice(within)(), False))
+        if random.random() < 0.1:  # what follows the text, within its element
+            page += [(f(), False) for f in ([comments], [share, comments], [side], [share], [side, comments])[random.integers(5)]]
         page.append((closed, True))
         page += [(random.choice(after)(), False) for _ in range(random.integers(0, 4))]
         if outer:

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, Words, mix, pieces, signed, texts_of, words_of
+from tidemark.llm.common import Scratch, Words, cut, mix, pieces, signed, texts_of, words_of
 
 SHINGLE = 4
 PERCENT = 85
@@ -669,7 +669,7 @@ def components(links: DataFrame, scratch: Scratch, links_a_task: int = LINKS_A_T
                 nodes, label = joined(np.concatenate(held, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], names=["_node", "_label"])
 
-        return scratch.keep(links.coalesce(1).mapInArrow(at_once, "_node long, _label long"), "labels")
+        return scratch.keep(links.repartition(1).mapInArrow(at_once, "_node long, _label long"), "labels")
     edges = scratch.keep(links.union(links.select("_b", "_a")).distinct().toDF("_node", "_to"), "links")
     labels = scratch.keep(edges.groupBy("_node").agg(F.least(F.col("_node"), F.min("_to")).alias("_label")), "labels")
     while True:
@@ -743,13 +743,13 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """_id, _node, _n, _set and _label of every row (_label: null for empty sets), written."""
-    scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    """_id, _node, _n, _set and _label of every row (_label: null for empty sets), computed."""
+    scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(_described(docs, id_col, text_col, shingle, percent), "rows")
     classes, labels = _links(docs, text_col, rows, shingle, percent, scratch)
     named = classes.select("_set", "_node").join(labels, "_node").select("_set", "_label")
     out = rows.select("_id", "_node", "_n", "_set").join(named, "_set", "left")
-    out = result.keep(out.select("_id", "_node", "_n", "_set", F.when(F.col("_n") > 0, F.coalesce("_label", "_set")).alias("_label")), "groups")
+    out = cut(out.select("_id", "_node", "_n", "_set", F.when(F.col("_n") > 0, F.coalesce("_label", "_set")).alias("_label")))
     scratch.drop()
     return out
 
@@ -773,7 +773,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     groups = named.join(chosen, "_label").select("_id", "_node", (row == F.col("_kept")).alias("_stays"))
     # per id and text of a group: whether it goes, and how often it stands there
     known = groups.groupBy("_id", "_node").agg(F.first("_stays").alias("_stays"), F.count("*").alias("_times")).where("NOT _stays OR _times > 1")
-    known = Scratch(docs.sparkSession).keep(known, "known")
+    known = cut(known)
     # rows as one value, so their columns can't clash
     rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col)).alias("_hash"))
     same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_node"))

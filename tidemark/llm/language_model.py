@@ -244,7 +244,8 @@ def train(rows: DataFrame, classes: Classes, counts: np.ndarray, n_rows: int) ->
         if _taught(batches, own, classes, 0.08, [SEED]):
             yield pa.RecordBatch.from_pydict({"_flat": [own.pack().tobytes()]})
 
-    few = rows.where(hash_share(F.col("_id"), START_DOCS, n_rows)).select("_text").coalesce(1)
+    # picked in all tasks; only the few meet in one, in an order of their own
+    few = rows.where(hash_share(F.col("_id"), START_DOCS, n_rows)).repartition(1).sortWithinPartitions("_id", F.xxhash64("_text")).select("_text")
     for (flat,) in few.mapInArrow(begin, "_flat binary").collect():  # one model
         model = model.unpack(np.frombuffer(flat, np.float32))
     start = model.pack()

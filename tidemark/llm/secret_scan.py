@@ -1,9 +1,11 @@
 """Secret scan: candidate strings, sorted into secrets and false positives by a random forest.
 
-Candidates are: the value after a key word and ``=`` or ``:`` (quoted, or up to white space;
-any characters, ``SHORTEST_VALUE`` at least); known forms of issued keys, signed tokens, passwords
-in addresses and key blocks, whatever their letters; and other unbroken runs of at least ``SHORTEST`` characters of keys and tokens with a digit or
-mixed case. Where they overlap, the first of these three kinds is taken. Each is described by its length, its transitions between kinds of characters, its
+Candidates are: the value after ``=`` or ``:`` and a name of any length with a key word in it
+(quoted, or up to white space; any characters, ``SHORTEST_VALUE`` at least); known forms of issued
+keys, signed tokens, passwords in addresses (of any length) and key blocks, whatever their letters;
+and other unbroken runs of at least ``SHORTEST`` characters of keys and tokens with a digit or
+mixed case, but for names that have a value. Where they overlap, the first of these three kinds is
+taken. Each is described by its length, its transitions between kinds of characters, its
 entropy, how much of it dictionary words cover, whether it stands in a path or address, and by
 the words beside it. The forest is Spark's; it is trained on labelled findings (candidates with
 a label). ``labelled_findings`` makes the findings used by default, from the forms in which keys
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, most_frequent
 
 SHORTEST = 12
-SHORTEST_VALUE = 6
+SHORTEST_VALUE = 4
 WORDS = 20_000
 TREES = 40
 DEPTH = 10
@@ -50,17 +52,16 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % SHORTEST)
 _LETTERS = re.compile(r"[A-Za-z]{3,}")
 # fixed values: words that stand beside secrets, and beside what is mistaken for them
 KEY_WORDS = tuple("password passwd pwd secret token key api apikey auth bearer credential private access aws client".split())
-_VALUE = re.compile(
-    r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|auth|bearer|credentials?|(?:private|access|secret)[_-]?key)[A-Za-z0-9_\-]{0,20}[\"']?\s{0,3}(?:=|:)\s{0,3}"
-    r"(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|((?![\"'])\S{%d,}))" % ((SHORTEST_VALUE,) * 3),
-    re.I,
-)
+# a name before = or :, of any length; its beginning is looked for once, so this is linear
+_NAME = re.compile(r"(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]+)[\"']?\s{0,3}[=:]\s{0,3}")
+_KEYED = re.compile(r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|auth|bearer|credential|(?:private|access|secret)[_-]?key", re.I)
+_VALUE = re.compile(r"(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|((?![\"'])\S{%d,}))" % ((SHORTEST_VALUE,) * 3))
 _UNBROKEN = re.compile(r"\S*")
 _SCHEME = re.compile(r"(?:bearer|basic|token)\s+(?=\S)", re.I)
 # fixed values: forms in which keys are issued
-_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32})(?![A-Za-z0-9])")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}")
-_ADDRESS = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{%d,})@" % SHORTEST_VALUE)
+_ADDRESS = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:([^\s/@]+)@")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z ]{0,40})-----[A-Za-z0-9+/=\s\\]{16,}-----END \1-----")
 OTHER_WORDS = tuple("sha sha1 sha256 md5 hash commit checksum digest etag uuid guid id version build revision integrity mail href src url file image".split())
 N_FEATURES = 25
@@ -69,7 +70,7 @@ N_FEATURES = 25
 #: What a text must hold for a pattern to match in it; looking for these is much cheaper.
 _NEEDED = {
     _BLOCK: ("-----BEGIN",), _SIGNED: ("eyJ",), _ADDRESS: ("://",),
-    _ISSUED: ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "xox", "AIza", "glpat-"),
+    _ISSUED: ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "xox", "AIza", "glpat-", "npm_", "hf_", "dop_v1_", "shpat_", "shpca_", "shppa_", "shpss_"),
 }
 _NAMED = ("passw", "pwd", "passphrase", "secret", "token", "api", "auth", "bearer", "credential", "private", "access")
 
@@ -82,7 +83,14 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of each candidate, in order and apart from one another."""
     taken: list[tuple[int, int]] = []
     folded = text.casefold() if "=" in text or ":" in text else ""
-    for m in _VALUE.finditer(text) if any(word in folded for word in _NAMED) else ():
+    names: list[tuple[int, int]] = []
+    upto = 0
+    for name in _NAME.finditer(text) if any(word in folded for word in _NAMED) else ():
+        # a name within a value is part of that value
+        if name.start() < upto or not _KEYED.search(name[1]) or not (m := _VALUE.match(text, name.end())):
+            continue
+        upto = m.end()
+        names.append(name.span(1))
         group = m.lastindex
         start, end = m.span(group)
         if group == 3:  # marks that end a sentence or list aren't part of it
@@ -98,6 +106,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         digits, lower, upper = (any(test(c) for c in s) for test in (str.isdigit, str.islower, str.isupper))
         if digits or (lower and upper and any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False))):
             plain.append(m.span())
+    starts = [a for a, _ in names]  # the value is a candidate, never the name
+    plain = [(a, b) for a, b in plain if not (k := bisect.bisect_left(starts, b)) or names[k - 1][1] <= a]
     forms = [m.span(m.lastindex if pattern is _ADDRESS else 0) for pattern in (_BLOCK, _SIGNED, _ISSUED, _ADDRESS) if any(part in text for part in _NEEDED[pattern]) for m in pattern.finditer(text)]
     for more in (_apart(forms), plain):
         taken = _apart(taken)
