@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,31 +16,29 @@ def cents(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
-def to_fixed(x: Column, digits: int) -> Column:
-    """The exact binary value rounded to digits, ties away from zero (1.005 gives 1.00)."""
-    unit = Decimal(1).scaleb(-digits)
-
-    @F.pandas_udf("double")
-    def rounded(values: pd.Series) -> pd.Series:
-        def one(v: float) -> float | None:
-            if v is None or v != v:
-                return None
-            return float(Decimal(v).quantize(unit, ROUND_HALF_UP)) if abs(v) < 1e21 else v
-
-        return values.map(one).astype(float)
-
-    return rounded(x.cast("double"))
+def _half_away(x: Column, digits: Column) -> Column:
+    """x, but values exactly between two neighbours of that many digits go to the next double away
+    from zero. Just those have one binary digit more than the digits: x * 2^(digits + 1) is odd."""
+    doubled = x * F.pow(F.lit(2.0), digits + 1)
+    tie = (doubled == F.floor(doubled)) & (F.abs(F.pmod(doubled, F.lit(2.0))) == 1.0)
+    return F.when((F.abs(x) < float(1 << 52)) & tie, x * (1 + 2.0**-52)).otherwise(x)
 
 
 def fixed_text(x: Column, digits: int | Column) -> Column:
-    """to_fixed as text, always with that many decimals and without grouping."""
-    units = [Decimal(1).scaleb(-d) for d in range(10)]
+    """The exact binary value rounded to digits as text, ties away from zero, always with that many
+    decimals and without grouping (1.005 gives 1.00). The JVM's own format rounds the exact value
+    too, but ties to even, so ties are moved first. The value is computed once: the lambda's
+    variable stands for it."""
+    places = digits if isinstance(digits, Column) else F.lit(digits)
+    value = F.struct(F.nanvl(x.cast("double"), F.lit(None).cast("double")).alias("x"), places.cast("int").alias("d"))
+    shown = lambda s: F.replace(F.call_function("format_number", _half_away(s["x"], s["d"]), s["d"]), F.lit(","), F.lit(""))
+    return F.get(F.transform(F.array(value), shown), F.lit(0))
 
-    @F.pandas_udf("string")
-    def shown(values: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None or v != v else f"{Decimal(v).quantize(units[d], ROUND_HALF_UP):f}" for v, d in zip(values, places, strict=True)], dtype=object)
 
-    return shown(x.cast("double"), digits if isinstance(digits, Column) else F.lit(digits))
+def to_fixed(x: Column, digits: int) -> Column:
+    """fixed_text as a number; from 1e21 on the value itself."""
+    value = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    return F.when(F.abs(value) < 1e21, fixed_text(value, digits).cast("double")).otherwise(value)
 
 
 def grouped(x: Column) -> Column:

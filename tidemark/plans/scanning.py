@@ -1,12 +1,13 @@
-"""Queries of text scanning with many patterns, and of occurrences in diffs."""
+"""Queries of text scanning with many patterns, of occurrences in diffs, and of word search."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import scan
+from tidemark.operators import scan, word_index
 from tidemark.plans.catalogue import _t, query
+from tidemark.storage import new_folder
 
 _WORDS = "words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark)"
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
@@ -52,3 +53,24 @@ counted AS (SELECT doc_id, unnest([{'pattern': 'the', 'n': (length(s) - length(r
 SELECT doc_id, c.pattern AS pattern, sum(c.n)::BIGINT AS count FROM counted GROUP BY ALL HAVING sum(c.n) > 0""")
 def q_history_counts(spark, folder):
     return scan.count_patterns(_diffs(spark, folder), [("the", False), ("-- ", False), ("An[a-z]", True)], "doc_id", diffs=True)
+
+
+# ---- words ----
+
+_HELD = "held AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(source || ' ' || text), '[\\p{L}\\p{N}]+')) AS w FROM documents)"
+
+
+def _index(spark, folder) -> DataFrame:
+    path = new_folder(spark, "words")
+    word_index.save(word_index.build(_t(spark, folder, "documents"), "doc_id", ["source", "text"]), path)
+    return word_index.load(spark, path)
+
+
+@query(f"WITH {_HELD} SELECT word, count(*) AS rows FROM (SELECT unnest(w) AS word FROM held) GROUP BY word")
+def q_word_frequencies(spark, folder):
+    return word_index.frequencies(_index(spark, folder))
+
+
+@query(f"WITH {_HELD} SELECT doc_id AS key FROM held WHERE list_contains(w, 'the') AND list_contains(w, 'src3') AND len(list_filter(w, lambda x: starts_with(x, 'thing'))) > 0")
+def q_word_search(spark, folder):
+    return word_index.search(_index(spark, folder), "THE thing* src3")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.catalogue import _cube, _t, query
-from tidemark.sources import cells, jsonstat, registry, registry_pages
+from tidemark.sources import cells, jsonstat, publish, registry, registry_pages, snapshots
 from tidemark.storage import new_folder
 
 
@@ -87,3 +87,28 @@ def _yearly_cubes(spark, folder) -> DataFrame:
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def q_cubes_of_many_dimensions(spark, folder):
     return jsonstat.decode_all(jsonstat.parse_cubes(_yearly_cubes(spark, folder)), ["status", "geo", "segment", "month"])
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 130")
+def q_registry_bounded(spark, folder):
+    """The first rows of a service, as its own order has them."""
+    return _parts(spark, folder, "p_partkey long, p_name string", limit="130")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS price FROM orders GROUP BY 1")
+def q_published_result(spark, folder):
+    """Published twice; the second run is what readers find."""
+    path, orders = new_folder(spark, "published"), _t(spark, folder, "orders")
+    publish.publish(orders.groupBy("o_orderstatus").count(), path, "economy-orders")
+    totals = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
+    publish.publish(totals, path, "economy-orders")
+    return publish.read(spark, path)
+
+
+@query("SELECT 'property-' || n_regionkey AS cache_key, n_name FROM nation WHERE n_regionkey = 2")
+def q_cached_result(spark, folder):
+    """A result for each region, kept under its key and read while it's fresh."""
+    path, nation = new_folder(spark, "results"), _t(spark, folder, "nation")
+    for region in (1, 2):
+        snapshots.write(nation.where(F.col("n_regionkey") == region).select("n_name"), path, f"property-{region}")
+    return snapshots.read_fresh(spark, path, "property-2").select("cache_key", "n_name")
