@@ -220,3 +220,54 @@ def test_clashing_columns_long_texts_and_repeated_rows(spark):
 
 def test_empty_tables_of_groups(spark):
     assert j.one_of_each(spark.createDataFrame([], "doc_id long, text string, _gone int")).count() == 0
+
+
+def chains(seed, groups=30, length=8):
+    """Texts of distinct words in chains: each differs from the one before by a few words, so ends
+    don't link with one another, nor all with one leader."""
+    chance, out = random.Random(seed), []
+    for g in range(groups):
+        own = [f"g{g}w{k}" for k in range(60)]
+        for step in range(length):
+            out.append((len(out), " ".join(own)))
+            own = own[:]
+            for k in range(chance.randrange(1, 6)):
+                own[chance.randrange(60)] = f"g{g}s{step}n{k}"
+    return out
+
+
+def test_derived_answers_decide(spark, monkeypatch):
+    docs, asked = chains(3), []
+    real = j._verified
+
+    def counted(pairs, *rest):
+        asked.append((pairs.count(), rest[5].count() if len(rest) > 5 and rest[5] is not None else None))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(j, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in j.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shingle=1).collect()}
+    sets = [set(t.split()) for _, t in docs]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = {min(group): group for group in joined_by(links, list(range(len(docs))))}
+    assert got == {k: low for low, group in want.items() for k in group}
+    # after the leaders' round, changes from a leader decide the pairs, not whole sets
+    by_change, whole = sum(c or 0 for _, c in asked[1:]), sum(p for p, _ in asked[1:])
+    assert by_change > 10 and by_change > whole, asked
+
+
+def test_changes_give_exact_overlaps(spark):
+    docs = chains(5, groups=6)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    scratch = j.Scratch(spark)
+    nodes = {r.doc_id: r.node for r in frame.selectExpr("doc_id", "xxhash64(text) AS node").collect()}
+    pairs = [(a, b) for a in range(len(docs)) for b in range(len(docs)) if a != b and a // 8 == b // 8]
+    frame_of = lambda rows: spark.createDataFrame([(nodes[a], nodes[b]) for a, b in rows], "_a long, _b long")
+    first = j._verified(frame_of([(a, b) for a, b in pairs if b % 8 == 2]), frame, "text", 1, 85, scratch)
+    sizes = spark.createDataFrame([(nodes[k], len(set(t.split()))) for k, t in docs], "_node long, _n int")
+    changes = scratch.keep(j._changes(frame_of([p for p in pairs if p[0] < p[1]]), first, sizes))
+    found = {(r._a, r._b): (r._both, r._d, r._linked) for r in j._verified(frame_of([]), frame, "text", 1, 85, scratch, changes).collect()}
+    sets, back = {nodes[k]: set(t.split()) for k, t in docs}, {v: k for k, v in nodes.items()}
+    assert len(found) > 60 and all(back[a] // 8 == back[b] // 8 for a, b in found)
+    for (a, b), answer in found.items():
+        both = len(sets[a] & sets[b])
+        assert answer == (both, len(sets[a] ^ sets[b]), 100 * both >= 85 * len(sets[a] | sets[b]))

@@ -15,10 +15,13 @@ its set that can stand in a prefix: the shingles of the lowest share of all hash
    i, j can share min(size - position) shingles at most; lists are kept in blocks, and a block
    whose best entry can't reach the needed overlap is passed over.
 3. Answer-level skipping: each list's leader (the set with least rare shingles) is joined first,
-   and the exact distances of these pairs are kept. A set that links with a leader takes over its
-   component. For pairs of different components the leader's answers are adjusted by the known
-   difference: with x near its leader L, the distance of x and y lies between
-   |d(L, y) - d(L, x)| and d(L, y) + d(L, x), and what these bounds decide is not compared again.
+   and the exact overlaps of these pairs are kept, with what a linked set has more and less than
+   its leader. A set that links with a leader takes over its component. For pairs of different
+   components the leader's answers are derived further: with x near its leader L, the distance of
+   x and y lies between |d(L, y) - d(L, x)| and d(L, y) + d(L, x); what these bounds leave open
+   gets its exact overlap from L's, by the change from L to x alone: add the shingles that x has
+   more and y has too, take off those that x lacks and y has. A leader meets y once for all that
+   follow it. Only pairs of which neither has a leader are compared as whole sets themselves.
    Before that, each list names only the pairs that would join all its near components, nearest
    first (a forest, at most one pair an entry); a list is looked at in full only if one of these
    pairs does not link and its ends stay apart.
@@ -607,12 +610,28 @@ def _pairs_across(classes: DataFrame, percent: int, scratch: Scratch, tile: int
 # ---- answers ----
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (_a, _b) with the exact distance of their sets, and whether they link. Only the
-    texts that are asked for are cut into shingles again."""
+def _inside(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which keys are in own (sorted)."""
+    return own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys if len(own) else np.zeros(len(keys), bool)
+
+
+ANSWER = "_a long, _b long, _d long, _both long, _linked boolean, _plus binary, _minus binary"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent: int, scratch: Scratch, changes: DataFrame | None = None) -> DataFrame:
+    """The pairs (_a, _b) with the exact distance _d and overlap _both of their sets, whether they
+    link, and for those that do what _a has that _b hasn't (_plus) and the other way (_minus).
+    changes: pairs whose overlap comes from their leader's (as _changes gives them); a leader meets
+    each _b once, whatever the number of its followers. Only the texts that are asked for are cut
+    into shingles again."""
+    pairs = pairs.select("_a", "_b")
+    nodes = pairs
+    if changes is not None:
+        pairs = scratch.keep(pairs.union(changes.where("_base IS NULL").select("_leader", "_b")).distinct())
+        nodes = pairs.union(changes.select("_b", "_b"))
     # sixteen slots a set; where the bitmap's bound is too small, more texts are cut than asked for
-    bits = max(16, min(OWNER_BITS, (32 * pairs.count()).bit_length()))
-    wanted = scratch.share(tables_of(pairs.select("_a", "_b"), lambda b, _: (np.unique(np.concatenate([c.to_numpy() for c in b.columns])), None), 1, 12, bits))
+    bits = max(16, min(OWNER_BITS, (32 * nodes.count()).bit_length()))
+    wanted = scratch.share(tables_of(nodes, lambda b, _: (np.unique(np.concatenate([c.to_numpy() for c in b.columns])), None), 1, 12, bits))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -626,19 +645,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart = np.zeros(len(batch), np.int64)
-            both = np.zeros(len(batch), np.int64)
+            apart, both = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            plus, minus = [None] * len(batch), [None] * len(batch)
             left, right = (unpacked(batch.column(c)) for c in ("_blob_a", "_blob_b"))
             for k in range(len(batch)):
                 p, q = (s.keys[s.first[k] : s.first[k + 1]] for s in (left, right))
-                common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()) if len(p) else 0
-                both[k], apart[k] = common, len(p) + len(q) - 2 * common
-            yield pa.RecordBatch.from_arrays([*batch.select(["_a", "_b"]).columns, pa.array(apart), pa.array(100 * both >= percent * (both + apart))], names=["_a", "_b", "_d", "_linked"])
+                common = _inside(q, p)
+                both[k], apart[k] = common.sum(), len(p) + len(q) - 2 * common.sum()
+                if 100 * both[k] >= percent * (both[k] + apart[k]):
+                    plus[k], minus[k] = p[~_inside(p, q)].tobytes(), q[~common].tobytes()
+            yield answers(batch, apart, both, plus, minus)
+
+    def answers(batch: pa.RecordBatch, apart: np.ndarray, both: np.ndarray, plus: list, minus: list) -> pa.RecordBatch:
+        linked = pa.array(100 * both >= percent * (both + apart))
+        columns = [pa.array(apart), pa.array(both), linked, pa.array(plus, pa.binary()), pa.array(minus, pa.binary())]
+        return pa.RecordBatch.from_arrays([*batch.select(["_a", "_b"]).columns, *columns], names=["_a", "_b", "_d", "_both", "_linked", "_plus", "_minus"])
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column("_base").to_numpy().astype(np.int64)
+            size, other = batch.column("_n_a").to_numpy().astype(np.int64), unpacked(batch.column("_blob_b"))
+            for k, (plus, minus) in enumerate(zip(batch.column("_plus"), batch.column("_minus"), strict=True)):
+                own = other.keys[other.first[k] : other.first[k + 1]]
+                more, less = (np.frombuffer(x.as_buffer(), np.int64) for x in (plus, minus))
+                both[k] += _inside(more, own).sum() - _inside(less, own).sum()
+            none = [None] * len(batch)
+            yield answers(batch, size + other.sizes - 2 * both, both, none, none)
 
     blobs = _texts(docs, text_col).mapInArrow(sets_of, "_node long, _blob binary")
     blobs = scratch.keep(blobs.groupBy("_node").agg(F.first("_blob").alias("_blob")), "sets")
     a, b = (blobs.select(F.col("_node").alias(f"_{x}"), F.col("_blob").alias(f"_blob_{x}")) for x in "ab")
-    found = scratch.keep(pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_blob_a", "_blob_b").mapInArrow(compare, "_a long, _b long, _d long, _linked boolean"))
+    found = scratch.keep(pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_blob_a", "_blob_b").mapInArrow(compare, ANSWER))
+    if changes is not None:
+        of_leader = found.select(F.col("_a").alias("_leader"), "_b", "_both")
+        based = changes.join(of_leader, ["_leader", "_b"], "left").withColumn("_base", F.coalesce("_base", "_both"))
+        found = scratch.keep(found.union(based.join(b, "_b").select("_a", "_b", "_n_a", "_base", "_plus", "_minus", "_blob_b").mapInArrow(change, ANSWER)))
     scratch.forget()
     return found
 
@@ -697,6 +738,33 @@ def _derived(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: in
     return both.select("_a", "_b", known.alias("_known")).where("_known IS NOT NULL")
 
 
+def _changes(pairs: DataFrame, answers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of the pairs, in either order, those where _a links with a leader, once each and by the
+    nearest leader: _n_a, _leader, _base (the leader's overlap with _b; null where it isn't known
+    yet), and what _a has more (_plus) and less (_minus) than the leader. With these
+    |a and b| = _base + |_plus and b| - |_minus and b|, exactly."""
+    linked = answers.where("_linked").select("_a", F.col("_b").alias("_leader"), F.col("_d").alias("_near"), "_plus", "_minus")
+    home = linked.groupBy("_a").agg(F.min_by(F.struct("_leader", "_near", "_plus", "_minus"), F.struct("_near", "_leader")).alias("_home")).select("_a", "_home.*")
+    other = answers.groupBy(F.col("_a").alias("_b"), F.col("_b").alias("_leader")).agg(F.max("_both").alias("_base"))
+    both = pairs.select("_a", "_b").union(pairs.select("_b", "_a"))
+    met = both.join(home, "_a").where("_leader <> _b").join(other, ["_b", "_leader"], "left").join(sizes.select(F.col("_node").alias("_a"), F.col("_n").alias("_n_a")), "_a")
+    row = F.struct(F.col("_base").isNull().alias("_open"), "_near", "_a", "_b", "_n_a", "_leader", "_base", "_plus", "_minus")
+    return met.groupBy(F.least("_a", "_b"), F.greatest("_a", "_b")).agg(F.min(row).alias("_row")).select("_row.*").drop("_near", "_open")
+
+
+def _answered(asked: DataFrame, first: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """_a, _b and _linked of all asked pairs: by the bounds that leaders' answers give, else by a
+    leader's answer and the change from the leader, else by whole sets."""
+    back = asked.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))
+    bounded = _derived(asked, first, classes, percent).union(_derived(back, first, classes, percent).select("_b", "_a", "_known"))
+    bounded = scratch.keep(bounded.groupBy("_a", "_b").agg(F.max("_known").alias("_linked")))
+    left = asked.join(bounded, ["_a", "_b"], "left_anti")
+    changes = scratch.keep(_changes(left, first, classes))
+    plain = scratch.keep(left.join(changes.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")), ["_a", "_b"], "left_anti"))
+    found = _verified(plain, docs, text_col, n, percent, scratch, changes)
+    return bounded.union(found.select(F.least("_a", "_b"), F.greatest("_a", "_b"), "_linked"))
+
+
 def _links(docs: DataFrame, text_col: str, rows: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The classes that share a first shingle with another, and _node and _label of those that
     link with another."""
@@ -715,7 +783,7 @@ def _links(docs: DataFrame, text_col: str, rows: DataFrame, n: int, percent: int
     if trees.isEmpty():
         return classes, labels
     asked = scratch.keep(trees.select("_a", "_b").distinct().join(answered, ["_a", "_b"], "left_anti"))
-    checked = _verified(asked, docs, text_col, n, percent, scratch)
+    checked = _answered(asked, first, classes, docs, text_col, n, percent, scratch)
     links = scratch.keep(links.union(checked.where("_linked").select("_a", "_b")))
     labels = components(links, scratch)
     # lists with a pair that did not link, and whose ends are still apart, are looked at in full
@@ -725,10 +793,7 @@ def _links(docs: DataFrame, text_col: str, rows: DataFrame, n: int, percent: int
     rest = _pairs_across(_named(classes, labels), percent, scratch, keys=failed).select("_a", "_b").distinct()
     answered = answered.union(checked.select("_a", "_b", "_linked"))
     rest = scratch.keep(rest.join(answered, ["_a", "_b"], "left_anti"))
-    back = rest.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))
-    known = scratch.keep(_derived(rest, first, classes, percent).union(_derived(back, first, classes, percent).select("_b", "_a", "_known")))
-    rest = scratch.keep(rest.join(known, ["_a", "_b"], "left_anti"))
-    more = known.where("_known").select("_a", "_b").union(_verified(rest, docs, text_col, n, percent, scratch).where("_linked").select("_a", "_b"))
+    more = _answered(rest, first, classes, docs, text_col, n, percent, scratch).where("_linked").select("_a", "_b")
     return classes, labels if more.isEmpty() else components(links.union(more), scratch)
 
 
