@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import scanning, services, streams  # noqa: F401
+from tidemark.plans import banding, scanning, services, streams  # noqa: F401
 from tidemark.plans.catalogue import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"

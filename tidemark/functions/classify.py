@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.ladders import Ladder
+
 # fixed values: upper ends of weather codes, and single codes with their short names
 WEATHER_BANDS = [(2, "Partly cloudy"), (3, "Overcast"), (49, "Foggy"), (59, "Drizzle"), (69, "Rain"), (79, "Snow"), (82, "Rain showers"), (86, "Snow showers"), (99, "Thunderstorm")]
 WEATHER_CODES = {0: "clear sky", 1: "mainly clear", 2: "partly cloudy", 3: "overcast", 45: "foggy", 51: "drizzle", 61: "rain", 71: "snow", 80: "rain showers", 95: "thunderstorm"}
 SEA_BANDS = [(0.1, "calm"), (0.5, "slight"), (1.25, "moderate"), (2.5, "rough")]
+AIR_BANDS = [(50, "good"), (100, "moderate")]
 COMPASS = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
 
 
 def banded(x: Column, bands: list[tuple[float, str]], above: str, inclusive: bool = True) -> Column:
     """The first band whose upper end reaches x."""
-    out = F.when(F.lit(False), "")
-    for end, name in bands:
-        out = out.when(x <= end if inclusive else x < end, name)
-    return F.when(x.isNotNull(), out.otherwise(above))
+    return Ladder.upto(bands, above, inclusive).of(x)
 
 
 def describe_weather(code: Column) -> Column:
@@ -30,7 +30,7 @@ def describe_weather_short(code: Column) -> Column:
 
 
 def air_quality(aqi: Column) -> Column:
-    return F.when(aqi > 100, "unhealthy").when(aqi > 50, "moderate").otherwise("good")
+    return F.coalesce(banded(aqi, AIR_BANDS, "unhealthy"), F.lit("good"))
 
 
 def sea_state(wave_height: Column) -> Column:

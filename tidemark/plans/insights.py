@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.classify import air_quality, describe_weather_short
+from tidemark.functions.classify import AIR_BANDS, air_quality, describe_weather_short
+from tidemark.functions.ladders import Ladder, first_label
 from tidemark.functions.numbers import fixed_text
 from tidemark.operators.unions import tagged
 
@@ -32,25 +33,36 @@ class Thresholds:
     storm: float = 80
 
 
+def below(end: float, label: str) -> Ladder:
+    return Ladder([(end, False, label)])
+
+
+def above(end: float, label: str) -> Ladder:
+    return Ladder([(end, True, None), (None, True, label)])
+
+
+def outside(low: float, high: float, label: str) -> Ladder:
+    return Ladder([(low, False, label), (high, True, None), (None, True, label)])
+
+
 def _insight(rank: int, headline: Column, description: Column, level: Column, category: str) -> list[Column]:
     return [F.lit(rank).alias("rank"), headline.alias("headline"), description.alias("description"), level.alias("level"), F.lit(category).alias("category")]
 
 
 def price_level(current: Column, highest: Column, t: Thresholds = Thresholds()) -> Column:
-    return F.when(current < 0, "significant").when(highest > t.price_spike, "significant").otherwise("routine")
+    return first_label([(current, below(0, "significant")), (highest, above(t.price_spike, "significant"))], "routine")
 
 
 def rate_level(rate: Column, t: Thresholds = Thresholds()) -> Column:
-    return F.when((rate > t.rate_high) | (rate < t.rate_low), "notable").otherwise("routine")
+    return first_label([(rate, outside(t.rate_low, t.rate_high, "notable"))], "routine")
 
 
 def air_level(aqi: Column) -> Column:
-    status = air_quality(aqi)
-    return F.when(status == "good", "routine").when(status == "moderate", "notable").otherwise("significant")
+    return F.coalesce(Ladder.upto(zip((end for end, _ in AIR_BANDS), ("routine", "notable")), "significant").of(aqi), F.lit("routine"))
 
 
 def weather_level(temperature: Column, wind: Column, t: Thresholds = Thresholds()) -> Column:
-    return F.when((temperature < t.cold) | (temperature > t.extreme_heat) | (wind > t.storm), "significant").otherwise("routine")
+    return first_label([(temperature, outside(t.cold, t.extreme_heat, "significant")), (wind, above(t.storm, "significant"))], "routine")
 
 
 def price_summary(prices: DataFrame, hour: int) -> DataFrame:
@@ -99,14 +111,14 @@ def _told(texts: dict[str, tuple[str, str]], which: Column, values: dict[str, Co
 
 def electricity(day: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """From one row of current, avg, min and max."""
-    case = F.when(F.col("current") < 0, "negative").when(F.col("max") > t.price_spike, "spike").when(F.col("avg") < t.price_low, "low").otherwise("normal")
+    case = first_label([(F.col("current"), below(0, "negative")), (F.col("max"), above(t.price_spike, "spike")), (F.col("avg"), below(t.price_low, "low"))], "normal")
     values = {k: fixed_text(F.col(k), 2 if k == "current" else 0) for k in ("current", "avg", "min", "max")}
     return day.select(*_insight(1, *_told(ELECTRICITY, case, values), price_level(F.col("current"), F.col("max"), t), "economy"))
 
 
 def exchange(rates: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     rate = F.col("rate")
-    case = F.when(rate > t.rate_strong, "strong").when(rate < t.rate_weak, "weak").otherwise("normal")
+    case = first_label([(rate, Ladder([(t.rate_weak, False, "weak"), (t.rate_strong, True, None), (None, True, "strong")]))], "normal")
     return rates.where("currency = 'USD'").select(*_insight(2, *_told(EXCHANGE, case, {"rate": fixed_text(rate, 4)}), rate_level(rate, t), "economy"))
 
 
@@ -119,7 +131,7 @@ def air(observed: DataFrame) -> DataFrame:
 def weather(observed: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """From a row of city, temperature, wind_speed and weather_code."""
     temperature = F.col("temperature")
-    case = F.when(temperature < t.cold, "cold").when(temperature < t.frost, "frost").when(temperature > t.heat, "heat").otherwise("normal")
+    case = first_label([(temperature, Ladder([(t.cold, False, "cold"), (t.frost, False, "frost"), (t.heat, True, None), (None, True, "heat")]))], "normal")
     values = {"city": F.col("city"), "temperature": fixed_text(temperature, 0), "sky": describe_weather_short(F.col("weather_code")), "wind": fixed_text(F.col("wind_speed"), 0)}
     return observed.select(*_insight(4, *_told(WEATHER, case, values), weather_level(temperature, F.col("wind_speed"), t), "environment"))
 
