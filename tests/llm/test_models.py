@@ -101,6 +101,8 @@ def test_marks_quote_only_in_pairs():
     matcher = toxicity.Matcher({"idiot": 3.0})
     abuse = ['"Hello there" you are an idiot "bye now"', "he said you idiot", "“Hi” idiot “no”", 'you idiot " and so on', '"' + "kaver " * 60 + 'idiot" he', "idiot"]
     cited = ['"you are an idiot" was heard', "he wrote “idiot” on it", "das Wort „idiot“ fiel", "le mot « idiot » est", 'somebody said idiot again', 'they called him idiot', '"a" "idiot" "b"', '("idiot")']
+    abuse += ["don't, it's what you're: an idiot, isn't it", "the dogs' idiot’s idiot", "»Hallo« du idiot »gut«", "‘hi’ you idiot ‘bye’", "rock 'n' idiot 'n' roll"]
+    cited += ["das Wort »idiot« fiel", "(»du idiot«)", "er rief: »idiot!« laut", "le mot «idiot» est", "the word 'idiot' is rude", "the word ‘don’t, idiot’ is rude", "das Wort ‚idiot‘ fiel", "das Wort ›idiot‹ fiel", "“what 'a' idiot” fell", "the 'idiot \"so called\"' fell"]
     for text in abuse:
         assert toxicity.evidence(matcher, text)[1] > 0 == toxicity.evidence(matcher, text)[5], text
     for text in cited:

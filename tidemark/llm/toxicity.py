@@ -7,7 +7,8 @@ no term can match. Terms of ``FUZZY`` letters and more may be one edit away; nea
 clean labelled texts use are excepted.
 
 A hit's strength is its term's log-odds, halved for an edit. Hits between an opening quotation
-mark and the one that closes it, at most ``QUOTED`` words on, and hits right after a word of
+mark and the one that closes it, at most ``QUOTED`` words on (straight and round ones, single and
+double, angles turned either way; an apostrophe within a word is no mark), and hits right after a word of
 reporting (with one other word between at most, which doesn't address anyone) count as quotation
 and are summed apart from the rest. A logistic model weighs these sums.
 
@@ -48,32 +49,60 @@ HELD_OUT = 2
 KEPT = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MARK = re.compile("[\"“”„«»‹›]")
-#: Marks that open or close whatever stands beside them; a straight one and ” by what does.
-_OPENS, _CLOSES = frozenset("„«‹"), frozenset("»›")
+_MARK = re.compile("[\"“”„«»‹›'‘’‚]")
+_SINGLE, _ANGLES = frozenset("'‘’‚"), frozenset("«»‹›")
 # fixed values: words that report speech, and words that address someone
 REPORTING = frozenset("said says quoted quote quotes wrote writes called calls word term dit dijo sagte citation cita zitat".split())
 
 ADDRESSING = frozenset("you your youre u ya du dein deine ihr euch tu te ti tú vous toi votre usted ustedes vosotros".split())
 
 
+def _turn(mark: str, before: str, after: str) -> int:
+    """1 where the mark opens, -1 where it closes, 0 for an apostrophe. Which way one points is told
+    by what stands beside it, for languages differ in that: a mark that clings to a word on one side
+    alone opens before it and closes after it. Where that says nothing (as with blanks on both
+    sides), the usual way of the mark holds."""
+    ended = before.isalnum() or before in ".,!?;:…"
+    if mark in "„‚":
+        return 1
+    if mark in _SINGLE:
+        if ended or (before in "\"”“«»" and not after.isalnum()):
+            return 0 if after.isalnum() else -1
+        return 1 if mark != "’" and after.isalnum() else 0
+    if mark in _ANGLES:
+        if mark in "»›":
+            return 1 if after.isalnum() and not ended else -1
+        return -1 if ended and not after.isalnum() else 1
+    return 1 if not before.isalnum() and not after.isspace() and before not in ".,!?;:" else -1
+
+
 def quoted_spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of each stretch between an opening quotation mark and the next closing one.
-    A mark that may do either opens before a word and closes after one."""
-    spans, opened = [], None
+    """Start and end of each stretch between an opening quotation mark and the next closing one, in
+    order of their ends; single marks pair among themselves, within or without other ones."""
+    spans, opened = [], [None, None]
     for m in _MARK.finditer(text):
         at, mark = m.start(), m[0]
-        before = text[at - 1] if at else " "
-        after = text[at + 1] if at + 1 < len(text) else " "
-        opens = mark in _OPENS or (mark not in _CLOSES and not before.isalnum() and not after.isspace() and before not in ".,!?;:")
-        if opens and (opened is None or mark not in _CLOSES):
-            opened = at
-        elif not opens and opened is not None:
-            spans.append((opened, at))
-            opened = None
+        turn = _turn(mark, text[at - 1] if at else " ", text[at + 1] if at + 1 < len(text) else " ")
+        kind = mark in _SINGLE
+        if turn > 0:
+            opened[kind] = at
+        elif turn < 0 and opened[kind] is not None:
+            spans.append((opened[kind], at))
+            opened[kind] = None
     return spans
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as stretches that don't meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Matcher:
     """Words to the strongest term within reach. terms: term or ``stem*`` to log-odds."""
 
@@ -162,7 +191,7 @@ def citation(lowered: str, words: list[str]) -> Callable[[int], bool]:
     if _MARK.search(lowered):
         at = [m.start() for m in _WORD.finditer(lowered)]
         # stretches between marks, as words; one that goes on for long doesn't quote a word
-        spans = [(a, b) for a, b in (np.searchsorted(at, span).tolist() for span in quoted_spans(lowered)) if b - a <= QUOTED]
+        spans = _joined([(a, b) for a, b in (np.searchsorted(at, span).tolist() for span in quoted_spans(lowered)) if b - a <= QUOTED])
     ends = [b for _, b in spans]
 
     def cited(k: int) -> bool:
