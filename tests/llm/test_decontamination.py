@@ -45,6 +45,18 @@ def test_against_brute_force(spark, limit):
     assert got == expected(docs, items)
 
 
+@pytest.mark.parametrize(("most", "broadcast"), [(d.BROADCAST_BYTES, True), (100_000, False)])
+def test_few_windows_of_very_long_words(spark, monkeypatch, most, broadcast):
+    monkeypatch.setattr(d, "BROADCAST_BYTES", most)
+    long = "é" * 200_000
+    docs, items = [(1, f"a {long} b", "x"), (2, long[:-1], "x"), (3, "b c", "x"), (4, None, "x")], [(0, long), (1, "c")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string, _key string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, d.contamination(frame, bench).collect()), key=str) == expected(docs, items)
+    known = d._window_ids(d.windows_of(bench, "item_id", "text", d.WINDOW))
+    plan = d.matches(frame, known, "doc_id", "text", d.BROADCAST_WINDOWS)._jdf.queryExecution().toString()
+    assert ("strategy=broadcast" in plan) == broadcast
+
+
 def test_removal(spark):
     docs, items = data()
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string, _key string"), spark.createDataFrame(items, "item_id long, text string")

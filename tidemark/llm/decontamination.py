@@ -6,8 +6,9 @@ document is hashed over as many words, looked up among the hashed windows, and e
 verified against the window's words.
 
 Each word is hashed once; a window's hash is that of its words' hashes. The windows are broadcast
-only if their counted number is at most ``broadcast_windows``; beyond that places meet windows by
-a shuffle on the hash, and only documents with a meeting are compared word by word; the result is
+only if their counted number is at most ``broadcast_windows`` and their words' bytes are at most
+``BROADCAST_BYTES`` (a word may be of any length); beyond that places meet windows by a shuffle on
+the hash, and only documents with a meeting are compared word by word; the result is
 the same.
 
 Cases: a null text has no words; equal rows get equal results; a benchmark row with a null id
@@ -24,6 +25,7 @@ from tidemark.llm.common import ascii_lower, cut
 
 WINDOW = 13
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -74,7 +76,7 @@ def matches(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, broad
     """Two kinds of rows from one look at the texts: one for each document, with its n_words and
     _nth null, and one for each window at each place: _id, _text (hash of the text), _at, _len,
     _hash, _nth. known: the distinct windows."""
-    n, lengths = known.agg(F.count("*"), F.sort_array(F.collect_set("_len"))).first()
+    n, size_of_words, lengths = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_words")), F.lit(0)), F.sort_array(F.collect_set("_len"))).first()
     text = F.col(text_col)
     split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), tokens(text).alias("_all"))
     # outer: a document without words has its row too, and no filter is derived that would split texts again
@@ -89,7 +91,7 @@ def matches(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, broad
     same = _said(here, F.col("_len")) == F.col("_words")
     document = F.col("_one") & ((here == 0) | here.isNull())
     out = ["_id", "_text", "n_words", "_at", "_len", "_hash", "_nth"]
-    if n <= broadcast_windows:
+    if n <= broadcast_windows and size_of_words <= BROADCAST_BYTES:
         # one long as the key; the length is part of the hash, and of the verified words
         met = hashed.join(F.broadcast(known), (F.col("_key") == F.col("_hash")) & same, "left")
         met = met.where(document | F.col("_nth").isNotNull())
