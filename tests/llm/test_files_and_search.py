@@ -28,6 +28,32 @@ def test_blanks_of_any_form():
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == whole.ids, repr(text)
 
 
+def test_a_repeated_piece_is_looked_up_once():
+    class Counted(dict):
+        gets = 0
+
+        def get(self, *key):
+            self.gets += 1
+            return super().get(*key)
+
+    encoder, library = token_files.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    encoder.memo, text = Counted(), "One word, one word.\n" * 1000
+    assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 0 < encoder.memo.gets < 20
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_blocks_of_texts(size, monkeypatch):
+    """Texts that can be cut and texts that can't side by side, in blocks of any size."""
+    monkeypatch.setattr("tidemark.llm.common.PIECE", size)
+    encoder, library, chance = token_files.Encoder(tokenizer_path(), kept=50), Tokenizer.from_file(tokenizer_path()), random.Random(7)
+    odd = [*ODD, "\0", "a\0b", "a 😀 b", "😀", " ", "\n", "ÿ×÷ø ɏ", "x " * 90, "q" * 90, "\u4141\u3c3c"]
+    texts = [chance.choice(odd) + chance.choice(["", *odd]) for _ in range(2000)] + ["", ""]
+    expected = [[*whole.ids, token_files.END] for whole in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode_all(texts)] == expected
+    assert list(encoder.encode_all([])) == []
+
+
 def test_shards_roll_at_a_size(spark, tmp_path):
     frame = spark.createDataFrame([(k, f"word{k} " * 30 + ("<|endoftext|>" if k % 5 == 0 else "")) for k in range(80)], "doc_id long, text string")
     folders = [str(tmp_path / name) for name in ("one", "many")]
