@@ -271,3 +271,33 @@ def test_changes_give_exact_overlaps(spark):
     for (a, b), answer in found.items():
         both = len(sets[a] & sets[b])
         assert answer == (both, len(sets[a] ^ sets[b]), 100 * both >= 85 * len(sets[a] | sets[b]))
+
+
+def test_rows_with_texts_or_sets_go_in_small_batches(spark, monkeypatch):
+    """Every table whose tasks take texts or whole sets is written with few rows an Arrow batch,
+    and the session's own limit is back afterwards."""
+    from tidemark.llm import common
+
+    key, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, common.Scratch.keep
+
+    def noted(self, frame, label="part"):
+        label = "answers" if "_plus" in frame.columns and "_linked" in frame.columns else label
+        seen.setdefault(label, set()).add(int(spark.conf.get(key)))
+        return keep(self, frame, label)
+
+    monkeypatch.setattr(common.Scratch, "keep", noted)
+    before = spark.conf.get(key)
+    j.near_duplicates(spark.createDataFrame(corpus(), "doc_id long, text string, _set string")).collect()
+    assert all(seen[label] == {common.HEAVY_ROWS} for label in ("rows", "classes", "sets", "answers"))
+    assert spark.conf.get(key) == before
+
+    def count(batches):
+        import pyarrow as pa
+
+        yield from (pa.RecordBatch.from_pydict({"id": [len(b)]}) for b in batches)
+
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(count, "id long")
+    with common.heavy_rows(spark, 700):
+        with common.heavy_rows(spark):  # a lower limit stays
+            assert max(r.id for r in sizes.select("*").collect()) == 700
+    assert spark.conf.get(key) == before

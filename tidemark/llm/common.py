@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,24 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+#: Rows of an Arrow batch where rows carry whole texts or sets.
+HEAVY_ROWS = 1_000
+
+
+@contextmanager
+def heavy_rows(spark: SparkSession, most: int = HEAVY_ROWS) -> Iterator[None]:
+    """Arrow batches of few rows for the actions within, whose rows carry whole texts or sets. A
+    batch stands in the executor's memory outside of the heap and in its Python worker, for each
+    task and on the way back again. Steers memory, never results; a session's lower limit stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written into the shared folder on the way to a result, and deleted at its end.
 
@@ -126,6 +145,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Texts are laid end to end up to this many bytes (a longer text stands alone).
 PIECE = 1 << 20
+#: The same where a byte takes 50 or more on the way; a worker keeps the most it ever took.
+SMALL_PIECE = 1 << 18
 
 
 class _Powers:
@@ -196,12 +217,12 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
             yield text.encode() if isinstance(text, str) else text or b""
 
 
-def pieces(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts) with about PIECE bytes each."""
+def pieces(texts: Iterable[bytes], most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, texts) with about ``most`` bytes each."""
     part: list[bytes] = []
     size = at = 0
     for k, text in enumerate(texts):
-        if part and size + len(text) > PIECE:
+        if part and size + len(text) > most:
             yield at, part
             part, size, at = [], 0, k
         part.append(text)

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, Words, cut, mix, pieces, signed, texts_of, words_of
+from tidemark.llm.common import SMALL_PIECE, Scratch, Words, cut, heavy_rows, mix, pieces, signed, texts_of, words_of
 
 SHINGLE = 4
 PERCENT = 85
@@ -180,7 +180,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in pieces(texts_of(batch.column("_text"))):
+            for at, part in pieces(texts_of(batch.column("_text")), SMALL_PIECE):
                 s, rows = shingle_sets(words_of(part), n), batch.slice(at, len(part))
                 below = np.concatenate([[0], np.cumsum(s.keys < end)])[s.first]
                 most = np.minimum(s.sizes, np.maximum(prefixes(s.sizes, percent), below[1:] - below[:-1]))
@@ -639,7 +639,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent:
             nodes = batch.column("_node").to_numpy()
             take = np.flatnonzero(wanted.value.owned(nodes))
             take = take[first_seen(nodes[take], seen)]
-            for at, part in pieces(texts_of(batch.column("_text").take(pa.array(take)))):
+            for at, part in pieces(texts_of(batch.column("_text").take(pa.array(take))), SMALL_PIECE):
                 s = shingle_sets(words_of(part), n)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[take[at : at + len(part)]]), packed(s.keys, s.sizes)], names=["_node", "_blob"])
 
@@ -673,13 +673,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int, percent:
             yield answers(batch, size + other.sizes - 2 * both, both, none, none)
 
     blobs = _texts(docs, text_col).mapInArrow(sets_of, "_node long, _blob binary")
-    blobs = scratch.keep(blobs.groupBy("_node").agg(F.first("_blob").alias("_blob")), "sets")
+    with heavy_rows(docs.sparkSession):
+        blobs = scratch.keep(blobs.groupBy("_node").agg(F.first("_blob").alias("_blob")), "sets")
     a, b = (blobs.select(F.col("_node").alias(f"_{x}"), F.col("_blob").alias(f"_blob_{x}")) for x in "ab")
-    found = scratch.keep(pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_blob_a", "_blob_b").mapInArrow(compare, ANSWER))
+    with heavy_rows(docs.sparkSession):
+        found = scratch.keep(pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_blob_a", "_blob_b").mapInArrow(compare, ANSWER))
     if changes is not None:
         of_leader = found.select(F.col("_a").alias("_leader"), "_b", "_both")
         based = changes.join(of_leader, ["_leader", "_b"], "left").withColumn("_base", F.coalesce("_base", "_both"))
-        found = scratch.keep(found.union(based.join(b, "_b").select("_a", "_b", "_n_a", "_base", "_plus", "_minus", "_blob_b").mapInArrow(change, ANSWER)))
+        with heavy_rows(docs.sparkSession):
+            found = scratch.keep(found.union(based.join(b, "_b").select("_a", "_b", "_n_a", "_base", "_plus", "_minus", "_blob_b").mapInArrow(change, ANSWER)))
     scratch.forget()
     return found
 
@@ -771,8 +774,9 @@ def _links(docs: DataFrame, text_col: str, rows: DataFrame, n: int, percent: int
     def low(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, None]:
         return unpacked(batch.column(1).take(pa.array(first_seen(batch.column(0).to_numpy(), seen)))).keys, None
 
-    tables = scratch.share(tables_of(rows.where("_n > 0").select("_set", "_low"), low, 2))
-    classes = scratch.keep(_classes(rows, percent, tables), "classes")
+    with heavy_rows(docs.sparkSession):
+        tables = scratch.share(tables_of(rows.where("_n > 0").select("_set", "_low"), low, 2))
+        classes = scratch.keep(_classes(rows, percent, tables), "classes")
     scratch.forget()
     first = _verified(scratch.keep(_pairs_with_leaders(classes, percent)), docs, text_col, n, percent, scratch)
     links = first.where("_linked").select("_a", "_b")
@@ -810,7 +814,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """_id, _node, _n, _set and _label of every row (_label: null for empty sets), computed."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(_described(docs, id_col, text_col, shingle, percent), "rows")
+    with heavy_rows(docs.sparkSession):
+        rows = scratch.keep(_described(docs, id_col, text_col, shingle, percent), "rows")
     classes, labels = _links(docs, text_col, rows, shingle, percent, scratch)
     named = classes.select("_set", "_node").join(labels, "_node").select("_set", "_label")
     out = rows.select("_id", "_node", "_n", "_set").join(named, "_set", "left")

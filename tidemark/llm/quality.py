@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, cut, hash_share, mix, pieces, texts_of, words_of
+from tidemark.llm.common import HEAVY_ROWS, SMALL_PIECE, crc_mod, cut, hash_share, heavy_rows, mix, pieces, texts_of, words_of
 
 FEATURES = 256
 SAMPLE = 50_000
@@ -48,7 +48,7 @@ N_STATS = _KINDS.shape[1] + 14
 def statistics(column: pa.Array) -> np.ndarray:
     """A row of N_STATS numbers for each text."""
     out = np.zeros((len(column), N_STATS), np.float32)
-    for at, part in pieces(texts_of(column)):
+    for at, part in pieces(texts_of(column), SMALL_PIECE):
         w = words_of(part)
         length = (w.end - w.start).astype(float)
         last = w.data[w.end - 1] if len(w.end) else w.data[:0]
@@ -225,11 +225,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def without_rejected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """The rows of docs that are predicted to be of quality, as they are."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_out=held_out)
+    with heavy_rows(docs.sparkSession):
+        model = fit(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_out=held_out)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model(statistics(batch.column(place))) >= 0.5))
+            for k in range(0, len(batch), HEAVY_ROWS):  # so that no second batch of texts goes back whole
+                some = batch.slice(k, HEAVY_ROWS)
+                yield some.filter(pa.array(model(statistics(some.column(place))) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
