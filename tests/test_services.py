@@ -66,6 +66,29 @@ def test_registry_through_pages(spark, tmp_path):
     assert registry_pages.read(spark, "id long", folder=str(tmp_path / "none")).count() == 0
 
 
+def test_a_mirror_of_many_pages(spark, tmp_path):
+    rows = spark.range(5000).select("id", (F.col("id") * 1000).alias("far"))
+    folder = tmp_path / "many"
+    registry_pages.write_pages(rows, str(folder), F.col("far"), 2)  # with gaps between the places
+    assert len([f for f in folder.rglob("*") if f.is_dir() or f.suffix in (".parquet", ".txt")]) < 60  # a page isn't a file of its own
+    own = registry_pages.RegistryReader({"folder": str(folder), "page_size": "2", "pages": "1"}, StructType.fromDDL("id long"))
+    parts = [p.value for p in own.partitions()]
+    assert len(parts) <= registry_pages.TASKS and parts[0][0] == 0 and parts[-1][1] == 5000 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    assert [r for p in own.partitions() for r in own.read(p)] == [(k,) for k in range(5000)]
+    # requests across files, and from within one
+    assert [r["id"] for r in own.answer(150, 333)["records"]] == list(range(150, 483)) and own.answer(4999, 9)["records"][0]["id"] == 4999 and own.answer(5000, 9)["records"] == []
+    first = registry_pages.read(spark, "id long", folder=str(folder), page_size="2", limit="5")
+    assert sorted(r.id for r in first.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_mirror_of_rows_without_a_place(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "none"), (7, "b"), (3, "a")], "id long, name string")
+    registry_pages.write_pages(rows, str(tmp_path / "odd"), F.col("id"), 2)
+    assert [tuple(r) for r in registry_pages.read(spark, "id long, name string", folder=str(tmp_path / "odd")).collect()] == [(None, "none"), (3, "a"), (7, "b")]
+    registry_pages.write_pages(rows.where("name = 'z'"), str(tmp_path / "empty"), F.col("id"), 2)
+    assert registry_pages.read(spark, "id long", folder=str(tmp_path / "empty")).count() == 0
+
+
 CUBE = {"id": ["time", "freq", "geo"], "size": [3, 1, 2], "dimension": {"time": {"category": {"index": {"2024-02": 1, "2024-01": 0, "2024-03": 2}}}, "freq": {"category": {"label": {"M": "monthly"}}}, "geo": {"category": {"index": ["LV", "EE"]}}}}
 DENSE, SPARSE = CUBE | {"value": [1, 2, None, 4, 5, 6]}, CUBE | {"value": {"0": 1, "1": 2, "3": 4, "4": 5, "5": 6, "99": 9}}
 CELLS = [("2024-01", "LV", 1.0), ("2024-01", "EE", 2.0), ("2024-02", "EE", 4.0), ("2024-03", "LV", 5.0), ("2024-03", "EE", 6.0)]
