@@ -1,8 +1,11 @@
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import limiter
+from tidemark.plans import streams
 from tidemark.streaming import event_limiter as e
 from tidemark.streaming import freshness
 
@@ -36,6 +39,71 @@ def test_order_across_triggers_is_that_of_time(spark, tmp_path):
     assert keep(got) == keep(want) and {r[1] for r in keep(got)} == {True, False}
 
 
+class Store:
+    """State of one bucket, which counts how often it is asked."""
+
+    def __init__(self):
+        self.asked, self.lists, self.values, self.timers = 0, [], None, set()
+
+    def count(self, result=None):
+        self.asked += 1
+        return result
+
+    def getListState(self, name, schema):
+        return SimpleNamespace(get=lambda: iter(self.count(list(self.lists))), appendList=lambda x: self.count(self.lists.extend(x)), put=lambda x: self.count(setattr(self, "lists", list(x))), clear=lambda: self.count(self.lists.clear()))
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.count(self.values), update=lambda x: self.count(setattr(self, "values", x)), clear=lambda: self.count(setattr(self, "values", None)))
+
+    def listTimers(self):
+        return iter(self.count(list(self.timers)))
+
+    def deleteTimer(self, at):
+        self.count(self.timers.discard(at))
+
+    def registerTimer(self, at):
+        self.count(self.timers.add(at))
+
+
+def test_state_is_asked_a_few_times_a_trigger():
+    store, own = Store(), e.EventLimiter(5, 20_000)
+    own.init(store)
+    rows = [(f"k{k % 97}", 1_700_000_000_000 + 37 * (k * 7919 % 10_000), k) for k in range(10_000)]
+    got = []
+    for k, part in enumerate([rows[:4000], rows[4000:]]):
+        frame = pd.DataFrame(part, columns=["key", "ts_ms", "id"]).assign(no_id=False)
+        own.handleInputRows((0,), iter([frame]), None)
+        passed = rows[0][1] - 1 if not k else rows[0][1] + 10**6  # nothing is due at first
+        if min(store.timers) < passed:
+            got += list(own.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), None))
+    assert store.asked < 20 and not store.lists and store.values is None
+    want = []
+    for key in {k for k, _, _ in rows}:
+        one = limiter.Limiter(5, 20_000)
+        want += [(i, *one.hit(t)) for t, i in sorted((t, i) for k, t, i in rows if k == key)]
+    assert sorted(r for f in got for r in zip(f["id"], f["accepted"], f["retry_after"], strict=True)) == sorted(want)
+
+
+def test_large_ids_beside_a_null_one(spark, tmp_path):
+    start, big = 1_700_000_000_000, 2**53 + 1
+    rows = [("a", start, big), ("a", start, None), ("a", start, big + 2), (None, start, big + 4), (None, start + 1, None)]
+    got = run(spark, tmp_path, [rows, [("end", start + 10**9, 0)]], delay="10 seconds", limit=2, window=1000)
+    assert sorted(((r.key or "", r.id or 0, r.accepted) for r in got.collect())) == [("", 0, True), ("", big + 4, True), ("a", 0, True), ("a", big, True), ("a", big + 2, False)]
+
+
+def test_arriving_rows_are_staged_once(spark):
+    day = 86_400_000
+    rows = spark.range(0, 3000).select(F.col("id").cast("string").alias("key"), (F.col("id") * day).alias("ts_ms"), "id")  # over 400 weeks
+    parts = streams._arriving(spark, rows, "ts_ms")
+    assert 20 < len(parts) <= streams._SPANS + 2
+    found = [sorted((r.ts_ms, r.id) for r in p.collect()) for p in parts]
+    assert sorted(x for p in found for x in p) == [(k * day, k) for k in range(3000)]
+    # a part's rows are no more than two days behind those of all parts before
+    assert all(p[0][0] > max(before)[0] - 2 * day for before, p in zip(found, found[1:], strict=False))
+    weeks = streams._arriving(spark, rows.where("id < 30"), "ts_ms")
+    assert len(weeks) in (5, 6) and streams._arriving(spark, rows.where("id < 0"), "ts_ms") == []
+
+
 def test_state_as_a_table(spark, tmp_path):
     start = 1_700_000_000_000
     parts = [[("a", start + 1000 * k, k) for k in range(5)] + [("b", start, 9)], [("c", start + 30_000, 20)]]

@@ -10,6 +10,8 @@ from tidemark.storage import new_folder
 from tidemark.streaming import event_limiter, freshness
 
 _LIMIT, _WINDOW = 3, 86_400_000
+_SPANS = 26
+_EMPTY_TRIGGERS = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 #: Hits of a user one after another, each with the accepted times of the last day before it.
 _LIMITED = """WITH RECURSIVE h AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
@@ -21,16 +23,17 @@ SELECT {0} FROM s"""
 ORACLE["q_rate_limiter"] = _LIMITED.format("id, key, ts_ms, accepted, retry_after")
 
 
-def _arriving(spark, rows: DataFrame, at_ms: str, columns: list[str], closing: DataFrame) -> DataFrame:
-    """A stream of rows by weeks of their time, each up to two days late; closing comes last."""
-    folder = new_folder(spark, "arriving")
-    week = F.floor((F.col(at_ms) + F.pmod(F.xxhash64("id"), F.lit(2 * 86_400_000))) / (7 * 86_400_000))
-    placed = rows.withColumn("week", week)
-    weeks = [r[0] for r in placed.select("week").distinct().orderBy("week").collect()]  # a row a week of the table
-    for w in weeks:
-        placed.where(F.col("week") == w).select(columns).coalesce(1).write.mode("append").parquet(folder)
-    closing.select(columns).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.select(columns).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _arriving(spark, rows: DataFrame, at_ms: str) -> list[DataFrame]:
+    """Rows by weeks of their time, each up to two days late, first week first; a table of more
+    than _SPANS weeks by as many longer spans."""
+    staged, day = new_folder(spark, "staged"), 86_400_000
+    first, last = rows.agg(F.min(at_ms), F.max(at_ms)).first()
+    width = max(7 * day, -(-((last or 0) - (first or 0)) // _SPANS))
+    span = F.floor((F.col(at_ms) + F.pmod(F.xxhash64("id"), F.lit(2 * day))) / width)
+    rows.where(F.col(at_ms).isNotNull()).withColumn("span", span).write.partitionBy("span").parquet(staged)
+    placed = spark.read.schema(rows.schema.add("span", "long")).parquet(staged)
+    spans = [r[0] for r in placed.select("span").distinct().orderBy("span").collect()]
+    return [placed.where(F.col("span") == s).drop("span") for s in spans]
 
 
 def _hits(spark, folder) -> DataFrame:
@@ -42,9 +45,18 @@ def q_limiter_stream(spark, folder):
     """The limiter in event time over hits out of order; a last hit, long after, lets all others go."""
     hits = _hits(spark, folder)
     last = hits.agg(F.lit("closing").alias("key"), (F.coalesce(F.max("ts_ms"), F.lit(0)) + 10 * _WINDOW).alias("ts_ms"), F.lit(-1).cast("long").alias("id"))
-    stream = event_limiter.limit_event_stream(_arriving(spark, hits, "ts_ms", ["key", "ts_ms", "id"], last), "3 days", _LIMIT, _WINDOW)
-    out, state = new_folder(spark, "limited"), new_folder(spark, "limiter-state")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    source, out, state = (new_folder(spark, x) for x in ("arriving", "limited", "limiter-state"))
+    arriving, before = [*_arriving(spark, hits, "ts_ms"), last], spark.conf.get(_EMPTY_TRIGGERS)
+    try:
+        for arrived in arriving:
+            # all files of a week are one trigger, for the next one finds the watermark moved on
+            arrived.write.mode("append").parquet(source)
+            stream = event_limiter.limit_event_stream(spark.readStream.schema(hits.schema).parquet(source), "3 days", _LIMIT, _WINDOW)
+            # hits that the watermark has passed go with the next week; after the last hit, a trigger without input lets them go
+            spark.conf.set(_EMPTY_TRIGGERS, str(arrived is last).lower())
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_EMPTY_TRIGGERS, before)
     return spark.read.schema(event_limiter.OUTPUT).parquet(out)
 
 
