@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 from pyspark.sql.types import StructType
 
+from tidemark.plans import services
 from tidemark.sources import cells, jsonstat, registry_pages
 
 ASKED = []
@@ -81,6 +82,17 @@ def test_a_mirror_of_many_pages(spark, tmp_path):
     assert sorted(r.id for r in first.collect()) == [0, 1, 2, 3, 4]
 
 
+def test_filtered_parts_of_a_large_table(spark, tmp_path):
+    parts = spark.range(150_000).select((F.col("id") * 3).alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 25).alias("p_brand"), (F.col("id") % 50).cast("int").alias("p_size"))
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    found = services.q_registry_filtered(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= registry_pages.TASKS  # 1,500 pages, five a task at least
+    want = parts.where("p_brand IN ('Brand#12', 'Brand#3') AND p_size = 37")
+    assert found.count() == 0 and want.count() == 3000
+    sized = services._parts(spark, str(tmp_path), "p_partkey long, p_brand string, p_size long").where("p_brand IN ('Brand#12', 'Brand#3') AND p_size = 37")
+    assert sorted(map(tuple, sized.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_a_mirror_of_rows_without_a_place(spark, tmp_path):
     rows = spark.createDataFrame([(None, "none"), (7, "b"), (3, "a")], "id long, name string")
     registry_pages.write_pages(rows, str(tmp_path / "odd"), F.col("id"), 2)
